@@ -7,6 +7,7 @@ are the Unicode ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,10 +29,16 @@ def strip_space(col: Column) -> Column:
     return F.regexp_replace(col, rf"^{SPACES}|{SPACES}$", "")
 
 
+def _without(col: Column, hints: Sequence[str], pattern: str) -> Column:
+    """Delete matches; texts that hold none of the literal hints skip the regular expression."""
+    possible = reduce(lambda a, b: a | b, [col.contains(h) for h in hints])
+    return F.when(possible, F.regexp_replace(col, pattern, "")).otherwise(col)
+
+
 def clean_text(col: Column) -> Column:
     """Drop handles and URLs, collapse white space; NULL becomes ''."""
-    text = F.regexp_replace(F.coalesce(col, F.lit("")), HANDLE, "")
-    text = F.regexp_replace(text, URL, "")
+    text = _without(F.coalesce(col, F.lit("")), ["@"], HANDLE)
+    text = _without(text, ["http", "www."], URL)
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
@@ -68,8 +75,7 @@ def tracking_ids(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Number of white-space separated words."""
-    text = F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), SPACES, " "))
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def ascii_words(col: Column) -> Column:

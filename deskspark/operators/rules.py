@@ -15,18 +15,26 @@ from deskspark.functions.text import money
 NULL_STRINGS = "array(cast(null as string))"
 
 
+def _any(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
+def _contains_any(lowered: Column, terms: Sequence[str]) -> Column:
+    return _any([lowered.contains(t) for t in terms])
+
+
 def _bounded(terms: Sequence[str]) -> str:
     return r"(?U)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
 
 
-def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
-    """Word-bounded terms found in the text, in list order, joined by commas; '' when none.
+def _has_word(lowered: Column, terms: Sequence[str]) -> Column:
+    """Any of the terms as whole words; the plain search spares most texts the regular expression."""
+    return _contains_any(lowered, terms) & lowered.rlike(_bounded(terms))
 
-    One alternation decides whether any term is there; only rows that pass it
-    pay for one scan per term.
-    """
-    each = [F.when(lowered.rlike(_bounded([t])), F.lit(t)) for t in terms]
-    return F.when(lowered.rlike(_bounded(terms)), F.concat_ws(", ", *each)).otherwise("")
+
+def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
+    """Word-bounded terms found in the text, in list order, joined by commas; '' when none."""
+    return F.concat_ws(", ", *[F.when(_has_word(lowered, [t]), F.lit(t)) for t in terms])
 
 
 def _without_nulls(parts: Sequence[Column]) -> Column:
@@ -34,8 +42,15 @@ def _without_nulls(parts: Sequence[Column]) -> Column:
     return F.array_except(F.array(*parts), F.expr(NULL_STRINGS))
 
 
-def _any(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts)
+def settle(df: DataFrame, computed: Mapping[str, Column]) -> DataFrame:
+    """Add columns that later filters read instead of recomputing.
+
+    The optimiser copies a column's expression into every filter on it. For
+    dozens of text searches that costs more than the filter saves, so the
+    columns come from a one-row inline, which filters do not cross.
+    """
+    row = F.struct(*[column.alias(name) for name, column in computed.items()])
+    return df.select(*[c for c in df.columns if c not in computed], F.inline(F.array(row)))
 
 
 def _listed(fmt: str, found: Column) -> Column:
@@ -53,17 +68,15 @@ def escalate(
     """Add decision, reason, fired_signals and signal_count from eight ordered signals."""
     fmt = lx.SIGNAL_FORMATS
     repeat = "|".join(p.replace("{brand}", re.escape(policy.brand.lower())) for p in policy.repeat_patterns)
-    scanned = (
-        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-        .withColumns(
-            {
-                "_legal": matched_terms(F.col("_low"), policy.legal_terms),
-                "_safety": matched_terms(F.col("_low"), policy.safety_terms),
-                "_frustration": matched_terms(F.col("_low"), policy.frustration_terms),
-                "_money": F.array_join(money(F.coalesce(F.col(text), F.lit(""))), ", "),
-                "_repeat": F.col("_low").rlike(f"(?U){repeat}"),
-            }
-        )
+    scanned = settle(
+        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))),
+        {
+            "_legal": matched_terms(F.col("_low"), policy.legal_terms),
+            "_safety": matched_terms(F.col("_low"), policy.safety_terms),
+            "_frustration": matched_terms(F.col("_low"), policy.frustration_terms),
+            "_money": F.array_join(money(F.coalesce(F.col(text), F.lit(""))), ", "),
+            "_repeat": F.col("_low").rlike(f"(?U){repeat}"),
+        },
     )
     signals = [
         F.when(F.col(intent).isin(list(policy.risky_intents)), F.format_string(fmt["intent"], F.col(intent))),
@@ -93,35 +106,38 @@ def escalate(
     ).drop("_low", "_legal", "_safety", "_frustration", "_money", "_repeat")
 
 
-def signal_kind(signal: Column) -> Column:
-    """Short name of a fired signal, from its fixed text."""
-    kind = F.lit(None).cast("string")
-    for name, fmt in reversed(list(lx.SIGNAL_FORMATS.items())):
-        kind = F.when(signal.startswith(fmt.split("(")[0]), name).otherwise(kind)
-    return kind
-
-
 def signal_rates(df: DataFrame) -> DataFrame:
     """How often each signal fires and co-fires: one row per (signal, with_signal).
 
     ``signal = with_signal`` is the plain firing count; share is over all rows.
-    At most 8 signals per row, counted before the shuffle.
+    One pass with one counter per pair of signals, so a single row per partition
+    is shuffled.
     """
-    kinds = df.select(F.transform("fired_signals", signal_kind).alias("kinds"))
-    pairs = (
-        kinds.select(F.explode("kinds").alias("signal"), "kinds")
-        .select("signal", F.explode("kinds").alias("with_signal"))
-        .groupBy("signal", "with_signal")
-        .agg(F.count(F.lit(1)).alias("n"))
+    joined = F.concat(F.lit("\n"), F.array_join("fired_signals", "\n"))
+    fired = df.select(joined.alias("_fired")).select(
+        *[F.col("_fired").contains("\n" + fmt.split("(")[0]).alias(name) for name, fmt in lx.SIGNAL_FORMATS.items()]
+    )
+    names = list(lx.SIGNAL_FORMATS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    counts = fired.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(a) & F.col(b)).alias(f"{a}+{b}") for a, b in pairs]
+    )
+    rows = [
+        F.struct(F.lit(x).alias("signal"), F.lit(y).alias("with_signal"), F.col(f"{a}+{b}").alias("n"))
+        for a, b in pairs
+        for x, y in {(a, b), (b, a)}
+    ]
+    return (
+        counts.select("_rows", F.inline(F.array(*rows)))
+        .where(F.col("n") > 0)
+        .select("signal", "with_signal", "n", (F.col("n") / F.col("_rows")).alias("share"))
     )
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return pairs.withColumn("share", F.col("n") / total)
 
 
 def _matches(lowered: Column, pattern: str | Sequence[str], mode: str) -> Column:
     if mode == "regex":
         return lowered.rlike(f"(?U){pattern}")
-    return _any([lowered.contains(t) for t in pattern])
+    return _has_word(lowered, pattern) if mode == "word" else _contains_any(lowered, pattern)
 
 
 def classify_rules(
@@ -134,12 +150,17 @@ def classify_rules(
     confidence: float | None = None,
     intent: str = "intent",
 ) -> DataFrame:
-    """First matching rule names the intent (and the decision, for three-part rules)."""
+    """First matching rule names the intent (and the decision, for three-part rules).
+
+    Rules are (pattern, intent) or (pattern, intent, decision). ``mode`` reads the
+    pattern as whole words ("word"), substrings ("substring") or one regular
+    expression on lower-cased text ("regex").
+    """
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     number = F.lit(None).cast("int")
     for position, rule in reversed(list(enumerate(rules))):
         number = F.when(_matches(F.col("_low"), rule[0], mode), position).otherwise(number)
-    df = df.withColumn("_rule", number)
+    df = settle(df, {"_rule": number})
 
     def pick(part: int, otherwise: str) -> Column:
         names = F.array(*[F.lit(rule[part]) for rule in rules])
@@ -154,7 +175,7 @@ def classify_rules(
 
 
 def rules_regex(df: DataFrame, text: str = "text", intent: str = "intent") -> DataFrame:
-    return classify_rules(df, lx.REGEX_RULES, "regex", text, intent=intent)
+    return classify_rules(df, lx.WORD_RULES, "word", text, intent=intent)
 
 
 def rules_substring(df: DataFrame, text: str = "text", intent: str = "intent") -> DataFrame:
@@ -204,7 +225,7 @@ def escalate_simple(
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     reason = (
         F.when(F.col(thread_length) > 1, lx.SIMPLE_REASONS["thread"])
-        .when(_any([F.col("_low").contains(t) for t in terms]), lx.SIMPLE_REASONS["term"])
+        .when(_contains_any(F.col("_low"), terms), lx.SIMPLE_REASONS["term"])
         .otherwise(lx.SIMPLE_REASONS["none"])
     )
     df = df.withColumn("reason", reason)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.operators.grouped import top_n_per_group, with_position
+from deskspark.sources.scratch import freeze
 
 # Above this many rows a sample is cut at an exact global position instead of by
 # take-ordered, which ends in one task.
@@ -91,19 +92,19 @@ def stratified_backfill(
     draws the rows nearest to the mean vector of their stratum. ``origin`` tells
     the two draws apart; no row appears twice.
     """
-    candidates = df.where(F.col(stratum).isNotNull())
+    # The draw works on narrow rows, computed once; only drawn ids meet the wide table.
+    narrow = freeze(df.select(key, stratum, *([vector] if by == "centroid" else [])))
+    candidates = narrow.where(F.col(stratum).isNotNull())
     if by == "centroid":
         candidates = centroid_distance(candidates, stratum, vector)
         nearness = [F.round("distance", 9), F.col(key)]
     else:
         nearness = [hash_order(seed, key), F.col(key)]
-    quota_rows = (
-        top_n_per_group(candidates, [stratum], nearness, quota, "_rank")
-        .select(*df.columns)
-        .withColumn("origin", F.lit("quota"))
+    quota_rows = top_n_per_group(candidates, [stratum], nearness, quota, "_rank").select(
+        key, F.lit("quota").alias("origin")
     )
-    rest = df.join(quota_rows.select(key), key, "left_anti")
-    backfill = sample_n(rest, total, seed, key).withColumn("origin", F.lit("backfill"))
-    both = quota_rows.unionByName(backfill)
+    rest = narrow.select(key).join(quota_rows, key, "left_anti")
+    backfill = sample_n(rest, total, seed, key).select(key, F.lit("backfill").alias("origin"))
     first_quota = F.when(F.col("origin") == "quota", 0).otherwise(1)
-    return both.orderBy(first_quota, hash_order(seed, key), key).limit(total)
+    drawn = quota_rows.unionByName(backfill).orderBy(first_quota, hash_order(seed, key), key).limit(total)
+    return df.join(drawn, key).select(*df.columns, "origin")

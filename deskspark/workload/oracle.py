@@ -80,7 +80,10 @@ threads AS (
 
 
 def regex_intent(low: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches({low}, {quoted(p)}) THEN '{i}'" for p, i in lx.REGEX_RULES)
+    cases = " ".join(
+        rf"WHEN regexp_matches({low}, '\b(?:{'|'.join(t.replace('$', chr(92) + '$') for t in terms)})\b') THEN '{i}'"
+        for terms, i in lx.WORD_RULES
+    )
     return f"CASE {cases} ELSE 'other_unclear' END"
 
 
@@ -381,11 +384,11 @@ ORACLES: dict[str, str] = {
     "class_distribution": f"""WITH {SUB_LABELLED} SELECT intent, CAST(count(*) AS BIGINT) AS n,
         count(*) / sum(count(*)) OVER () AS share FROM labelled GROUP BY intent""",
     "distribution_shift": f"""WITH {STRATA},
-      natural AS (SELECT coalesce(stratum, 'other_unclear') AS intent, count(*) AS n FROM strata GROUP BY 1),
+      whole AS (SELECT coalesce(stratum, 'other_unclear') AS intent, count(*) AS n FROM strata GROUP BY 1),
       sampled AS (SELECT coalesce(stratum, 'other_unclear') AS intent, count(*) AS n FROM drawn GROUP BY 1)
-      SELECT intent, CAST(natural.n AS BIGINT) AS natural_n, natural.n / (SELECT sum(n) FROM natural) AS natural_share,
+      SELECT intent, CAST(whole.n AS BIGINT) AS natural_n, whole.n / (SELECT sum(n) FROM whole) AS natural_share,
         CAST(coalesce(sampled.n, 0) AS BIGINT) AS sample_n, coalesce(sampled.n / (SELECT sum(n) FROM sampled), 0) AS sample_share
-      FROM natural FULL JOIN sampled USING (intent)""",
+      FROM whole FULL JOIN sampled USING (intent)""",
     "majority_class": f"""WITH {TICKETS} SELECT true_intent, CAST(count(*) AS BIGINT) AS n FROM raw_tickets
       GROUP BY true_intent ORDER BY n DESC, true_intent LIMIT 1""",
     "fold_rare": f"""WITH {SUB_LABELLED}, shares AS (
@@ -526,11 +529,11 @@ ORACLES: dict[str, str] = {
     "limit_rows": "SELECT * FROM labels ORDER BY doc_id LIMIT 35",
     "render_prompts": f"""WITH {TICKETS} SELECT ticket_id, replace({quoted(lx.CLASSIFY_PROMPT.replace('{taxonomy}', lx.taxonomy_text()).replace('{{', '{').replace('}}', '}'))},
       '{{text}}', text) AS prompt FROM tickets""",
-    "parse_responses": f"WITH {RESPONSES} SELECT ticket_id, intent, confidence, reasoning, error FROM parsed",
+    "parse_responses": f"WITH {RESPONSES} SELECT ticket_id, intent, CAST(confidence AS DOUBLE) AS confidence, reasoning, error FROM parsed",
     "normalize_label": f"""WITH {RESPONSES}, t AS (SELECT *, trim(lower(coalesce(intent, ''))) AS t FROM parsed)
       SELECT ticket_id, CASE WHEN t IN ({', '.join(quoted(i) for i in lx.INTENTS)}) THEN t WHEN t = '' THEN 'other_unclear'
         {_label_cases} ELSE 'other_unclear' END AS intent,
-        coalesce(least(1.0, greatest(0.0, TRY_CAST(confidence AS DOUBLE))), 0.85) AS confidence FROM t""",
+        least(1.0, greatest(0.0, coalesce(TRY_CAST(confidence AS DOUBLE), 0.85))) AS confidence FROM t""",
     "normalize_ratings": f"""WITH {TICKETS}, r AS (SELECT ticket_id,
         CAST(CASE WHEN k % 11 = 0 THEN 4 ELSE least(5, greatest(1, k % 8 - 1)) END AS INTEGER) AS groundedness,
         CAST(CASE WHEN k % 13 = 0 THEN 5 ELSE least(5, greatest(1, ticket_id % 7)) END AS INTEGER) AS tone,

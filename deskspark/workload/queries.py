@@ -524,7 +524,8 @@ FIELDS = ["intent", "confidence", "reasoning"]
 
 @query
 def parse_responses(spark, sf):
-    return rs.parse_responses(views.responses(spark, sf), "raw", FIELDS).select("ticket_id", *FIELDS, "error")
+    parsed = rs.parse_responses(views.responses(spark, sf), "raw", FIELDS)
+    return parsed.select("ticket_id", "intent", F.col("confidence").try_cast("double"), "reasoning", "error")
 
 
 @query
