@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.operators.features import MAX_TERMS, fit_tfidf
+from deskspark.sources.scratch import freeze
 
 MAX_ITERATIONS = 1000
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -29,25 +31,35 @@ def train_intent(
 ) -> IntentModel:
     """Fit on labelled rows; classes weigh the same whatever their frequency.
 
-    Identical (text, label) rows are folded into one weighted row first, so
-    copies cost one row per training pass.
+    Identical (text, label) rows are folded into one weighted row first, so a
+    mass of copies costs one row per training pass.
     """
     rows = df.where(F.col(label).isNotNull())
-    features = fit_tfidf(rows, text, max_terms)
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    folded = rows.groupBy(text, label).agg(F.count(F.lit(1)).alias("_copies"))
-    total, classes = sizes.agg(F.sum("_size"), F.count(F.lit(1))).first()
-    weighted = folded.join(F.broadcast(sizes), label).withColumn(
-        "_weight", F.col("_copies") * F.lit(total / classes) / F.col("_size")
+    folded = freeze(rows.groupBy(text, label).agg(F.count(F.lit(1)).alias("_copies")))
+    features = fit_tfidf(folded, text, max_terms, weight="_copies")
+    # One row per class.
+    sizes = {row[label]: row["n"] for row in folded.groupBy(label).agg(F.sum("_copies").alias("n")).collect()}
+    labels, total = sorted(sizes), sum(sizes.values())
+    codes = F.create_map(*[F.lit(x) for code, name in enumerate(labels) for x in (name, float(code))])
+    weights = F.create_map(*[F.lit(x) for name in labels for x in (name, total / len(labels) / sizes[name])])
+    # Every iteration is a job over these rows; small data is kept in few tasks.
+    tasks = math.ceil(folded.count() / ROWS_PER_TASK)
+    train = (
+        features(folded)
+        .select(
+            "features",
+            F.element_at(codes, F.col(label)).alias("_label"),
+            (F.col("_copies") * F.element_at(weights, F.col(label))).alias("_weight"),
+        )
+        .coalesce(max(1, tasks))
+        .persist()
     )
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(sizes)
-    train = indexer.transform(features(weighted)).select("features", "_label", "_weight").persist()
     regression = LogisticRegression(
         featuresCol="features", labelCol="_label", weightCol="_weight", family="multinomial",
         maxIter=max_iterations, regParam=1.0 / total, standardization=False,
     ).fit(train)
     train.unpersist()
-    return IntentModel(features, regression, list(indexer.labels))
+    return IntentModel(features, regression, labels)
 
 
 def predict_intent(model: IntentModel, df: DataFrame, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     Normalizer,
@@ -34,7 +34,7 @@ def term_column(col: Column, stop_words: Sequence[str] = (), ngrams: int = 2) ->
     """Words of two or more word characters, stop words removed, then 1..n-grams."""
     words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     if stop_words:
-        words = F.array_compact(F.filter(words, lambda w: ~w.isin(list(stop_words))))
+        words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     if ngrams == 1:
         return words
     if ngrams != 2:
@@ -72,28 +72,56 @@ def tfidf_terms(
     return weighted.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
+def _vocabulary(terms: DataFrame, weight: Column, max_terms: int) -> tuple[list[str], np.ndarray]:
+    """The most frequent terms and the number of rows holding each, from one combinable count.
+
+    Every occurrence adds to a term's total, its first one per row to the row count.
+    """
+    seen = F.concat(
+        F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("rows"))),
+        F.transform(
+            F.array_distinct("_terms"),
+            lambda t: F.struct(t.alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("rows")),
+        ),
+    )
+    top = (
+        terms.select(weight.alias("_w"), F.inline(seen))
+        .groupBy("term")
+        .agg(F.sum(F.col("uses") * F.col("_w")).alias("total"), F.sum(F.col("rows") * F.col("_w")).alias("rows"))
+        .orderBy(F.desc("total"), "term")
+        .limit(max_terms)
+        .collect()
+    )
+    return [row["term"] for row in top], np.array([row["rows"] for row in top], dtype=float)
+
+
 def fit_tfidf(
     df: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, hashed: int | None = None,
-    stop_words: Sequence[str] | None = None, output: str = "features",
+    stop_words: Sequence[str] | None = None, output: str = "features", weight: str | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
     """Fit TF-IDF vectors; the returned function adds ``output`` (unit length) to a DataFrame.
 
-    ``hashed`` uses that many hash buckets instead of a vocabulary of frequent terms.
+    The vocabulary (at most ``max_terms`` terms) is what reaches the driver;
+    ``weight`` counts a row as that many copies. ``hashed`` uses that many hash
+    buckets instead of a vocabulary.
     """
     stops = english_stop_words() if stop_words is None else list(stop_words)
 
     def with_terms(frame: DataFrame) -> DataFrame:
         return frame.withColumn("_terms", term_column(F.col(text), stops))
 
-    terms = with_terms(df.select(text))
     if hashed:
         counter = HashingTF(numFeatures=hashed, inputCol="_terms", outputCol="_tf")
+        counted = counter.transform(with_terms(df.select(text)))
+        idf = np.asarray(IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf) + 1.0
     else:
-        counter = CountVectorizer(vocabSize=max_terms, inputCol="_terms", outputCol="_tf").fit(terms)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(terms))
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(np.asarray(idf.idf) + 1.0), inputCol="_tf", outputCol="_scaled"
-    )
+        copies = F.col(weight) if weight else F.lit(1)
+        terms = with_terms(df.select(text, copies.cast("bigint").alias("_copies")))
+        vocabulary, holding = _vocabulary(terms, F.col("_copies"), max_terms)
+        rows = df.agg(F.sum(copies)).first()[0]
+        counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
+        idf = np.log((1.0 + rows) / (1.0 + holding)) + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_scaled")
     stages = PipelineModel([counter, scale, Normalizer(inputCol="_scaled", outputCol=output)])
 
     def transform(frame: DataFrame) -> DataFrame:

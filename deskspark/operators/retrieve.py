@@ -10,17 +10,22 @@ meet in bounded groups that emit k rows per query and block.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.lexicon import FALLBACK_EXAMPLES, NO_CONTEXT
 from deskspark.operators.grouped import top_n_per_group
+from deskspark.sources.scratch import freeze
 
+# A corpus of at most this many rows and bytes travels to the tasks whole.
+BROADCAST_ROWS = 16_384
+BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
 # Similarities are rounded before ranking so that equal vectors tie exactly.
@@ -33,20 +38,36 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(rows, -1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of the k best per row; equal scores prefer the larger id."""
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column indexes of the k best per row; equal scores prefer the earlier column."""
     width = scores.shape[1]
     if width > k:
-        floor = np.partition(scores, width - k, axis=1)[:, width - k]
-        rows, cols = np.nonzero(scores >= floor[:, None])
+        floor = np.partition(scores, width - k, axis=1)[:, width - k, None]
+        above, level = scores > floor, scores == floor
+        room = k - above.sum(axis=1, keepdims=True)
+        rows, cols = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room)))
     else:
         rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    by_id = np.argsort(np.argsort(ids))  # works for any orderable id type
-    order = np.lexsort((-by_id[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(scores.shape[0]))
-    keep = np.arange(rows.size) - starts[rows] < k
-    return rows[keep], cols[keep]
+    return rows, cols
+
+
+def _search(wanted: np.ndarray, block: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of queries: its offset, and row, column and score of each hit."""
+    for start in range(0, len(wanted), 512):
+        scores = np.round(wanted[start : start + 512] @ block.T, DIGITS) + 0.0
+        rows, cols = _best(scores, k)
+        yield start, rows, cols, scores[rows, cols]
+
+
+def _hit_schema(queries: DataFrame, corpus: DataFrame) -> pa.Schema:
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [frame.schema[name].dataType.simpleString() for frame, name in ((queries, "_qid"), (corpus, "_cid"))]
+    return pa.schema([("_qid", arrow[types[0]]), ("_cid", arrow[types[1]]), ("similarity", pa.float64())])
+
+
+def _ddl(queries: DataFrame, corpus: DataFrame) -> str:
+    types = [frame.schema[name].dataType.simpleString() for frame, name in ((queries, "_qid"), (corpus, "_cid"))]
+    return f"_qid {types[0]}, _cid {types[1]}, similarity double"
 
 
 def _search_block(k: int, schema: pa.Schema):
@@ -55,27 +76,58 @@ def _search_block(k: int, schema: pa.Schema):
     def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return schema.empty_table()
+        corpus = corpus.sort_by([("_cid", "descending")])
         block = _matrix(corpus.column("_vec"), corpus.num_rows)
-        ids = corpus.column("_cid").to_numpy()
         wanted = _matrix(queries.column("_vec"), queries.num_rows)
-        found = []
-        for start in range(0, len(wanted), 512):
-            scores = np.round(wanted[start : start + 512] @ block.T, DIGITS) + 0.0
-            rows, cols = _best(scores, ids, k)
-            found.append(
-                pa.table(
-                    {
-                        "_qid": queries.column("_qid").take(pa.array(rows + start)),
-                        "_cid": corpus.column("_cid").take(pa.array(cols)),
-                        "similarity": pa.array(scores[rows, cols]),
-                    }
-                ).cast(schema)
-            )
+        found = [
+            pa.table(
+                {
+                    "_qid": queries.column("_qid").take(pa.array(rows + start)),
+                    "_cid": corpus.column("_cid").take(pa.array(cols)),
+                    "similarity": pa.array(scores),
+                }
+            ).cast(schema)
+            for start, rows, cols, scores in _search(wanted, block, k)
+        ]
         return pa.concat_tables(found)
 
     return search
 
 
+def _broadcast_search(asked: DataFrame, base: DataFrame, corpus: pa.Table, k: int) -> DataFrame:
+    """All queries against a small corpus inside the query scan: no shuffle, ranks included."""
+    schema = _hit_schema(asked, base)
+    corpus = corpus.sort_by([("_cid", "descending")])
+    parts = {}
+    for part in pc.unique(corpus.column("_part")).to_pylist():
+        rows = corpus.filter(pc.equal(corpus.column("_part"), part))
+        parts[part] = (rows.column("_cid").combine_chunks(), _matrix(rows.column("_vec"), rows.num_rows))
+    out = schema.append(pa.field("rank", pa.int32()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for part in pc.unique(table.column("_part")).to_pylist():
+                if part not in parts:
+                    continue
+                ids, block = parts[part]
+                queries = table.filter(pc.equal(table.column("_part"), part))
+                wanted = _matrix(queries.column("_vec"), queries.num_rows)
+                for start, rows, cols, scores in _search(wanted, block, k):
+                    order = np.lexsort((cols, -scores, rows))
+                    rows, cols, scores = rows[order], cols[order], scores[order]
+                    rank = np.arange(rows.size) - np.searchsorted(rows, rows) + 1
+                    columns = [
+                        queries.column("_qid").combine_chunks().take(pa.array(rows + start)),
+                        ids.take(pa.array(cols)), pa.array(scores), pa.array(rank, pa.int32()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [c.cast(f.type) for c, f in zip(columns, out)], schema=out
+                    )
+
+    return asked.mapInArrow(search, _ddl(asked, base) + ", rank int")
+
+
 def _pivot_scores(pivots: np.ndarray):
     """Pandas UDF: dot product of each vector with every pivot."""
 
@@ -109,22 +161,13 @@ def _block_search(
     right = corpus.join(chunks, list(keys)).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
     )
-    types = {"_qid": routed.schema["_qid"].dataType, "_cid": corpus.schema["_cid"].dataType}
-    ddl = f"_qid {types['_qid'].simpleString()}, _cid {types['_cid'].simpleString()}, similarity double"
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema(
-        [
-            ("_qid", arrow[types["_qid"].simpleString()]),
-            ("_cid", arrow[types["_cid"].simpleString()]),
-            ("similarity", pa.float64()),
-        ]
-    )
+    search = _search_block(k, _hit_schema(routed, corpus))
     group = [*keys, "_chunk"]
     return (
         left.select(*group, "_qid", "_vec")
         .groupBy(*group)
         .cogroup(right.select(*group, "_cid", "_vec").groupBy(*group))
-        .applyInArrow(_search_block(k, schema), ddl)
+        .applyInArrow(search, _ddl(routed, corpus))
     )
 
 
@@ -137,12 +180,14 @@ def knn(
     vector: str = "embedding",
     partition: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(query_id, corpus_id, similarity, rank): the k corpus rows with the largest dot product.
 
     Ties go to the larger id. With ``partition`` a query only sees corpus rows
-    of its own partition value. Counting the corpus and drawing the pivots are
-    actions; everything else is lazy.
+    of its own partition value. A corpus within the broadcast bounds is searched
+    in the query scan; a larger one through pruned blocks. Sizing the corpus is
+    an action.
     """
     part = F.col(partition).cast("string") if partition else F.lit("")
     base = corpus.where(F.col(vector).isNotNull()).select(
@@ -151,23 +196,22 @@ def knn(
     asked = queries.where(F.col(vector).isNotNull()).select(
         F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
     )
-    size = base.count()
-    pivot_count = max(1, min(MAX_PIVOTS, math.ceil(size / block_rows)))
-
-    if pivot_count == 1:
-        blocks = base.withColumns({"_cell": F.lit(0), "_split": F.lit(0)})
-        routed = asked.withColumns({"_cell": F.lit(0), "_split": F.lit(0)})
-        hits = _block_search(routed, blocks, ["_part", "_cell", "_split"], k, block_rows)
+    few = base.limit(broadcast_rows + 1).toArrow() if broadcast_rows else None
+    if few is not None and few.num_rows <= broadcast_rows and few.nbytes <= BROADCAST_BYTES:
+        best = _broadcast_search(asked, base, few, k)
     else:
-        hits = _pruned_search(asked, base, k, pivot_count, block_rows)
-    best = top_n_per_group(hits, ["_qid"], [F.desc("similarity"), F.desc("_cid")], k)
+        hits = _pruned_search(asked, base, k, block_rows)
+        best = top_n_per_group(hits, ["_qid"], [F.desc("similarity"), F.desc("_cid")], k)
     return best.select(
         F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "similarity", "rank"
     )
 
 
-def _pruned_search(asked: DataFrame, base: DataFrame, k: int, pivot_count: int, block_rows: int) -> DataFrame:
+def _pruned_search(asked: DataFrame, base: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Hits of an exact search; vectors of both sides are written once and read by every step."""
     keys = ["_part", "_cell", "_split"]
+    base = freeze(base)
+    pivot_count = max(1, min(MAX_PIVOTS, math.ceil(base.count() / block_rows)))
     # A bounded draw: at most MAX_PIVOTS vectors reach the driver.
     drawn = base.orderBy(F.md5(F.col("_cid").cast("string")), "_cid").limit(pivot_count).select("_vec").collect()
     pivots = np.array([row["_vec"] for row in drawn], dtype=np.float64)
@@ -180,7 +224,7 @@ def _pruned_search(asked: DataFrame, base: DataFrame, k: int, pivot_count: int,
             dots, squares, lambda dot, sq: F.sqrt(F.greatest(norm * norm - 2 * dot + sq, F.lit(0.0)))
         )
 
-    located = (
+    located = freeze(
         base.withColumns({"_dots": to_pivots("_vec"), "_norm": _norm("_vec")})
         .withColumn("_dist", pivot_distance(F.col("_dots"), F.col("_norm")))
         .withColumn("_near", F.array_min("_dist"))
@@ -213,7 +257,7 @@ def _pruned_search(asked: DataFrame, base: DataFrame, k: int, pivot_count: int,
         triangle = (F.col("_norm") * F.col("_norm") + cell["_longest"] * cell["_longest"] - gap * gap) / 2
         return F.least(cauchy, triangle)
 
-    scored = (
+    scored = freeze(
         asked.withColumns({"_dots": to_pivots("_vec"), "_norm": _norm("_vec")})
         .withColumn("_dist", pivot_distance(F.col("_dots"), F.col("_norm")))
         .join(layout, "_part")

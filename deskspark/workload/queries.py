@@ -434,7 +434,7 @@ def knn_topk(spark, sf):
 @query
 def knn_blocked(spark, sf):
     """The same search through pivots and small blocks."""
-    return _rounded(retrieve.knn(*_vectors(spark, sf), k=3, block_rows=64))
+    return _rounded(retrieve.knn(*_vectors(spark, sf), k=3, block_rows=64, broadcast_rows=0))
 
 
 @query
