@@ -4,57 +4,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark import lexicon as lx
-from deskspark.functions.text import money
+from deskspark.functions.sql import literal, literals, lookup, name
+from deskspark.functions.text import MONEY_PATTERN
 
-NULL_STRINGS = "array(cast(null as string))"
+NO_STRINGS = "array(cast(null as string))"
 
 
-def _any(parts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts)
+def _lowered(text: str) -> str:
+    return f"lower(coalesce({name(text)}, ''))"
 
 
-def _contains_any(lowered: Column, terms: Sequence[str]) -> Column:
-    return _any([lowered.contains(t) for t in terms])
+def contains_any(lowered: str, terms: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({lowered}, {literal(t)})" for t in terms) + ")"
 
 
-def _bounded(terms: Sequence[str]) -> str:
-    return r"(?U)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
-
-
-def _has_word(lowered: Column, terms: Sequence[str]) -> Column:
+def has_word(lowered: str, terms: Sequence[str]) -> str:
     """Any of the terms as whole words; the plain search spares most texts the regular expression."""
-    return _contains_any(lowered, terms) & lowered.rlike(_bounded(terms))
+    pattern = r"(?U)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
+    return f"({contains_any(lowered, terms)} AND rlike({lowered}, {literal(pattern)}))"
 
 
-def matched_terms(lowered: Column, terms: Sequence[str]) -> Column:
+def matched_terms(lowered: str, terms: Sequence[str]) -> str:
     """Word-bounded terms found in the text, in list order, joined by commas; '' when none."""
-    return F.concat_ws(", ", *[F.when(_has_word(lowered, [t]), F.lit(t)) for t in terms])
-
+    found = ", ".join(f"CASE WHEN {has_word(lowered, [t])} THEN {literal(t)} END" for t in terms)
+    return f"concat_ws(', ', {found})"
 
-def _without_nulls(parts: Sequence[Column]) -> Column:
-    """Array of the non-null parts, distinct; stays in generated code, unlike a lambda filter."""
-    return F.array_except(F.array(*parts), F.expr(NULL_STRINGS))
 
-
-def settle(df: DataFrame, computed: Mapping[str, Column]) -> DataFrame:
-    """Add columns that later filters read instead of recomputing.
+def settle(df: DataFrame, computed: Mapping[str, str]) -> DataFrame:
+    """Add columns (SQL text) that later filters read instead of recomputing.
 
     The optimiser copies a column's expression into every filter on it. For
     dozens of text searches that costs more than the filter saves, so the
     columns come from a one-row inline, which filters do not cross.
     """
-    row = F.struct(*[column.alias(name) for name, column in computed.items()])
-    return df.select(*[c for c in df.columns if c not in computed], F.inline(F.array(row)))
-
-
-def _listed(fmt: str, found: Column) -> Column:
-    return F.when(found != "", F.format_string(fmt, found))
+    row = ", ".join(f"{sql} AS {name(column)}" for column, sql in computed.items())
+    kept = [name(c) for c in df.columns if c not in computed]
+    return df.selectExpr(*kept, f"inline(array(struct({row})))")
 
 
 def escalate(
@@ -66,44 +56,45 @@ def escalate(
     thread_length: str = "thread_length",
 ) -> DataFrame:
     """Add decision, reason, fired_signals and signal_count from eight ordered signals."""
-    fmt = lx.SIGNAL_FORMATS
     repeat = "|".join(p.replace("{brand}", re.escape(policy.brand.lower())) for p in policy.repeat_patterns)
+    amounts = f"regexp_extract_all(coalesce({name(text)}, ''), {literal('(?U)' + MONEY_PATTERN)}, 0)"
     scanned = settle(
-        df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))),
+        df.withColumn("_low", F.expr(_lowered(text))),
         {
-            "_legal": matched_terms(F.col("_low"), policy.legal_terms),
-            "_safety": matched_terms(F.col("_low"), policy.safety_terms),
-            "_frustration": matched_terms(F.col("_low"), policy.frustration_terms),
-            "_money": F.array_join(money(F.coalesce(F.col(text), F.lit(""))), ", "),
-            "_repeat": F.col("_low").rlike(f"(?U){repeat}"),
+            "_legal": matched_terms("_low", policy.legal_terms),
+            "_safety": matched_terms("_low", policy.safety_terms),
+            "_frustration": matched_terms("_low", policy.frustration_terms),
+            "_money": f"array_join({amounts}, ', ')",
+            "_repeat": f"rlike(_low, {literal('(?U)' + repeat)})",
         },
     )
+    fmt = {kind: literal(text) for kind, text in lx.SIGNAL_FORMATS.items()}
+    least = float(policy.min_confidence)
+
+    def listed(kind: str) -> str:
+        return f"CASE WHEN _{kind} <> '' THEN format_string({fmt[kind]}, _{kind}) END"
+
     signals = [
-        F.when(F.col(intent).isin(list(policy.risky_intents)), F.format_string(fmt["intent"], F.col(intent))),
-        _listed(fmt["legal"], F.col("_legal")),
-        _listed(fmt["money"], F.col("_money")),
-        _listed(fmt["safety"], F.col("_safety")),
-        F.when(F.col(thread_length) > 1, F.format_string(fmt["thread"], F.col(thread_length).cast("bigint"))),
-        F.when(F.col("_repeat"), F.lit(fmt["repeat"])),
-        _listed(fmt["frustration"], F.col("_frustration")),
-        F.when(
-            F.col(confidence) < policy.min_confidence,
-            F.format_string(
-                fmt["confidence"], F.col(confidence).cast("double"), F.lit(float(policy.min_confidence))
-            ),
-        ),
+        f"CASE WHEN {name(intent)} IN ({literals(policy.risky_intents)}) THEN format_string({fmt['intent']}, {name(intent)}) END",
+        listed("legal"),
+        listed("money"),
+        listed("safety"),
+        f"CASE WHEN {name(thread_length)} > 1 THEN format_string({fmt['thread']}, bigint({name(thread_length)})) END",
+        f"CASE WHEN _repeat THEN {fmt['repeat']} END",
+        listed("frustration"),
+        f"CASE WHEN {name(confidence)} < {least}D THEN "
+        f"format_string({fmt['confidence']}, double({name(confidence)}), {least}D) END",
     ]
-    fired = scanned.withColumn("fired_signals", _without_nulls(signals))
-    count = F.size("fired_signals")
-    return fired.withColumns(
-        {
-            "decision": F.when(count > 0, lx.ESCALATE).otherwise(lx.AUTO),
-            "reason": F.when(
-                count > 0, F.concat(F.lit(lx.REASON_PREFIX), F.array_join("fired_signals", "; "))
-            ).otherwise(lx.REASON_NONE),
-            "signal_count": count,
-        }
-    ).drop("_low", "_legal", "_safety", "_frustration", "_money", "_repeat")
+    kept = [name(c) for c in df.columns if c not in ("fired_signals", "decision", "reason", "signal_count")]
+    # array_except drops the NULLs of silent signals and, unlike a lambda filter, stays in generated code.
+    return scanned.selectExpr(*kept, f"array_except(array({', '.join(signals)}), {NO_STRINGS}) AS fired_signals").selectExpr(
+        *kept,
+        "fired_signals",
+        f"CASE WHEN size(fired_signals) > 0 THEN {literal(lx.ESCALATE)} ELSE {literal(lx.AUTO)} END AS decision",
+        f"CASE WHEN size(fired_signals) > 0 THEN concat({literal(lx.REASON_PREFIX)}, array_join(fired_signals, '; ')) "
+        f"ELSE {literal(lx.REASON_NONE)} END AS reason",
+        "size(fired_signals) AS signal_count",
+    )
 
 
 def signal_rates(df: DataFrame) -> DataFrame:
@@ -113,31 +104,29 @@ def signal_rates(df: DataFrame) -> DataFrame:
     One pass with one counter per pair of signals, so a single row per partition
     is shuffled.
     """
-    joined = F.concat(F.lit("\n"), F.array_join("fired_signals", "\n"))
-    fired = df.select(joined.alias("_fired")).select(
-        *[F.col("_fired").contains("\n" + fmt.split("(")[0]).alias(name) for name, fmt in lx.SIGNAL_FORMATS.items()]
-    )
-    names = list(lx.SIGNAL_FORMATS)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    counts = fired.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(a) & F.col(b)).alias(f"{a}+{b}") for a, b in pairs]
+    heads = {kind: "\n" + fmt.split("(")[0] for kind, fmt in lx.SIGNAL_FORMATS.items()}
+    fired = df.selectExpr("concat('\\n', array_join(fired_signals, '\\n')) AS fired").selectExpr(
+        *[f"contains(fired, {literal(head)}) AS {kind}" for kind, head in heads.items()]
     )
-    rows = [
-        F.struct(F.lit(x).alias("signal"), F.lit(y).alias("with_signal"), F.col(f"{a}+{b}").alias("n"))
+    kinds = list(heads)
+    pairs = [(a, b) for i, a in enumerate(kinds) for b in kinds[i:]]
+    counts = fired.selectExpr("count(1) AS total", *[f"count_if({a} AND {b}) AS {a}_{b}" for a, b in pairs])
+    rows = ", ".join(
+        f"struct('{x}' AS signal, '{y}' AS with_signal, {a}_{b} AS n)"
         for a, b in pairs
-        for x, y in {(a, b), (b, a)}
-    ]
+        for x, y in sorted({(a, b), (b, a)})
+    )
     return (
-        counts.select("_rows", F.inline(F.array(*rows)))
-        .where(F.col("n") > 0)
-        .select("signal", "with_signal", "n", (F.col("n") / F.col("_rows")).alias("share"))
+        counts.selectExpr("total", f"inline(array({rows}))")
+        .where("n > 0")
+        .selectExpr("signal", "with_signal", "n", "n / total AS share")
     )
 
 
-def _matches(lowered: Column, pattern: str | Sequence[str], mode: str) -> Column:
+def _matches(lowered: str, pattern: str | Sequence[str], mode: str) -> str:
     if mode == "regex":
-        return lowered.rlike(f"(?U){pattern}")
-    return _has_word(lowered, pattern) if mode == "word" else _contains_any(lowered, pattern)
+        return f"rlike({lowered}, {literal('(?U)' + pattern)})"
+    return has_word(lowered, pattern) if mode == "word" else contains_any(lowered, pattern)
 
 
 def classify_rules(
@@ -156,22 +145,19 @@ def classify_rules(
     pattern as whole words ("word"), substrings ("substring") or one regular
     expression on lower-cased text ("regex").
     """
-    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    number = F.lit(None).cast("int")
-    for position, rule in reversed(list(enumerate(rules))):
-        number = F.when(_matches(F.col("_low"), rule[0], mode), position).otherwise(number)
-    df = settle(df, {"_rule": number})
+    cases = " ".join(f"WHEN {_matches('_low', rule[0], mode)} THEN {i}" for i, rule in enumerate(rules))
+    numbered = settle(df.withColumn("_low", F.expr(_lowered(text))), {"_rule": f"CASE {cases} END"})
 
-    def pick(part: int, otherwise: str) -> Column:
-        names = F.array(*[F.lit(rule[part]) for rule in rules])
-        return F.coalesce(F.get(names, F.col("_rule")), F.lit(otherwise))
+    def pick(part: int, otherwise: str) -> str:
+        return f"coalesce(get(array({literals(rule[part] for rule in rules)}), _rule), {literal(otherwise)})"
 
     added = {intent: pick(1, default)}
     if confidence is not None:
-        added["confidence"] = F.lit(float(confidence))
+        added["confidence"] = f"{float(confidence)}D"
     if default_decision is not None:
         added["decision"] = pick(2, default_decision)
-    return df.withColumns(added).drop("_low", "_rule")
+    kept = [name(c) for c in df.columns if c not in added]
+    return numbered.selectExpr(*kept, *[f"{sql} AS {name(column)}" for column, sql in added.items()])
 
 
 def rules_regex(df: DataFrame, text: str = "text", intent: str = "intent") -> DataFrame:
@@ -199,19 +185,15 @@ def multi_intent(
     mode: str = "substring",
 ) -> DataFrame:
     """Primary and secondary intent by priority among all intents that match."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_low", lowered)
     ordered = sorted(rules, key=lambda rule: list(priority).index(rule[1]))
-    hits = [F.when(_matches(F.col("_low"), rule[0], mode), F.lit(rule[1])) for rule in ordered]
-    return (
-        df.withColumn("_hits", _without_nulls(hits))
-        .withColumns(
-            {
-                "primary_intent": F.coalesce(F.get("_hits", F.lit(0)), F.lit(lx.OTHER)),
-                "secondary_intent": F.get("_hits", F.lit(1)),
-            }
-        )
-        .drop("_low", "_hits")
+    hits = ", ".join(f"CASE WHEN {_matches('_low', rule[0], mode)} THEN {literal(rule[1])} END" for rule in ordered)
+    found = settle(
+        df.withColumn("_low", F.expr(_lowered(text))), {"_hits": f"array_except(array({hits}), {NO_STRINGS})"}
+    )
+    return found.selectExpr(
+        *[name(c) for c in df.columns],
+        f"coalesce(get(_hits, 0), {literal(lx.OTHER)}) AS primary_intent",
+        "get(_hits, 1) AS secondary_intent",
     )
 
 
@@ -222,15 +204,20 @@ def escalate_simple(
     thread_length: str = "thread_length",
 ) -> DataFrame:
     """Escalate multi-turn threads, else any row with one of the substrings."""
-    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    reason = (
-        F.when(F.col(thread_length) > 1, lx.SIMPLE_REASONS["thread"])
-        .when(_contains_any(F.col("_low"), terms), lx.SIMPLE_REASONS["term"])
-        .otherwise(lx.SIMPLE_REASONS["none"])
+    said = {kind: literal(reason) for kind, reason in lx.SIMPLE_REASONS.items()}
+    kept = [name(c) for c in df.columns if c not in ("reason", "decision")]
+    reasoned = settle(
+        df.withColumn("_low", F.expr(_lowered(text))),
+        {
+            "reason": f"CASE WHEN {name(thread_length)} > 1 THEN {said['thread']} "
+            f"WHEN {contains_any('_low', terms)} THEN {said['term']} ELSE {said['none']} END"
+        },
+    )
+    return reasoned.selectExpr(
+        *kept,
+        "reason",
+        f"CASE WHEN reason = {said['none']} THEN {literal(lx.AUTO)} ELSE {literal(lx.ESCALATE)} END AS decision",
     )
-    df = df.withColumn("reason", reason)
-    quiet = F.col("reason") == lx.SIMPLE_REASONS["none"]
-    return df.withColumn("decision", F.when(quiet, lx.AUTO).otherwise(lx.ESCALATE)).drop("_low")
 
 
 def constant_baseline(df: DataFrame, intent: str | Column = lx.INTENTS[0]) -> DataFrame:
@@ -253,8 +240,8 @@ def canned_reply(
     reply: str = "reply",
 ) -> DataFrame:
     """Reply text by intent; the template map is a literal, so there is no join."""
-    table = F.create_map(*[F.lit(x) for item in templates.items() for x in item])
-    return df.withColumn(reply, F.coalesce(F.try_element_at(table, F.col(intent)), F.lit(default)))
+    found = lookup(dict(templates), name(intent))
+    return df.withColumn(reply, F.expr(f"coalesce({found}, {literal(default)})"))
 
 
 def label_actions(df: DataFrame, policy: lx.EscalationPolicy = lx.EscalationPolicy()) -> DataFrame:

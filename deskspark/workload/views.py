@@ -6,9 +6,10 @@ SQL common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskspark.functions.sql import literal, literals, lookup
 from deskspark.functions.text import clean_or_raw
 from deskspark.operators.threads import thread_length
 from deskspark.sources.tables import load
@@ -58,39 +59,37 @@ GOLD_INTENTS = {
 }
 
 
-def _phrase(event_type: Column, variant: Column, amount: Column) -> Column:
-    table = F.create_map(
-        *[x for kind, texts in PHRASES.items() for x in (F.lit(kind), F.array(*map(F.lit, texts)))]
-    )
-    return F.replace(F.get(F.try_element_at(table, event_type), variant), F.lit("{v}"), amount)
+def _phrase() -> str:
+    """SQL text: the wording for the row's event type and k, with the amount filled in."""
+    texts = ", ".join(f"{literal(kind)}, array({literals(texts)})" for kind, texts in PHRASES.items())
+    return f"replace(get(try_element_at(map({texts}), event_type), pmod(k, 4)), '{{v}}', amount)"
 
 
 def tickets_of(events: DataFrame, sequenced: bool = False) -> DataFrame:
     """One support message per event; ``sequenced`` adds the running thread length."""
-    gold = F.create_map(*[F.lit(x) for item in GOLD_INTENTS.items() for x in item])
-    named = events.select(
-        F.col("event_id").alias("ticket_id"),
+    named = events.selectExpr(
+        "event_id AS ticket_id",
         "user_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.to_date("ts").alias("day"),
+        "timestamp(ts) AS ts",
+        "date(ts) AS day",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").try_cast("int").alias("k"),
+        "try_cast(get_json_object(props, '$.k') AS int) AS k",
     )
     if sequenced:
         named = thread_length(named, ["user_id", "day"], "ts", ["ts", "ticket_id"])
-    priced = named.withColumn("amount", F.concat(F.lit("$"), F.col("value").cast("decimal(18,2)").cast("string")))
-    return priced.select(
+    priced = named.withColumn("amount", F.expr("concat('$', string(cast(value AS decimal(18,2))))"))
+    return priced.selectExpr(
         "ticket_id",
         "user_id",
         "ts",
         "day",
         "k",
         "amount",
-        _phrase(F.col("event_type"), F.pmod("k", F.lit(4)), F.col("amount")).alias("raw_text"),
-        ((F.pmod("k", F.lit(50)) + 50) / 100.0).cast("double").alias("confidence"),
-        F.try_element_at(gold, F.col("event_type")).alias("true_intent"),
-        F.when(F.col("value") > 15, "escalate").otherwise("auto_handle").alias("true_action"),
+        f"{_phrase()} AS raw_text",
+        "double(pmod(k, 50) + 50) / 100D AS confidence",
+        f"{lookup(GOLD_INTENTS, 'event_type')} AS true_intent",
+        "CASE WHEN value > 15 THEN 'escalate' ELSE 'auto_handle' END AS true_action",
         *(["thread_length"] if sequenced else []),
     )
 
