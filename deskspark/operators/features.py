@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
-    IDF,
     CountVectorizerModel,
     ElementwiseProduct,
-    HashingTF,
     Normalizer,
     StopWordsRemover,
 )
@@ -72,8 +71,8 @@ def tfidf_terms(
     return weighted.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
-def _vocabulary(terms: DataFrame, weight: Column, max_terms: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent terms and the number of rows holding each, from one combinable count.
+def _vocabulary(terms: DataFrame, weight: Column, max_terms: int) -> dict[str, int]:
+    """The most frequent terms with the number of rows holding each, from one combinable count.
 
     Every occurrence adds to a term's total, its first one per row to the row count.
     """
@@ -92,7 +91,7 @@ def _vocabulary(terms: DataFrame, weight: Column, max_terms: int) -> tuple[list[
         .limit(max_terms)
         .collect()
     )
-    return [row["term"] for row in top], np.array([row["rows"] for row in top], dtype=float)
+    return {row["term"]: row["rows"] for row in top}
 
 
 def fit_tfidf(
@@ -102,25 +101,24 @@ def fit_tfidf(
     """Fit TF-IDF vectors; the returned function adds ``output`` (unit length) to a DataFrame.
 
     The vocabulary (at most ``max_terms`` terms) is what reaches the driver;
-    ``weight`` counts a row as that many copies. ``hashed`` uses that many hash
-    buckets instead of a vocabulary.
+    ``weight`` counts a row as that many copies. ``hashed`` replaces terms by
+    that many hash buckets, so that no term is out of vocabulary.
     """
     stops = english_stop_words() if stop_words is None else list(stop_words)
 
     def with_terms(frame: DataFrame) -> DataFrame:
-        return frame.withColumn("_terms", term_column(F.col(text), stops))
-
-    if hashed:
-        counter = HashingTF(numFeatures=hashed, inputCol="_terms", outputCol="_tf")
-        counted = counter.transform(with_terms(df.select(text)))
-        idf = np.asarray(IDF(inputCol="_tf", outputCol="_idf").fit(counted).idf) + 1.0
-    else:
-        copies = F.col(weight) if weight else F.lit(1)
-        terms = with_terms(df.select(text, copies.cast("bigint").alias("_copies")))
-        vocabulary, holding = _vocabulary(terms, F.col("_copies"), max_terms)
-        rows = df.agg(F.sum(copies)).first()[0]
-        counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
-        idf = np.log((1.0 + rows) / (1.0 + holding)) + 1.0
+        terms = term_column(F.col(text), stops)
+        if hashed:
+            terms = F.transform(terms, lambda t: F.pmod(F.hash(t), F.lit(hashed)).cast("string"))
+        return frame.withColumn("_terms", terms)
+
+    copies = F.col(weight) if weight else F.lit(1)
+    rows = df.agg(F.sum(copies)).first()[0] or 0
+    counted = with_terms(df.select(text, copies.cast("bigint").alias("_copies")))
+    holding = _vocabulary(counted, F.col("_copies"), hashed or max_terms)
+    vocabulary = [str(bucket) for bucket in range(hashed)] if hashed else list(holding)
+    counter = CountVectorizerModel.from_vocabulary(vocabulary or [""], inputCol="_terms", outputCol="_tf")
+    idf = [math.log((1.0 + rows) / (1.0 + holding.get(term, 0))) + 1.0 for term in vocabulary or [""]]
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_scaled")
     stages = PipelineModel([counter, scale, Normalizer(inputCol="_scaled", outputCol=output)])
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from deskspark.lexicon import FALLBACK_EXAMPLES, NO_CONTEXT
 from deskspark.operators.grouped import top_n_per_group
@@ -59,15 +61,18 @@ def _search(wanted: np.ndarray, block: np.ndarray, k: int) -> Iterator[tuple[int
         yield start, rows, cols, scores[rows, cols]
 
 
+def _id_types(queries: DataFrame, corpus: DataFrame) -> list[DataType]:
+    return [queries.schema["_qid"].dataType, corpus.schema["_cid"].dataType]
+
+
 def _hit_schema(queries: DataFrame, corpus: DataFrame) -> pa.Schema:
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [frame.schema[name].dataType.simpleString() for frame, name in ((queries, "_qid"), (corpus, "_cid"))]
-    return pa.schema([("_qid", arrow[types[0]]), ("_cid", arrow[types[1]]), ("similarity", pa.float64())])
+    query, found = map(to_arrow_type, _id_types(queries, corpus))
+    return pa.schema([("_qid", query), ("_cid", found), ("similarity", pa.float64())])
 
 
 def _ddl(queries: DataFrame, corpus: DataFrame) -> str:
-    types = [frame.schema[name].dataType.simpleString() for frame, name in ((queries, "_qid"), (corpus, "_cid"))]
-    return f"_qid {types[0]}, _cid {types[1]}, similarity double"
+    query, found = (t.simpleString() for t in _id_types(queries, corpus))
+    return f"_qid {query}, _cid {found}, similarity double"
 
 
 def _search_block(k: int, schema: pa.Schema):

@@ -34,24 +34,16 @@ def first_reply(messages: DataFrame, brand: str) -> DataFrame:
     ).withColumn("brand_reply", clean_text(F.col("brand_reply")))
 
 
-def first_contacts(
-    messages: DataFrame, brand: str, min_length: int = MIN_LENGTH, keep_brand_posts: bool = False
-) -> DataFrame:
-    """Customer messages that answer nothing, cleaned, one per id, long enough."""
+def first_contacts(messages: DataFrame, brand: str, keep_brand_posts: bool = False) -> DataFrame:
+    """Customer messages that answer nothing, as (customer_tweet_id, text, message_created_at)."""
     opening = F.col("in_response_to_tweet_id").isNull()
     if not keep_brand_posts:
         opening = opening & ~F.col("author_id").eqNullSafe(brand)
-    cleaned = (
-        messages.where(opening)
-        .select(
-            as_id(F.col("tweet_id")).alias("customer_tweet_id"),
-            clean_text(F.col("text")).alias("customer_msg"),
-            mentions(F.col("text")).alias("removed_mentions"),
-            F.col("created_at").alias("message_created_at"),
-        )
-        .where(F.col("customer_tweet_id").isNotNull() & (F.length("customer_msg") >= min_length))
+    return messages.where(opening).select(
+        as_id(F.col("tweet_id")).alias("customer_tweet_id"),
+        F.col("text"),
+        F.col("created_at").alias("message_created_at"),
     )
-    return first_per_key(cleaned, "customer_tweet_id", ["message_created_at", "customer_msg"])
 
 
 def build_threads(
@@ -59,12 +51,20 @@ def build_threads(
 ) -> DataFrame:
     """Customer first contact joined to the first brand reply that points at it.
 
-    Both sides are unique on the message id before the join, so the join key is
-    even whatever the brand's share of the log.
+    Only answered messages pass the semi-join, and only they are cleaned. Both
+    sides are unique on the message id before the join, so the join key is even
+    whatever the brand's share of the log, and all steps share one partitioning
+    on that id.
     """
-    replies = first_reply(messages, brand)
-    customers = first_contacts(messages, brand, min_length, keep_brand_posts)
-    return customers.join(replies, "customer_tweet_id").select(
+    targets = brand_replies(messages, brand).select(
+        F.col("in_response_to_tweet_id").alias("customer_tweet_id")
+    )
+    answered = first_contacts(messages, brand, keep_brand_posts).join(targets, "customer_tweet_id", "left_semi")
+    customers = first_per_key(answered, "customer_tweet_id", ["message_created_at", "text"])
+    threads = customers.join(first_reply(messages, brand), "customer_tweet_id").withColumn(
+        "customer_msg", clean_text(F.col("text"))
+    )
+    return threads.where(F.length("customer_msg") >= min_length).select(
         F.concat(F.lit("thread_"), F.col("customer_tweet_id").cast("string")).alias("thread_id"),
         F.col("customer_tweet_id").cast("string").alias("customer_tweet_id"),
         "customer_msg",
@@ -72,7 +72,7 @@ def build_threads(
         F.col("brand_tweet_id").cast("string").alias("brand_tweet_id"),
         F.col("reply_created_at").alias("created_at"),
         "message_created_at",
-        "removed_mentions",
+        mentions(F.col("text")).alias("removed_mentions"),
     )
 
 

@@ -25,10 +25,10 @@ def prepare(
 def retrieve_context(
     texts: DataFrame, corpus: DataFrame, text_key: str, brand: str, k: int = 3, vector: str = "embedding"
 ) -> DataFrame:
-    """(text_key, retrieved_context) for embedded texts against an embedded thread corpus."""
+    """(text_key, retrieved_context) of the texts with hits in an embedded thread corpus."""
     hits = retrieve.knn(texts, corpus, k, text_key, "thread_id", vector)
     shown = hits.join(corpus.select("thread_id", "customer_msg", "brand_reply"), "thread_id")
-    return retrieve.format_context(shown, brand, text_key, texts)
+    return retrieve.format_context(shown, brand, text_key)
 
 
 def triage(
