@@ -121,10 +121,10 @@ def silhouette_rows(
     sample = placed.orderBy("_hash", "_key").limit(reference_rows).toPandas()
     if sample.empty:
         return df.select(key, cluster, F.lit(None).cast("double").alias("silhouette")).limit(0)
-    last = sample[["_hash", "_key"]].iloc[-1]
-    inside = (F.col("_hash") < last["_hash"]) | (
-        (F.col("_hash") == last["_hash"]) & (F.col("_key") <= F.lit(sample["_key"].iloc[-1].item()))
-    )
+    # Rows up to the sample's last one, in hash order, are the sample itself.
+    last_hash, last_key = sample["_hash"].iloc[-1], sample["_key"].iloc[-1]
+    last_key = last_key.item() if isinstance(last_key, np.generic) else last_key
+    inside = (F.col("_hash") < last_hash) | ((F.col("_hash") == last_hash) & (F.col("_key") <= F.lit(last_key)))
     points = np.stack(sample["_vec"].to_numpy()).astype(np.float64)
     names, codes = np.unique(sample["_cluster"].to_numpy(), return_inverse=True)
     members = np.eye(len(names))[codes]

@@ -15,9 +15,15 @@ TOKEN_END = {"order": r"(?!\d)", "tracking": r"(?!\d)", "money": r"(?!\d|\.\d{2}
 
 
 def fabricated(kind: str, reply: Column, known: Column) -> Column:
-    """Sorted distinct identifiers of one kind that only the reply holds."""
+    """Sorted distinct identifiers of one kind that only the reply holds.
+
+    The longer known text is searched only for replies that hold any.
+    """
     extract = EXTRACTORS[kind]
-    return F.array_sort(F.array_except(extract(reply), extract(known)))
+    held = extract(reply)
+    return F.when(F.size(held) > 0, F.array_sort(F.array_except(held, extract(known)))).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def _mask(text: Column, found: Column, kind: str) -> Column:

@@ -195,10 +195,10 @@ def knn(
     an action.
     """
     part = F.col(partition).cast("string") if partition else F.lit("")
-    base = corpus.where(F.col(vector).isNotNull()).select(
+    base = corpus.where(F.col(vector).isNotNull() & part.isNotNull()).select(
         F.col(corpus_id).alias("_cid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
     )
-    asked = queries.where(F.col(vector).isNotNull()).select(
+    asked = queries.where(F.col(vector).isNotNull() & part.isNotNull()).select(
         F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
     )
     few = base.limit(broadcast_rows + 1).toArrow() if broadcast_rows else None

@@ -64,7 +64,7 @@ def escalate(
             "_legal": matched_terms("_low", policy.legal_terms),
             "_safety": matched_terms("_low", policy.safety_terms),
             "_frustration": matched_terms("_low", policy.frustration_terms),
-            "_money": f"array_join({amounts}, ', ')",
+            "_money": f"CASE WHEN contains({name(text)}, '$') THEN array_join({amounts}, ', ') ELSE '' END",
             "_repeat": f"rlike(_low, {literal('(?U)' + repeat)})",
         },
     )

@@ -244,6 +244,17 @@ def test_knn_is_exact_with_copies_and_zero_vectors(spark, broadcast_rows, block_
     assert found == brute(queries, corpus, 4)
 
 
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_knn_by_part_and_string_ids(spark, broadcast_rows):
+    rows = [("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 0.0]), ("d", None, [1.0, 0.0]), ("e", 3, None)]
+    df = spark.createDataFrame(rows, "id string, part int, embedding array<double>")
+    queries, corpus = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id")
+    got = retrieve.knn(queries, corpus, 1, partition="part", block_rows=2, broadcast_rows=broadcast_rows)
+    assert {r["query_id"]: r["corpus_id"] for r in got.collect()} == {"a": "a", "b": "b", "c": "c"}
+    by_label = retrieve.knn_by_label(queries, corpus.where("part = 2"), "part", 1)
+    assert {r["query_id"]: r["corpus_id"] for r in by_label.collect()} == {"a": "c", "b": "c", "c": "c", "d": "c"}
+
+
 def test_fallback_and_context(spark):
     hits = spark.createDataFrame([(1, 0.9, "m", "r", "t", 1), (1, 0.5, "m2", "r2", "t2", 2)], "query_id long, similarity double, customer_msg string, brand_reply string, thread_id string, rank int")
     queries = spark.createDataFrame([(1,), (2,)], "query_id long")
