@@ -21,15 +21,10 @@ def top_bigrams(
     """
     stops = list(stop_words)
     words = df.select(F.filter(ascii_words(F.col(text)), lambda w: ~w.isin(stops)).alias("w"))
-    pairs = words.where(F.size("w") > 1).select(
-        F.explode(
-            F.zip_with(
-                F.slice("w", 1, F.size("w") - 1),
-                F.slice("w", 2, F.size("w") - 1),
-                lambda a, b: F.concat_ws(" ", a, b),
-            )
-        ).alias("bigram")
-    )
+    # A shifted zip keeps pair building in generated code; no filter on the word list, which would tokenise twice.
+    room = F.greatest(F.size("w") - 1, F.lit(0))
+    neighbours = F.arrays_zip(F.slice("w", 1, room).alias("a"), F.slice("w", 2, room).alias("b"))
+    pairs = words.select(F.inline(neighbours).alias("a", "b")).select(F.concat_ws(" ", "a", "b").alias("bigram"))
     counts = pairs.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
     return counts if n is None else counts.orderBy(F.desc("n"), "bigram").limit(n)
 
