@@ -35,12 +35,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder and cut the lineage.
+    """Materialise once as a table in the shared folder and cut the lineage.
 
-    Row placement is fixed from here on, so later reads agree with each other
-    and a lost executor costs a re-read, not a recomputation.
+    Row placement is fixed from here on, so later reads agree with each other,
+    a lost executor costs a re-read, and later plans prune columns and see sizes.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
