@@ -41,5 +41,5 @@ def freeze(df: DataFrame) -> DataFrame:
     a lost executor costs a re-read, and later plans prune columns and see sizes.
     """
     path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
