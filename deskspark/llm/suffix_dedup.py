@@ -23,7 +23,9 @@ from deskspark.llm import ngrams
 from deskspark.llm.spread import attach, maybe_among
 from deskspark.sources.scratch import freeze
 
-K = 16
+# Bytes of an anchor: long enough that chance rarely repeats one, short enough that anchors stay sparse
+# (two in length - K + 2 positions).
+K = 24
 # A long text is read in pieces that overlap by one string; positions fit in POSITION_BITS.
 PIECE = 1 << 22
 POSITION_BITS = 28
@@ -34,7 +36,7 @@ BATCH = 1 << 21
 
 @dataclass(frozen=True)
 class PassageRule:
-    """``length`` of a repeated string in bytes (24 to 100); anchors with more distinct contexts than
+    """``length`` of a repeated string in bytes (32 to 200); anchors with more distinct contexts than
     ``crowd`` have their strings grouped across tasks instead of in one."""
 
     length: int = 50
@@ -149,7 +151,7 @@ def _pieces(text: bytes, rule: PassageRule) -> Iterator[tuple[int, bytes]]:
 
 def _gram_hashes(blob: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.as_strided(blob[:8].view("<u8"), (len(blob) - 7,), (1,))
-    return ngrams.mixed(view[:-8] * ngrams.M1 ^ ngrams.mixed(view[8:]))
+    return ngrams.mixed((view[:-16] * ngrams.M1 ^ ngrams.mixed(view[8:-8])) * ngrams.M2 + view[16:])
 
 
 def anchors(texts: list[bytes], rule: PassageRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +180,31 @@ def anchors(texts: list[bytes], rule: PassageRule) -> tuple[np.ndarray, np.ndarr
 RECORD = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
 
 
+def _packed(records: np.ndarray) -> bytes:
+    """Records column by column in byte planes, documents as offsets from the least, so that shuffle
+    compression removes the zeros. Of the hash 48 bits go on: a rare clash only adds a candidate."""
+    least = records["doc"].min()
+    columns = [
+        (records["hash"] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6],
+        (np.ascontiguousarray(records["doc"]).view("<u8") - np.int64(least).view(np.uint64)).view(np.uint8).reshape(-1, 8),
+        records["pos"].astype("<i4").view(np.uint8).reshape(-1, 4),
+    ]
+    return np.array([len(records), least], "<i8").tobytes() + b"".join(c.T.tobytes() for c in columns)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, least = np.frombuffer(data, "<i8", 2).tolist()
+    planes = np.frombuffer(data, np.uint8, offset=16).reshape(18, n)
+    out = np.empty(n, RECORD)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, 2:] = planes[:6].T
+    out["hash"] = wide.view("<u8")[:, 0]
+    offsets = np.ascontiguousarray(planes[6:14].T).view("<u8")[:, 0]
+    out["doc"] = (offsets + np.int64(least).view(np.uint64)).view(np.int64)
+    out["pos"] = np.ascontiguousarray(planes[14:].T).view("<i4")[:, 0]
+    return out
+
+
 def _anchor_rows(rule: PassageRule, bits: int):
     """Task code: (doc_id, text) in; (block, known, records) out.
 
@@ -197,12 +224,12 @@ def _anchor_rows(rule: PassageRule, bits: int):
         told["pos"] = -1
         out = []
         for part, flag in ((every[~known], False), (told, False), (every[known], True)):
-            spread = ngrams.mixed(part["doc"].view(np.uint64)) if flag else part["hash"]
+            spread = ngrams.mixed(np.ascontiguousarray(part["doc"]).view(np.uint64)) if flag else part["hash"]
             block = (spread >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             part, block = part[order], block[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(part) else []
-            out += [(int(block[a]), flag, part[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            out += [(int(block[a]), flag, _packed(part[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
         columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))]
         return pa.RecordBatch.from_arrays(columns, ["block", "known", "records"])
 
@@ -236,7 +263,7 @@ def _repeated_spots(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One block: anchors whose hash two documents have, as packed positions by document."""
     parts = {True: [np.empty(0, RECORD)], False: [np.empty(0, RECORD)]}
     for known, records in zip(table.column("known").to_pylist(), table.column("records")):
-        parts[known].append(np.frombuffer(records.as_py(), RECORD))
+        parts[known].append(_unpacked(records.as_py()))
     asked = np.concatenate(parts[False])
     if len(asked):
         asked = asked[np.argsort(asked["hash"], kind="stable")]
@@ -319,46 +346,29 @@ def _runs(least: np.ndarray) -> bytes:
 
 
 def _suffix_groups(rule: PassageRule):
-    """Task code: (anchor, context, first_doc, n) sorted by anchor in; (context, n, firsts) out.
+    """Task code: (anchor, hash, context, first_doc, n) sorted by anchor in; (hash, anchor, n, firsts) out."""
 
-    An anchor with one context has nothing to compare: all its strings came first where the context did.
-    """
-
-    def solve(held: list[tuple[bytes, int, int]], many: bool) -> pa.RecordBatch:
-        if many:
-            found = _first_documents([c for c, _, _ in held], np.array([d for _, d, _ in held]), rule)
-        else:
-            found = [np.full(max(0, len(c) - rule.length), d) for c, d, _ in held]
-        rows = [(c, n, _runs(f)) for (c, d, n), f in zip(held, found) if len(f) and (n > 1 or f.min() < d)]
-        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, ["context", "n", "firsts"])
+    def solve(held: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+        found = _first_documents([r[2] for r in held], np.array([r[3] for r in held]), rule)
+        rows = [
+            (h, anchor, n, _runs(f)) for (anchor, h, _, d, n), f in zip(held, found) if len(f) and (n > 1 or f.min() < d)
+        ]
+        kinds = (("hash", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("firsts", pa.binary()))
+        columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, [name for name, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, single, crowd, size = None, [], [], [], 0
+        at, held, size = None, [], 0
         for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != at:
-                    if len(own) == 1:
-                        single += own
-                    else:
-                        crowd += own
-                        size += sum(len(c) + 1 for c, _, _ in own)
-                    at, own = anchor, []
-                    if size >= BATCH:
-                        yield solve(crowd, True)
-                        crowd, size = [], 0
-                    if len(single) >= 4096:
-                        yield solve(single, False)
-                        single = []
-                own.append(row)
-        if len(own) == 1:
-            single += own
-        else:
-            crowd += own
-        if crowd:
-            yield solve(crowd, True)
-        if single:
-            yield solve(single, False)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != at and size >= BATCH:
+                    yield solve(held)
+                    held, size = [], 0
+                at = row[0]
+                held.append(row)
+                size += len(row[2])
+        if held:
+            yield solve(held)
 
     return run
 
@@ -366,22 +376,28 @@ def _suffix_groups(rule: PassageRule):
 def _crowded(contexts: DataFrame, rule: PassageRule) -> DataFrame:
     """The same for anchors with a crowd of contexts, one row per string, so that no task holds them all."""
     at = F.expr(f"sequence(0, octet_length(context) - {rule.length} - 1)")
-    rows = contexts.where(F.octet_length("context") > rule.length).select(
-        "context", "n", "first_doc", F.explode(at).alias("at")
-    ).withColumn("string", F.expr(f"substring(context, at + 2, {rule.length})"))
+    rows = (
+        contexts.where(F.octet_length("context") > rule.length)
+        .select("key", "n", "first_doc", "context", F.explode(at).alias("at"))
+        .withColumn("string", F.expr(f"substring(context, at + 2, {rule.length})"))
+        .drop("context")
+    )
     firsts = rows.groupBy("string").agg(F.min("first_doc").alias("least"), F.count(F.lit(1)).alias("rows"))
-    met = attach(rows, freeze(firsts), "string", "rows", "context", "inner")
+    met = attach(rows, freeze(firsts), "string", "rows", "at", "inner")
     pairs = F.sort_array(F.collect_list(F.struct("at", "least")))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts = [_runs(np.array([p["least"] for p in row])) for row in batch.column(2).to_pylist()]
+            firsts = [_runs(np.array([p["least"] for p in row])) for row in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(firsts, pa.binary())], ["context", "n", "firsts"]
+                [*batch.columns[:3], pa.array(firsts, pa.binary())], ["hash", "anchor", "n", "firsts"]
             )
 
     return (
-        met.groupBy("context", "n").agg(pairs.alias("pairs")).mapInArrow(packed, "context binary, n bigint, firsts binary")
+        met.groupBy("key", "n")
+        .agg(pairs.alias("pairs"))
+        .select("key.hash", "key.anchor", "n", "pairs")
+        .mapInArrow(packed, "hash bigint, anchor bigint, n bigint, firsts binary")
     )
 
 
@@ -406,15 +422,28 @@ def _spans(rule: PassageRule):
     return run
 
 
+def _copies(docs: DataFrame, rule: PassageRule) -> DataFrame:
+    """``doc_id, end`` of documents with the text of one of smaller doc_id: they lose all their bytes, and
+    whatever starts in them starts in that one before."""
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("bigint").alias("end"))
+    rows = rows.where(F.col("end") >= rule.length)
+    groups = freeze(
+        rows.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    )
+    return attach(rows, groups, "sha", "n", "doc_id", "inner").where("doc_id > least").select("doc_id", "end").distinct()
+
+
 def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFrame:
     """``doc_id, begin, end`` of bytes covered by strings that start in a document of smaller doc_id, of the
     columns ``doc_id, text``; spans of one document may overlap."""
     named = docs.where(F.col("doc_id").isNotNull())
+    copies = freeze(_copies(named, rule))
     bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2
     told = named.mapInArrow(_anchor_rows(rule, bits), "block bigint, known boolean, records binary")
     spots = freeze(
         told.groupBy("block")
         .applyInArrow(_repeated_spots, "doc_id bigint, spots binary")
+        .join(copies, "doc_id", "left_anti")
         .groupBy("doc_id")
         .agg(F.collect_list("spots").alias("spots"))
     )
@@ -423,23 +452,48 @@ def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFr
         texts.join(spots, "doc_id")
         .select("doc_id", "text", "spots")
         .mapInArrow(_contexts(rule), "anchor bigint, context binary, doc_id bigint, start int")
+        .select("context", "doc_id", "start", F.struct("anchor", F.xxhash64("context").alias("hash")).alias("key"))
+    )
+    least = [F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")]
+    distinct = freeze(
+        found.groupBy("key").agg(*least, F.min(F.octet_length("context") - rule.length).alias("strings"))
     )
-    distinct = found.groupBy("anchor", "context").agg(
-        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")
+    several = freeze(distinct.groupBy("key.anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    # An anchor with one context has nothing to compare: all its strings came first where the context did.
+    single = distinct.where("n > 1").join(several, distinct["key.anchor"] == several["anchor"], "left_anti")
+    single = single.select("key", "n", "first_doc", "strings", F.lit(None).cast("binary").alias("firsts"))
+    contexts = freeze(
+        maybe_among(found.withColumn("anchor", F.col("key.anchor")), "anchor", several.select("anchor"))
+        .groupBy("anchor", "key", "context")
+        .agg(*least)
+    )
+    crowds = freeze(several.where(F.col("m") > rule.crowd).select("anchor"))
+    crowded = not crowds.isEmpty()
+    rest = contexts.join(crowds, "anchor", "left_anti") if crowded else contexts
+    kind = "hash bigint, anchor bigint, n bigint, firsts binary"
+    sorted_rest = rest.repartition("anchor").sortWithinPartitions("anchor")
+    firsts = sorted_rest.select("anchor", "key.hash", "context", "first_doc", "n").mapInArrow(_suffix_groups(rule), kind)
+    if crowded:
+        firsts = firsts.unionByName(_crowded(contexts.join(crowds, "anchor", "left_semi"), rule))
+    compared = firsts.join(several, "anchor", "left_semi").select(
+        F.struct("anchor", "hash").alias("key"),
+        "n",
+        F.lit(None).cast("bigint").alias("first_doc"),
+        F.lit(None).cast("int").alias("strings"),
+        "firsts",
     )
-    distinct = freeze(distinct)
-    crowds = freeze(distinct.groupBy("anchor").count().where(F.col("count") > rule.crowd).select("anchor"))
-    kind = "context binary, n bigint, firsts binary"
-    rest = distinct if crowds.isEmpty() else distinct.join(crowds, "anchor", "left_anti")
-    firsts = (
-        rest.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "first_doc", "n")
-    ).mapInArrow(_suffix_groups(rule), kind)
-    if not crowds.isEmpty():
-        firsts = firsts.unionByName(_crowded(distinct.join(crowds, "anchor", "left_semi"), rule))
     met = attach(
-        found.select("context", "doc_id", "start"), freeze(firsts), "context", "n", "doc_id", "inner"
+        found.select("key", "doc_id", "start"), freeze(single.unionByName(compared)), "key", "n", "doc_id", "inner"
+    )
+    plain = met.where("first_doc < doc_id").select(
+        "doc_id",
+        F.col("start").cast("bigint").alias("begin"),
+        (F.col("start") + F.col("strings") - 1 + rule.length).cast("bigint").alias("end"),
     )
-    return met.select("doc_id", "start", "firsts").mapInArrow(_spans(rule), "doc_id bigint, begin bigint, end bigint")
+    mixed = met.where("firsts IS NOT NULL").select("doc_id", "start", "firsts")
+    kind = "doc_id bigint, begin bigint, end bigint"
+    parts = plain.unionByName(mixed.mapInArrow(_spans(rule), kind))
+    return parts.unionByName(copies.select("doc_id", F.lit(0).cast("bigint").alias("begin"), "end"))
 
 
 def remove_repeats(
