@@ -151,7 +151,7 @@ def _pieces(text: bytes, rule: PassageRule) -> Iterator[tuple[int, bytes]]:
 
 def _gram_hashes(blob: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.as_strided(blob[:8].view("<u8"), (len(blob) - 7,), (1,))
-    return ngrams.mixed((view[:-16] * ngrams.M1 ^ ngrams.mixed(view[8:-8])) * ngrams.M2 + view[16:])
+    return ngrams.mixed((view[:-16] * ngrams.M1 ^ view[8:-8]) * ngrams.M2 ^ view[16:])
 
 
 def anchors(texts: list[bytes], rule: PassageRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,14 +438,14 @@ def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFr
     columns ``doc_id, text``; spans of one document may overlap."""
     named = docs.where(F.col("doc_id").isNotNull())
     copies = freeze(_copies(named, rule))
-    bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2
+    bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1
     told = named.mapInArrow(_anchor_rows(rule, bits), "block bigint, known boolean, records binary")
     spots = freeze(
         told.groupBy("block")
         .applyInArrow(_repeated_spots, "doc_id bigint, spots binary")
-        .join(copies, "doc_id", "left_anti")
         .groupBy("doc_id")
         .agg(F.collect_list("spots").alias("spots"))
+        .join(copies, "doc_id", "left_anti")
     )
     texts = maybe_among(named, "doc_id", spots.select("doc_id"))
     found = freeze(
