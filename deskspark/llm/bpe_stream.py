@@ -29,7 +29,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # entries of each of the two generations of known pre-tokens.
 PIECE = 1 << 16
 SHORT = 64
-KNOWN = 1 << 18
+KNOWN = 1 << 17
 
 
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
