@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions.sql import literal
 from deskspark.llm.spread import before_each
+from deskspark.sources.scratch import freeze
 
 # The template: a turn is OPEN, its role, a line break, its text, CLOSE. Both marks
 # hold a character that escaped text cannot hold.
@@ -95,12 +96,14 @@ def format_windows(
     leads = (F.col("place") == 0) & (F.col("role") == "system")
     at = F.col("before")
     end = at + F.col("tokens") - 1
-    cells = placed.withColumns(
-        {
-            "lead": leads,
-            "cell": F.floor(end / budget.fresh).cast("bigint"),
-            "across": F.floor(at / budget.fresh) != F.floor(end / budget.fresh),
-        }
+    cells = freeze(
+        placed.withColumns(
+            {
+                "lead": leads,
+                "cell": F.floor(end / budget.fresh).cast("bigint"),
+                "across": F.floor(at / budget.fresh) != F.floor(end / budget.fresh),
+            }
+        ).drop("text")
     )
     # A turn across the border into a cell: at most one per cell.
     inner = (
