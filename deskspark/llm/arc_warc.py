@@ -153,7 +153,7 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _records():
+def _records(payloads: bool = True):
     """Task code: (path, content) of ARC files in, RECORD rows out, a few at a time."""
 
     def row(path: str, r: dict) -> dict:
@@ -169,7 +169,7 @@ def _records():
             "mime": r.get("Content-type", "text/plain"),
             "status": r.get("Result-code"),
             "http": http.decode(),
-            "payload": payload,
+            "payload": payload if payloads else None,
             "payload_bytes": len(payload),
             "payload_digest": _sha1(payload),
             # Equal payloads are told apart by both digests.
@@ -260,7 +260,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     the response and the others revisits of it."""
     records = read_arc(spark, arc_path)
     hashed = F.xxhash64("payload_key")
-    keys = records.where("kind = 'record'").select("payload_key", "page_id")
+    # A narrow pass: payloads stay in the tasks.
+    narrow = _files(spark, arc_path).mapInArrow(_records(payloads=False), RECORD)
+    keys = freeze(narrow.where("kind = 'record'").select("payload_key", "page_id"))
     groups = freeze(
         keys.groupBy("payload_key")
         .agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
