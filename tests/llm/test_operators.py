@@ -1,0 +1,289 @@
+"""Operators against brute force on small tables with nulls, empty texts, ties, repeats and clashing names."""
+
+import hashlib
+import importlib.util
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from deskspark.llm import (
+    arc_warc,
+    bpe_stream,
+    chat_windows,
+    divergence_rules,
+    importance,
+    interleave_shards,
+    minhash_tensor,
+    pfair_mix,
+    quotient_dedup,
+    suffix_dedup,
+)
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _bucket int, key string"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+TOKENIZER = None
+if importlib.util.find_spec("public_tokenizers"):
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def texts():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(25)]
+    out = [None, "", " \n\t", "one", "One", "one two", "x" * 300, "é" * 90, "a b c\n" * 60, "a b c\n" * 60]
+    for text in base:
+        out += [text, text]
+        near = text.split(" ")
+        near[40] = "changed"
+        out.append(" ".join(near))
+        out.append(text[:200] + " tail " + " ".join(rng.choice(words) for _ in range(60)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", "fr", None)[i % 3], f"s{i % 4}" if i % 7 else None, 0, 1, "k") for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows + [rows[11]], DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_quotient_filter_merges_without_loss():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 1 << 12, 500).astype(np.uint64) << np.uint64(50) for _ in range(3)]
+    filters = []
+    for p in parts:
+        values, counts = np.unique(np.concatenate([p, np.repeat(p[:1], 400)]), return_counts=True)
+        made = quotient_dedup.CountingQuotientFilter(values, counts)
+        filters.append(quotient_dedup.CountingQuotientFilter.from_bytes(made.to_bytes()))
+    values, counts = quotient_dedup.CountingQuotientFilter.merged(filters).items()
+    want = Counter(np.concatenate([np.concatenate([p, np.repeat(p[:1], 400)]) for p in parts]).tolist())
+    assert dict(zip(values.tolist(), counts.tolist())) == dict(want)
+
+
+def test_exact_dedup(docs, empty):
+    pairs = [(r.doc_id, r.text or "") for r in docs.collect()]
+    by = defaultdict(list)
+    for i, t in pairs:
+        by[t].append(i)
+    for r in rows_of(quotient_dedup.duplicate_groups(docs)):
+        same = by[dict(pairs)[r["doc_id"]]]
+        assert (r["keep_id"], r["group_size"]) == (max(same), len(same))
+        assert r["kept"] == (r["doc_id"] == max(same))
+    kept = quotient_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(max(v) for v in by.values())
+    assert quotient_dedup.duplicate_groups(empty).count() == 0 and quotient_dedup.exact_dedup(empty).count() == 0
+
+
+def linked_components(pairs, rule):
+    sets = {}
+    for i, t in pairs:
+        w, k = WORD.findall((t or "").encode().lower()), rule.words
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    name = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and name[a] != name[b]:
+                    if rule.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b])):
+                        name[a] = name[b] = min(name[a], name[b])
+                        changed = True
+    return {i: (len(sets[i]), name[i]) for i in sets}
+
+
+@pytest.mark.parametrize("rule", [minhash_tensor.NearRule(words=3, percent=85), minhash_tensor.NearRule(block=4)])
+def test_near_duplicates(docs, empty, rule):
+    want = linked_components([(r.doc_id, r.text) for r in docs.collect()], rule)
+    got = rows_of(minhash_tensor.near_duplicates(docs, rule))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert minhash_tensor.near_duplicates(empty, rule).count() == 0
+    kept = minhash_tensor.one_of_each(docs, rule)
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+@pytest.mark.parametrize("crowd", [65_536, 2])
+def test_suffix_dedup(docs, empty, crowd):
+    rule = suffix_dedup.PassageRule(crowd=crowd)
+    pairs = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    first = {}
+    for i, b in sorted(pairs.items()):
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], i)
+    for r in rows_of(suffix_dedup.removal_report(docs, rule)):
+        b = pairs[r["doc_id"]]
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 49):
+            if first[b[j : j + 50]] < r["doc_id"]:
+                gone[j : j + 50] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        assert (r["n_removed"], r["n_spans"]) == (int(gone.sum()), runs)
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+    assert suffix_dedup.removal_report(empty, rule).count() == 0
+
+
+@pytest.mark.parametrize("letters", [1, 2, 30])
+def test_two_stage_order(letters):
+    rng = np.random.default_rng(letters)
+    text = np.concatenate([rng.integers(1, letters + 1, 700), [0]]).astype(np.uint8)
+    data, order = text.tobytes(), suffix_dedup.two_stage_order(text, 40)
+    assert sorted(order.tolist()) == list(range(len(data)))
+    keys = [data[i : i + 40] for i in order]
+    assert keys == sorted(keys)
+
+
+@pytest.mark.skipif(TOKENIZER is None, reason="no tokenizer file")
+def test_bpe(spark, docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(TOKENIZER)
+    odd = [None, "", "a<|endoftext|>b", "ab" * 4000, " " * 70_000 + "x", "\n" * 66_000 + " y", "日本語" * 900, "it's \x00"]
+    table = spark.createDataFrame(list(enumerate(odd + texts())), "doc_id bigint, text string")
+    for r in bpe_stream.decode(bpe_stream.encode(table, TOKENIZER), TOKENIZER).collect():
+        want = theirs.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == want
+        assert r.decoded == theirs.decode(want, skip_special_tokens=False)
+    assert bpe_stream.encode(empty, TOKENIZER).count() == 0
+
+
+def test_lookahead_follows_the_longest_chain():
+    merges = [(b"b", b"c"), (b"a", b"bc"), (b"x", b"a"), (b"z", b"q")]
+    assert bpe_stream.sufficient_lookahead(merges) == 3  # b|c, then a|bc, then x|a
+
+
+def test_chat_windows(spark):
+    rng = random.Random(2)
+    rows = [(1, 0, "system", "be # brief"), (2, 0, "system", "alone"), (None, 0, None, None), (3, 0, "user", "w " * 2000)]
+    rows += [(1, t, ("user", "assistant")[t % 2], "tok <x> \\h " * rng.randrange(1, 90)) for t in range(1, 40)]
+    rows += [(4, 0, "user\nx", "### a: </turn>\n"), (4, 1, "assistant", "\\b\\h\\l"), (4, 1, "assistant", "\\b\\h\\l")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = chat_windows.format_windows(table)
+    budget = chat_windows.WindowBudget()
+    assert all(r.n_tokens <= budget.fresh + budget.history + 20 for r in windows.where("conv_id = 1").collect())
+    assert windows.where("conv_id = 1").count() > 2
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t, role or "", text or ""))
+    for r in rows_of(chat_windows.conversation_digests(windows)):
+        turns = sorted(by[r["conv_id"]])
+        blob = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
+        assert r["turns_sha256"] == hashlib.sha256(blob.encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat_windows.format_windows(table.limit(0)).count() == 0
+
+
+def test_archives(spark):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "\r\n\r\nWARC/1.0\r\n", "é" * 50]
+    rows = [(i, None if i == 2 else f"http://h/{i} x", h) for i, h in enumerate(html)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in arc_warc.archive(table).collect()}
+    for i, h in enumerate(html):
+        same = max(j for j, x in enumerate(html) if (x or "") == (h or ""))
+        assert got[i].payload_bytes == len((h or "").encode())
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if same == i else ("revisit", same))
+    assert arc_warc.archive(table.limit(0)).count() == 0
+
+
+def test_arc_versions_and_cut_records():
+    block = arc_warc.ARC_1.format(origin="o").encode()
+    one = f"filedesc://a 0.0.0.0 20010101000000 text/plain {len(block)}\n".encode() + block + b"\n"
+    record = b"http://x/ 1.2.3.4 20010101000000 text/html 3\nabc\n"
+    assert [r["body"] for r in arc_warc.parse_arc(one + record)][1] == b"abc"
+    with pytest.raises(ValueError, match="cut off"):
+        list(arc_warc.parse_arc(one + record[:-3]))
+
+
+def test_shards_match_the_mixture(docs, empty):
+    got = rows_of(interleave_shards.assign_shards(docs, 4))
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(got) == docs.count()
+    for shard, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(n))
+    sources = Counter(r["source"] for r in got)
+    for (shard, source), n in Counter((r["shard"], r["source"]) for r in got).items():
+        assert abs(n - sources[source] / 4) <= 2
+    assert interleave_shards.assign_shards(empty).count() == 0
+
+
+def test_pfair_mix(docs, empty):
+    weights = {"s0": 5.0, "s1": 1.0, "s2": 1.0, "s3": 2.5, None: 0.5}
+    shares = pfair_mix.whole_shares(weights, 64)
+    seen = Counter()
+    for t, (source, _, release, deadline, slot) in enumerate(pfair_mix.one_period(shares)):
+        assert release <= slot < deadline
+        seen[source] += 1
+        assert all(abs(seen[s] - a * (t + 1) / 64) < 1 for s, a in shares.items())
+    placed = pfair_mix.schedule(docs, weights, block_rows=2, period=64)
+    assert sorted(r["_mix"]["position"] for r in placed.collect()) == list(range(docs.count()))
+    assert pfair_mix.mix(docs, weights).columns == docs.columns
+    assert pfair_mix.mix(empty, {}).count() == 0
+
+
+def test_quality_rules(docs, empty):
+    rows = rows_of(divergence_rules.assess(docs))
+    by = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows:
+        words = [w.decode() for w in WORD.findall(by[r["doc_id"]].encode())]
+        wins = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        spots = {i + k for i in range(len(words) - 2) for k in range(3) if wins[tuple(words[i : i + 3])] > 1}
+        lines = [x for x in by[r["doc_id"]].split("\n") if WORD.search(x.encode())]
+        assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words))
+        assert (r["n_repeat_words"], r["n_dup_lines"]) == (len(spots), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(words) < 50 or 2 * len(spots) > len(words))
+    passing = divergence_rules.passing(docs)
+    assert passing.columns == docs.columns
+    assert sorted(r.doc_id for r in passing.collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
+    assert divergence_rules.assess(empty).count() == 0
+
+
+def test_importance_prefers_text_like_the_target(spark, empty):
+    rng = random.Random(1)
+    good = [f"g{i}" for i in range(40)]
+    bad = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(60))) for i in range(200)] + [(900, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    targets = spark.createDataFrame([(i,) for i in range(1, 100, 2)], "id bigint")
+    got = rows_of(importance.resample(table, targets, 100))
+    held_out = [r for r in got if 100 <= r["doc_id"] < 200]
+    assert sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in held_out) >= 0.95 * len(held_out)
+    assert next(r for r in got if r["doc_id"] == 900)["log_weight"] == 0
+    assert sorted(r["rank"] for r in got) == list(range(201))
+    assert importance.resample(empty, targets, 5).count() == 0
+
+
+def test_pipeline_stages_follow_each_other(spark):
+    if TOKENIZER is None:
+        pytest.skip("no tokenizer file")
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    left = {r["doc_id"] for r in rows_of(divergence_rules.assess(docs)) if r["kept"]}
+    by = defaultdict(list)
+    for i in left:
+        by[rows[i].text].append(i)
+    left = {max(v) for v in by.values()}
+    near = linked_components([(i, rows[i].text) for i in left], minhash_tensor.NearRule())
+    left = {i for i, (_, c) in near.items() if i == c}
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in out} == left and len(out) == len(left)
+    for r in out:
+        assert r.text == rows[r.doc_id].text
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and 4 * r.n_tokens == len(r.ids)
