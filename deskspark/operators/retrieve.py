@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from deskspark.lexicon import FALLBACK_EXAMPLES, NO_CONTEXT
+from deskspark.lexicon import NO_CONTEXT
 from deskspark.operators.grouped import top_n_per_group
 from deskspark.sources.scratch import freeze
 
@@ -327,7 +327,7 @@ def knn_by_label(
 def with_fallback(
     hits: DataFrame,
     queries: DataFrame,
-    defaults: Sequence[Mapping] = FALLBACK_EXAMPLES,
+    defaults: Sequence[Mapping],
     query_id: str = "query_id",
     k: int = 3,
 ) -> DataFrame:

@@ -36,7 +36,8 @@ def first_reply(messages: DataFrame, brand: str) -> DataFrame:
 
 def first_contacts(messages: DataFrame, brand: str, keep_brand_posts: bool = False) -> DataFrame:
     """Customer messages that answer nothing, as (customer_tweet_id, text, message_created_at)."""
-    opening = F.col("in_response_to_tweet_id").isNull()
+    pointer = F.col("in_response_to_tweet_id")
+    opening = pointer.isNull() | (F.trim(pointer.cast("string")) == "")
     if not keep_brand_posts:
         opening = opening & ~F.col("author_id").eqNullSafe(brand)
     return messages.where(opening).select(

@@ -98,8 +98,12 @@ def predictions(
     golden: DataFrame, key: str, policy: lx.EscalationPolicy = lx.EscalationPolicy(),
     constant_intent: str | Column = lx.INTENTS[0],
 ) -> DataFrame:
-    """(key, true_intent, true_action, model, intent, decision) of the three systems, one golden scan."""
-    wide, systems = system_columns(golden, policy, constant_intent)
+    """(key, true_intent, true_action, model, intent, decision) of the three systems, one golden scan.
+
+    Rows without a label are no truth to compare with and are left out.
+    """
+    labelled = golden.where("true_intent IS NOT NULL AND true_action IS NOT NULL")
+    wide, systems = system_columns(labelled, policy, constant_intent)
     return metrics.stack_columns(wide, systems, [key, "true_intent", "true_action"])
 
 

@@ -29,7 +29,9 @@ def read_messages(spark: SparkSession, path: str | Sequence[str], multiline: boo
     Quoted texts may hold line breaks. A multi-line file cannot be split, so
     parallelism comes from the number of files; pass ``multiline=False`` for
     logs without line breaks to let Spark split each file. Columns are matched
-    by the header, other columns are ignored, unparseable ids become NULL.
+    by the header, other columns are ignored, unparseable ids become NULL. The
+    reply pointer stays as written: a bad one is no reply, but not a first
+    contact either.
     """
     reader = (
         spark.read.option("header", True)
@@ -49,7 +51,7 @@ def read_messages(spark: SparkSession, path: str | Sequence[str], multiline: boo
         "author_id",
         "created_at",
         "text",
-        as_id(F.col("in_response_to_tweet_id")).alias("in_response_to_tweet_id"),
+        "in_response_to_tweet_id",
     )
 
 
@@ -73,11 +75,10 @@ def write_tables(threads: DataFrame, messages: DataFrame, folder: str) -> tuple[
 
 
 def resolve(df: DataFrame, names: Sequence[str], default: str | None = None) -> Column:
-    """First non-null of the columns that exist, else the default."""
+    """First non-null of the columns that exist; the default stands in only when none of them does, so that
+    an empty cell stays NULL instead of becoming a label."""
     found: list[Column] = [F.col(n) for n in names if n in df.columns]
-    if default is not None:
-        found.append(F.lit(default))
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    return F.coalesce(*found) if found else F.lit(default).cast("string")
 
 
 def golden_columns(df: DataFrame) -> DataFrame:

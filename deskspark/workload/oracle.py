@@ -7,7 +7,7 @@ same fixed tables, the logic is written separately in SQL.
 from __future__ import annotations
 
 from deskspark import lexicon as lx
-from deskspark.workload.views import GOLD_INTENTS, PHRASES
+from deskspark.workload.views import DEFAULT_EXAMPLES, GOLD_INTENTS, PHRASES
 
 
 def quoted(text: str) -> str:
@@ -328,7 +328,7 @@ FROM hits"""
 _defaults = " UNION ALL ".join(
     f"SELECT CAST({d['similarity']} AS DOUBLE) AS similarity, {quoted(d['customer_msg'])} AS customer_msg, "
     f"{quoted(d['brand_reply'])} AS brand_reply, {quoted(d['thread_id'])} AS thread_id, {i} AS rank"
-    for i, d in enumerate(lx.FALLBACK_EXAMPLES, 1)
+    for i, d in enumerate(DEFAULT_EXAMPLES, 1)
 )
 _replies = " ".join(f"WHEN '{i}' THEN {quoted(t)}" for i, t in lx.REPLY_TEMPLATES.items())
 _stops = listed(lx.BIGRAM_STOP_WORDS)

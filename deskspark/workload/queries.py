@@ -460,7 +460,7 @@ def _examples(spark, sf):
 @query
 def knn_fallback(spark, sf):
     shown, asked = _examples(spark, sf)
-    return _rounded(retrieve.with_fallback(shown, asked))
+    return _rounded(retrieve.with_fallback(shown, asked, views.DEFAULT_EXAMPLES))
 
 
 @query

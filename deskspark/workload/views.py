@@ -183,3 +183,14 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.replace(body, F.lit('"intent": "'), F.lit('"intent": " The ')))
     )
     return raw_tickets(spark, sf, sequenced=False).select("ticket_id", raw.alias("raw"))
+
+
+# Shown to a query without similar messages: invented exchanges, least certain last.
+DEFAULT_EXAMPLES = [
+    {"similarity": 0.40, "customer_msg": "the lamp I bought flickers", "brand_reply": "Try another bulb first. ^Help",
+     "thread_id": "default-a"},
+    {"similarity": 0.30, "customer_msg": "can I change my seat", "brand_reply": "Yes, under your booking. ^Help",
+     "thread_id": "default-b"},
+    {"similarity": 0.20, "customer_msg": "the page will not print", "brand_reply": "Which browser is it? ^Help",
+     "thread_id": "default-c"},
+]

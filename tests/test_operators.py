@@ -19,6 +19,7 @@ from deskspark.operators import (
 )
 from deskspark.plans import jobs
 from deskspark.sources import tables
+from deskspark.workload.views import DEFAULT_EXAMPLES
 
 
 # --- Threads ---
@@ -258,7 +259,7 @@ def test_knn_by_part_and_string_ids(spark, broadcast_rows):
 def test_fallback_and_context(spark):
     hits = spark.createDataFrame([(1, 0.9, "m", "r", "t", 1), (1, 0.5, "m2", "r2", "t2", 2)], "query_id long, similarity double, customer_msg string, brand_reply string, thread_id string, rank int")
     queries = spark.createDataFrame([(1,), (2,)], "query_id long")
-    filled = retrieve.with_fallback(hits, queries)
+    filled = retrieve.with_fallback(hits, queries, DEFAULT_EXAMPLES)
     assert {r["query_id"]: r["count"] for r in filled.groupBy("query_id").count().collect()} == {1: 2, 2: 3}
     texts = {r["query_id"]: r["retrieved_context"] for r in retrieve.format_context(hits, "Desk", queries=queries).collect()}
     assert texts[2] == lx.NO_CONTEXT
@@ -360,3 +361,16 @@ def test_embeddings_are_added_once(spark, tmp_path):
 def test_metrics_json(spark, tmp_path):
     tables.write_metrics(spark.createDataFrame([("full", 0.5)], "model string, f1 double"), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first()["f1"] == 0.5
+
+
+def test_bad_pointers_and_empty_labels(spark, tmp_path):
+    log = tmp_path / "log.csv"
+    log.write_text(
+        "tweet_id,author_id,created_at,text,in_response_to_tweet_id\n"
+        "1,c,2020-01-01,where is my parcel,x\n2,b,2020-01-02,please write to us,1\n"
+        "3,c,2020-01-01,my refund is late,\n4,b,2020-01-02,we look at it,3.0\n"
+    )
+    found = threads.build_threads(tables.read_messages(spark, str(log)), "b")
+    assert [r["customer_tweet_id"] for r in found.collect()] == ["3"]
+    golden = tables.golden_columns(spark.createDataFrame([("a", None)], "text string, primary_intent string")).first()
+    assert (golden["true_intent"], golden["true_action"]) == (None, "auto_handle")
