@@ -30,6 +30,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE = 1 << 16
 SHORT = 64
 KNOWN = 1 << 17
+# Rows handed on at a time.
+ROWS = 256
 
 
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -204,8 +206,10 @@ def _mapped(df: DataFrame, path: str, source: str, target: str, kind: pa.DataTyp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = getattr(transducer(path), name)
         for batch in batches:
-            made = pa.array([make(x.as_py()) for x in batch.column(at)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, target])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                made = pa.array([make(x.as_py()) for x in part.column(at)], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, target])
 
     made = T.BinaryType() if kind == pa.binary() else T.StringType()
     schema = T.StructType([*df.schema.fields, T.StructField(target, made)])
