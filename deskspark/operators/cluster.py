@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -16,13 +14,10 @@ from pyspark.sql import functions as F
 
 from deskspark.operators.grouped import top_n_per_group
 from deskspark.operators.profile import class_distribution
-from deskspark.operators.sampling import hash_order
 
 N_INIT = 10
 PARALLEL_STARTS = 4
 KS = range(5, 13)
-REFERENCE_ROWS = 1500
-MAX_REFERENCE_ROWS = 20_000
 
 
 def with_vectors(df: DataFrame, vector: str = "embedding", output: str = "features") -> DataFrame:
@@ -63,12 +58,10 @@ def silhouette(df: DataFrame, cluster: str = "cluster", features: str = "feature
 
 def sweep_k(
     df: DataFrame, ks: Sequence[int] = KS, seed: int = 42, n_init: int = N_INIT, vector: str = "embedding",
-    key: str | None = None, exact: bool = False, reference_rows: int = REFERENCE_ROWS,
 ) -> DataFrame:
-    """One row per k: silhouette, training cost and whether k is the best.
+    """One row per k: silhouette (squared Euclidean), training cost and whether k is the best.
 
-    ``exact`` scores with plain Euclidean distance (see silhouette_rows), else
-    the linear-time squared form is used. The features are kept for all fits.
+    The features are kept for all fits.
     """
     spark = df.sparkSession
     features = with_vectors(df, vector).persist()
@@ -76,12 +69,7 @@ def sweep_k(
     for k in ks:
         model = fit_kmeans(features, k, seed, n_init)
         clustered = model.transform(features)
-        if exact:
-            score = silhouette_rows(clustered, key, "cluster", vector, reference_rows, seed).agg(
-                F.avg("silhouette")
-            ).first()[0]
-        else:
-            score = silhouette(clustered)
+        score = silhouette(clustered)
         rows.append((int(k), float(score), float(model.summary.trainingCost)))
     features.unpersist()
     best = max(rows, key=lambda row: (row[1], -row[0]))[0]
@@ -99,59 +87,3 @@ def cluster_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 def cluster_examples(df: DataFrame, order: Sequence[Column], n: int = 5, cluster: str = "cluster") -> DataFrame:
     """The first n rows of each cluster."""
     return top_n_per_group(df, [cluster], order, n)
-
-
-def silhouette_rows(
-    df: DataFrame, key: str, cluster: str = "cluster", vector: str = "embedding",
-    reference_rows: int = REFERENCE_ROWS, seed: int = 42,
-) -> DataFrame:
-    """Euclidean silhouette of every row as (key, cluster, silhouette).
-
-    Distances are taken to a seeded reference sample of at most
-    ``reference_rows`` rows, which is the whole table when it is no larger (the
-    result is then the exact silhouette). The sample is the only thing shipped
-    to tasks, and its size is bounded.
-    """
-    if reference_rows > MAX_REFERENCE_ROWS:
-        raise ValueError(f"reference_rows must not exceed {MAX_REFERENCE_ROWS}")
-    rows = df.where(F.col(vector).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(cluster).alias("_cluster"), F.col(vector).cast("array<double>").alias("_vec")
-    )
-    placed = rows.withColumn("_hash", hash_order(seed, "_key"))
-    sample = placed.orderBy("_hash", "_key").limit(reference_rows).toPandas()
-    if sample.empty:
-        return df.select(key, cluster, F.lit(None).cast("double").alias("silhouette")).limit(0)
-    # Rows up to the sample's last one, in hash order, are the sample itself.
-    last_hash, last_key = sample["_hash"].iloc[-1], sample["_key"].iloc[-1]
-    last_key = last_key.item() if isinstance(last_key, np.generic) else last_key
-    inside = (F.col("_hash") < last_hash) | ((F.col("_hash") == last_hash) & (F.col("_key") <= F.lit(last_key)))
-    points = np.stack(sample["_vec"].to_numpy()).astype(np.float64)
-    names, codes = np.unique(sample["_cluster"].to_numpy(), return_inverse=True)
-    members = np.eye(len(names))[codes]
-    sizes = members.sum(axis=0)
-    norms = (points * points).sum(axis=1)
-
-    @F.pandas_udf("double")
-    def score(vec: pd.Series, own: pd.Series, sampled: pd.Series) -> pd.Series:
-        if len(vec) == 0:
-            return pd.Series([], dtype="float64")
-        x = np.stack(vec.to_numpy()).astype(np.float64)
-        squared = (x * x).sum(axis=1)[:, None] + norms[None, :] - 2.0 * (x @ points.T)
-        totals = np.sqrt(np.maximum(squared, 0.0)) @ members
-        at = np.clip(np.searchsorted(names, own.to_numpy()), 0, len(names) - 1)
-        known = names[at] == own.to_numpy()
-        row = np.arange(len(x))
-        others_in_own = np.where(known, sizes[at] - sampled.to_numpy().astype(float), 0.0)
-        mean = totals / sizes
-        a = np.divide(totals[row, at], others_in_own, out=np.zeros(len(x)), where=others_in_own > 0)
-        mean[row[known], at[known]] = np.inf
-        b = mean.min(axis=1)
-        top = np.maximum(a, b)
-        usable = (others_in_own > 0) & np.isfinite(b) & (top > 0)
-        return pd.Series(np.divide(b - a, top, out=np.zeros(len(x)), where=usable))
-
-    return placed.select(
-        F.col("_key").alias(key),
-        F.col("_cluster").alias(cluster),
-        score("_vec", "_cluster", inside).alias("silhouette"),
-    )

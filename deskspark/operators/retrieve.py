@@ -1,38 +1,34 @@
-"""Exact top-k retrieval by dot product, without materialising pairs.
+"""Top-k retrieval by dot product, without materialising pairs.
 
-The corpus is split into cells around pivot vectors, and large cells into blocks
-of bounded size. A query first searches one block near it; its k-th similarity
-there is a floor. Every further cell whose upper bound reaches the floor is
-searched too, so the result equals a full search. Query chunks and corpus blocks
-meet in bounded groups that emit k rows per query and block.
+Corpus blocks and query chunks of bounded size meet in groups that emit k rows
+per query and block. ``knn`` lets every chunk meet every block of its partition
+value and is exact, at a cost of queries times corpus rows. ``knn_cells`` cuts
+the corpus into k-means cells and searches the nearest ones only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from deskspark.lexicon import NO_CONTEXT
+from deskspark.operators import cluster
 from deskspark.operators.grouped import top_n_per_group
-from deskspark.sources.scratch import freeze
 
-# A corpus of at most this many rows and bytes travels to the tasks whole.
-BROADCAST_ROWS = 16_384
-BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+# Tasks over which the rows of one partition value are dealt when they look up its layout.
+SALTS = 64
+# Rows that k-means cells are fitted on at most; all rows are then assigned.
+FIT_ROWS = 20_000
 # Similarities are rounded before ranking so that equal vectors tie exactly.
 DIGITS = 9
-SLACK = 1e-6
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -99,81 +95,51 @@ def _search_block(k: int, schema: pa.Schema):
     return search
 
 
-def _broadcast_search(asked: DataFrame, base: DataFrame, corpus: pa.Table, k: int) -> DataFrame:
-    """All queries against a small corpus inside the query scan: no shuffle, ranks included."""
-    schema = _hit_schema(asked, base)
-    corpus = corpus.sort_by([("_cid", "descending")])
-    parts = {}
-    for part in pc.unique(corpus.column("_part")).to_pylist():
-        rows = corpus.filter(pc.equal(corpus.column("_part"), part))
-        parts[part] = (rows.column("_cid").combine_chunks(), _matrix(rows.column("_vec"), rows.num_rows))
-    out = schema.append(pa.field("rank", pa.int32()))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for part in pc.unique(table.column("_part")).to_pylist():
-                if part not in parts:
-                    continue
-                ids, block = parts[part]
-                queries = table.filter(pc.equal(table.column("_part"), part))
-                wanted = _matrix(queries.column("_vec"), queries.num_rows)
-                for start, rows, cols, scores in _search(wanted, block, k):
-                    order = np.lexsort((cols, -scores, rows))
-                    rows, cols, scores = rows[order], cols[order], scores[order]
-                    rank = np.arange(rows.size) - np.searchsorted(rows, rows) + 1
-                    columns = [
-                        queries.column("_qid").combine_chunks().take(pa.array(rows + start)),
-                        ids.take(pa.array(cols)), pa.array(scores), pa.array(rank, pa.int32()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [c.cast(f.type) for c, f in zip(columns, out)], schema=out
-                    )
-
-    return asked.mapInArrow(search, _ddl(asked, base) + ", rank int")
-
-
-def _pivot_scores(pivots: np.ndarray):
-    """Pandas UDF: dot product of each vector with every pivot."""
-
-    @F.pandas_udf("array<double>")
-    def scores(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(vectors.to_numpy()).astype(np.float64) @ pivots.T))
+def _asked(queries: DataFrame, query_id: str, vector: str, part) -> DataFrame:
+    return queries.where(F.col(vector).isNotNull() & part.isNotNull()).select(
+        F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
+    )
 
-    return scores
 
+def _base(corpus: DataFrame, corpus_id: str, vector: str, part) -> DataFrame:
+    return corpus.where(F.col(vector).isNotNull() & part.isNotNull()).select(
+        F.col(corpus_id).alias("_cid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
+    )
 
-def _norm(vector: str) -> Column:
-    return F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda acc, x: acc + x * x))
 
+def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Hits of every query in every block of its partition value.
 
-def _block_search(
-    routed: DataFrame, corpus: DataFrame, keys: Sequence[str], k: int, block_rows: int
-) -> DataFrame:
-    """Search each query in the block it is routed to.
-
-    Both sides of a group stay bounded: blocks by construction, queries because
-    a block with many queries is replicated once per chunk of them.
+    A value with n rows has ceil(n / block_rows) slices on either side, so both
+    sides of a group are bounded however the rows are spread over the values.
     """
-    chunks = routed.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_chunks")
-    )
-    left = routed.join(chunks, list(keys)).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_qid"), F.col("_chunks")).cast("int")
-    )
-    right = corpus.join(chunks, list(keys)).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    )
-    search = _search_block(k, _hit_schema(routed, corpus))
-    group = [*keys, "_chunk"]
-    return (
-        left.select(*group, "_qid", "_vec")
-        .groupBy(*group)
-        .cogroup(right.select(*group, "_cid", "_vec").groupBy(*group))
-        .applyInArrow(search, _ddl(routed, corpus))
-    )
+
+    def slices(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+
+    layout = slices(asked, "_chunks").join(slices(base, "_blocks"), "_part")
+    layout = layout.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    def placed(rows: DataFrame, key: str, own: str, own_slices: str, other: str, other_slices: str) -> DataFrame:
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS)).cast("int"))
+        return dealt.join(layout, ["_part", "_salt"]).select(
+            "_part",
+            key,
+            "_vec",
+            F.pmod(F.xxhash64(key), F.col(own_slices)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_slices) - 1)).alias(other),
+        )
+
+    left = placed(asked, "_qid", "_chunk", "_chunks", "_block", "_blocks")
+    right = placed(base, "_cid", "_block", "_blocks", "_chunk", "_chunks")
+    group = ["_part", "_chunk", "_block"]
+    search = _search_block(k, _hit_schema(asked, base))
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, _ddl(asked, base))
+
+
+def _ranked(hits: DataFrame, k: int, query_id: str, corpus_id: str) -> DataFrame:
+    best = top_n_per_group(hits, ["_qid"], [F.desc("similarity"), F.desc("_cid")], k)
+    return best.select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "similarity", "rank")
 
 
 def knn(
@@ -185,127 +151,69 @@ def knn(
     vector: str = "embedding",
     partition: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(query_id, corpus_id, similarity, rank): the k corpus rows with the largest dot product.
 
     Ties go to the larger id. With ``partition`` a query only sees corpus rows
-    of its own partition value. A corpus within the broadcast bounds is searched
-    in the query scan; a larger one through pruned blocks. Sizing the corpus is
-    an action.
+    of its own partition value. Exact: the work is queries times corpus rows;
+    :func:`knn_cells` is the way for two large sides.
     """
     part = F.col(partition).cast("string") if partition else F.lit("")
-    base = corpus.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(corpus_id).alias("_cid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
-    )
-    asked = queries.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
-    )
-    few = base.limit(broadcast_rows + 1).toArrow() if broadcast_rows else None
-    if few is not None and few.num_rows <= broadcast_rows and few.nbytes <= BROADCAST_BYTES:
-        best = _broadcast_search(asked, base, few, k)
-    else:
-        hits = _pruned_search(asked, base, k, block_rows)
-        best = top_n_per_group(hits, ["_qid"], [F.desc("similarity"), F.desc("_cid")], k)
-    return best.select(
-        F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), "similarity", "rank"
-    )
+    asked, base = _asked(queries, query_id, vector, part), _base(corpus, corpus_id, vector, part)
+    return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
 
 
-def _pruned_search(asked: DataFrame, base: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Hits of an exact search; vectors of both sides are written once and read by every step."""
-    keys = ["_part", "_cell", "_split"]
-    base = freeze(base)
-    pivot_count = max(1, min(MAX_PIVOTS, math.ceil(base.count() / block_rows)))
-    # A bounded draw: at most MAX_PIVOTS vectors reach the driver.
-    drawn = base.orderBy(F.md5(F.col("_cid").cast("string")), "_cid").limit(pivot_count).select("_vec").collect()
-    pivots = np.array([row["_vec"] for row in drawn], dtype=np.float64)
-    to_pivots = _pivot_scores(pivots)
-    squares = F.array(*[F.lit(float(p @ p)) for p in pivots])
-
-    def pivot_distance(dots: Column, norm: Column) -> Column:
-        """Distance to every pivot from dot products: sqrt(|x|^2 - 2 x.p + |p|^2)."""
-        return F.zip_with(
-            dots, squares, lambda dot, sq: F.sqrt(F.greatest(norm * norm - 2 * dot + sq, F.lit(0.0)))
-        )
+def _nearest_cells(centres: np.ndarray, probes: int):
+    """Pandas UDF: the ``probes`` cells whose centres are nearest, nearest first."""
+    squares = (centres * centres).sum(axis=1)
 
-    located = freeze(
-        base.withColumns({"_dots": to_pivots("_vec"), "_norm": _norm("_vec")})
-        .withColumn("_dist", pivot_distance(F.col("_dots"), F.col("_norm")))
-        .withColumn("_near", F.array_min("_dist"))
-        .withColumn("_cell", F.array_position("_dist", F.col("_near")).cast("int") - 1)
-        .select("_part", "_cell", "_cid", "_vec", "_near", "_norm")
-    )
-    cells = (
-        located.groupBy("_part", "_cell")
-        .agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_splits"),
-            F.max("_near").alias("_radius"),
-            F.max("_norm").alias("_longest"),
-        )
-    )
-    blocks = (
-        located.join(cells.select("_part", "_cell", "_splits"), ["_part", "_cell"])
-        .withColumn("_split", F.pmod(F.xxhash64("_cid"), F.col("_splits")).cast("int"))
-        .select(*keys, "_cid", "_vec")
-    )
-    # At most MAX_PIVOTS entries per partition value.
-    layout = cells.groupBy("_part").agg(
-        F.collect_list(F.struct("_cell", "_splits", "_radius", "_longest")).alias("_cells")
-    )
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if len(vectors) == 0:
+            return pd.Series([], dtype=object)
+        gaps = squares - 2 * (np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T)
+        return pd.Series(list(np.argsort(gaps, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    def bound(cell: Column) -> Column:
-        """No vector of the cell scores higher: the smaller of the Cauchy-Schwarz and triangle bounds."""
-        at = cell["_cell"] + 1
-        cauchy = F.element_at("_dots", at) + F.col("_norm") * cell["_radius"]
-        gap = F.greatest(F.element_at("_dist", at) - cell["_radius"], F.lit(0.0))
-        triangle = (F.col("_norm") * F.col("_norm") + cell["_longest"] * cell["_longest"] - gap * gap) / 2
-        return F.least(cauchy, triangle)
-
-    scored = freeze(
-        asked.withColumns({"_dots": to_pivots("_vec"), "_norm": _norm("_vec")})
-        .withColumn("_dist", pivot_distance(F.col("_dots"), F.col("_norm")))
-        .join(layout, "_part")
-        .withColumn(
-            "_bounds",
-            F.transform(
-                "_cells",
-                lambda c: F.struct(
-                    F.element_at("_dots", c["_cell"] + 1).alias("score"),
-                    c["_cell"].alias("cell"),
-                    c["_splits"].alias("splits"),
-                    bound(c).alias("bound"),
-                ),
-            ),
-        )
-        .withColumn("_home", F.array_max("_bounds")["cell"])
-        .select("_qid", "_part", "_vec", "_bounds", "_home")
-    )
-    first = _block_search(
-        scored.select("_qid", "_part", "_vec", F.col("_home").alias("_cell"), F.lit(0).alias("_split")),
-        blocks, keys, k, block_rows,
-    )
-    # The k-th similarity of the first block; a block with fewer than k rows gives no floor.
-    floors = first.groupBy("_qid").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("_floor")
+    return nearest
+
+
+def knn_cells(
+    queries: DataFrame,
+    corpus: DataFrame,
+    cells: int,
+    probes: int,
+    k: int = 3,
+    query_id: str = "query_id",
+    corpus_id: str = "corpus_id",
+    vector: str = "embedding",
+    seed: int = 42,
+    fit_rows: int = FIT_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Like :func:`knn`, searching the ``probes`` nearest of ``cells`` k-means cells per query.
+
+    Centres are fitted on at most ``fit_rows`` rows in seeded order; every corpus
+    row is then put in its nearest cell. ``probes = cells`` is exact, fewer
+    probes lose some neighbours: measure the recall on your vectors. A cell of any size is
+    cut into blocks. Only the centres reach the driver.
+    """
+    key = F.col(corpus_id)
+    held = corpus.where(F.col(vector).isNotNull())
+    fitted = held.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key).limit(fit_rows)
+    features = cluster.with_vectors(fitted.select(vector), vector).select("features").persist()
+    if features.isEmpty():
+        return knn(queries, corpus, k, query_id, corpus_id, vector)
+    model = cluster.fit_kmeans(features, cells, seed, 1)
+    features.unpersist()
+    centres = np.stack(model.clusterCenters())
+    base = _base(held, corpus_id, vector, F.lit("")).withColumn(
+        "_part", F.get(_nearest_cells(centres, 1)("_vec"), F.lit(0))
     )
-    reachable = (
-        scored.join(floors, "_qid", "left")
-        .withColumn(
-            "_cell_open",
-            F.explode(
-                F.filter(
-                    "_bounds",
-                    lambda b: F.col("_floor").isNull() | (b["bound"] >= F.col("_floor") - F.lit(SLACK)),
-                )
-            ),
-        )
-        .select("_qid", "_part", "_vec", "_home", "_cell_open.*")
-        .withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-        .where((F.col("cell") != F.col("_home")) | (F.col("_split") != 0))
-        .select("_qid", "_part", "_vec", F.col("cell").alias("_cell"), "_split")
+    asked = _asked(queries, query_id, vector, F.lit("")).withColumn(
+        "_part", F.explode(_nearest_cells(centres, probes)("_vec"))
     )
-    return first.unionByName(_block_search(reachable, blocks, keys, k, block_rows))
+    return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
+
 
 
 def knn_by_label(

@@ -52,17 +52,14 @@ def build_threads(
 ) -> DataFrame:
     """Customer first contact joined to the first brand reply that points at it.
 
-    Only answered messages pass the semi-join, and only they are cleaned. Both
-    sides are unique on the message id before the join, so the join key is even
-    whatever the brand's share of the log, and all steps share one partitioning
-    on that id.
+    Replies are unique per answered message before the join, so a hot message
+    meets one row; the log is read once per side, and only answered messages
+    are cleaned. First contact, join and first row share one partitioning.
     """
-    targets = brand_replies(messages, brand).select(
-        F.col("in_response_to_tweet_id").alias("customer_tweet_id")
+    answered = first_contacts(messages, brand, keep_brand_posts).join(
+        first_reply(messages, brand), "customer_tweet_id"
     )
-    answered = first_contacts(messages, brand, keep_brand_posts).join(targets, "customer_tweet_id", "left_semi")
-    customers = first_per_key(answered, "customer_tweet_id", ["message_created_at", "text"])
-    threads = customers.join(first_reply(messages, brand), "customer_tweet_id").withColumn(
+    threads = first_per_key(answered, "customer_tweet_id", ["message_created_at", "text"]).withColumn(
         "customer_msg", clean_text(F.col("text"))
     )
     return threads.where(F.length("customer_msg") >= min_length).select(

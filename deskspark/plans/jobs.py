@@ -19,14 +19,21 @@ def prepare(
     """(sampled threads, their customer messages) from a flat message log."""
     found = threads.build_threads(messages, brand, min_length)
     sample = sampling.sample_n(found, n, seed, "customer_tweet_id")
-    return sample, threads.restrict_to(threads.customer_messages(found), sample)
+    return sample, threads.customer_messages(sample)
 
 
 def retrieve_context(
-    texts: DataFrame, corpus: DataFrame, text_key: str, brand: str, k: int = 3, vector: str = "embedding"
+    texts: DataFrame, corpus: DataFrame, text_key: str, brand: str, k: int = 3, vector: str = "embedding",
+    cells: int | None = None, probes: int | None = None,
 ) -> DataFrame:
-    """(text_key, retrieved_context) of the texts with hits in an embedded thread corpus."""
-    hits = retrieve.knn(texts, corpus, k, text_key, "thread_id", vector)
+    """(text_key, retrieved_context) of the texts with hits in an embedded thread corpus.
+
+    With ``cells`` and ``probes`` the search is by k-means cells, else exact.
+    """
+    if cells:
+        hits = retrieve.knn_cells(texts, corpus, cells, probes or cells, k, text_key, "thread_id", vector)
+    else:
+        hits = retrieve.knn(texts, corpus, k, text_key, "thread_id", vector)
     shown = hits.join(corpus.select("thread_id", "customer_msg", "brand_reply"), "thread_id")
     return retrieve.format_context(shown, brand, text_key)
 
@@ -41,6 +48,8 @@ def triage(
     signoffs: Sequence[str] = lx.SIGNOFFS,
     k: int = 3,
     text: str = "raw_text",
+    cells: int | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
     """One triage record per message: intent, reply, guard result, decision and reason.
 
@@ -60,7 +69,7 @@ def triage(
     contexts = retrieve_context(
         features.embed(texts, encoder=encoder, fitted=fitted).select("_text_key", "embedding"),
         features.embed(base, encoder=encoder, fitted=fitted).drop("text"),
-        "_text_key", policy.brand, k,
+        "_text_key", policy.brand, k, cells=cells, probes=probes,
     )
     drafted = rules.canned_reply(labelled, templates).withColumn(
         "reply", normalize_reply(F.col("reply"), signoffs)
@@ -161,16 +170,13 @@ def discover(
     k: int = 8,
     seed: int = 42,
     n_init: int = cluster.N_INIT,
-    sample_rows: int | None = None,
     encoder: features.Encoder | None = None,
     examples: int = 5,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(k sweep, cluster summary, cluster examples) of a message column."""
     rows = df.where(F.col(text).isNotNull())
-    if sample_rows:
-        rows = sampling.sample_n(rows, sample_rows, seed, key)
     embedded = features.embed(rows, text, encoder)
-    sweep = cluster.sweep_k(embedded, ks, seed, n_init, key=key)
+    sweep = cluster.sweep_k(embedded, ks, seed, n_init)
     clustered = cluster.kmeans(embedded, k, seed, n_init).drop("embedding")
     shown = cluster.cluster_examples(clustered.select("cluster", key, text), [F.col(key)], examples)
     return sweep, cluster.cluster_summary(clustered), shown
