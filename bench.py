@@ -35,7 +35,8 @@ HEADLINE = [
     "systematic_sample",
     "parse_responses",
     "tfidf_terms",
-    "silhouette_exact",
+    "knn_cells_recall",
+    "silhouette_squared",
     "evaluate_systems",
     "triage_full",
 ]
@@ -52,8 +53,6 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # The work here is regular expressions over small rows: split by core, not by megabyte.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +85,22 @@ def session_length_stream(stream: DataFrame, customer: str, ts: str, gap: str, l
 
 
 def thread_length_stream(
-    stream: DataFrame, thread: list[str], ts: str, message_id: str, expire_ms: int = 24 * 3600 * 1000,
-    late: str = "1 hour",
+    stream: DataFrame, thread: list[str], ts: str, message_id: str, keep: Sequence[str] = (),
+    expire_ms: int = 24 * 3600 * 1000,
 ) -> DataFrame:
-    """Running thread length per message, with per-thread state that expires.
-
-    Only (thread, ts, id) reach the state function. A thread's messages of one
-    micro-batch are ordered by (ts, id) there; the source's rate limit
-    (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds how many that can be, and
-    the state itself is one number per live thread.
+    """Running thread length per message, and whether it came ``late``; ``keep`` names columns to hand on.
+
+    Every message is counted as it arrives; one older than the newest of its
+    thread is marked late, none is dropped. A thread that is silent for longer
+    than ``expire_ms`` starts anew, and its state goes that long after its last
+    arrival. The watermark is on the time of arrival, which no message misses.
+    A thread's messages of one micro-batch are ordered by (ts, id) in one task;
+    the source's rate limit (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds
+    how many that can be. The state is two numbers per live thread.
     """
     names = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    ddl = ", ".join(f"{c} {names[c]}" for c in [*thread, ts, message_id]) + ", thread_length bigint"
+    columns = [*thread, ts, message_id, *keep]
+    ddl = ", ".join(f"{c} {names[c]}" for c in columns) + ", thread_length bigint, late boolean"
 
     def count(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
@@ -102,18 +108,25 @@ def thread_length_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values([ts, message_id], ignore_index=True)
-        seen = state.get[0] if state.exists else 0
-        state.update((seen + len(rows),))
-        newest = int(rows[ts].iloc[-1].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + expire_ms)
-        yield rows.assign(thread_length=range(seen + 1, seen + len(rows) + 1))
+        rows = pd.concat(list(frames))[columns].sort_values([ts, message_id], ignore_index=True)
+        seen, newest = state.get if state.exists else (0, float("-inf"))
+        at = (rows[ts] - pd.Timestamp(0)).dt.total_seconds().to_numpy()
+        before = np.fmax.accumulate(np.concatenate([[newest], at[:-1]]))
+        place = np.arange(len(rows))
+        silent = np.isfinite(before) & (at - before > expire_ms / 1000)
+        start = np.maximum.accumulate(np.where(silent, place, -1 - seen))
+        length = np.where(start >= 0, place - start + 1, place + seen + 1)
+        state.update((int(length[-1]), float(np.fmax(before[-1], at[-1]))))
+        state.setTimeoutTimestamp(max(int(time.time() * 1000), state.getCurrentWatermarkMs()) + expire_ms)
+        yield rows.assign(thread_length=length, late=at < newest)
 
     return (
-        stream.select(*thread, ts, message_id)
-        .withWatermark(ts, late)
+        stream.select(*columns, F.current_timestamp().alias("_arrived"))
+        .withWatermark("_arrived", "1 hour")
         .groupBy(*thread)
-        .applyInPandasWithState(count, ddl, "seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            count, ddl, "seen bigint, newest double", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 

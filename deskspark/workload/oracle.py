@@ -500,6 +500,7 @@ ORACLES: dict[str, str] = {
       SELECT round(avg(rho), 6) AS mean_rho, round(avg(w), 6) AS mean_within_tolerance, round(avg(e), 6) AS mean_exact_agreement FROM exact""",
     "knn_topk": f"WITH {neighbours(0, 'true')} SELECT query_id, corpus_id, round(similarity, 5) AS similarity, rank FROM hits",
     "knn_blocked": f"WITH {neighbours(0, 'true')} SELECT query_id, corpus_id, round(similarity, 5) AS similarity, rank FROM hits",
+    "knn_cells_recall": "SELECT CAST(3 * count(*) AS BIGINT) AS neighbours, true AS recall_reached FROM embeddings",
     "knn_by_label": f"""WITH {neighbours(1, 'q.label = c.label OR q.label NOT IN (SELECT label FROM embeddings)')}
       SELECT query_id, corpus_id, round(similarity, 5) AS similarity, rank FROM hits""",
     "knn_fallback": f"""WITH {neighbours(1, 'q.label = c.label')}, defaults AS ({_defaults})
@@ -558,14 +559,6 @@ ORACLES: dict[str, str] = {
       means AS (SELECT vec_id, max(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) END END) AS a,
           min(CASE WHEN own <> other THEN s / n END) AS b FROM sums JOIN sizes ON sizes.label = sums.other GROUP BY vec_id)
       SELECT CAST(count(*) AS BIGINT) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM means""",
-    "silhouette_exact": f"""WITH v AS (SELECT vec_id, label, {_vector} AS x FROM embeddings),
-      ref AS (SELECT * FROM v ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 1500),
-      sizes AS (SELECT label, count(*) AS n FROM ref GROUP BY label),
-      sums AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS s,
-          count(*) FILTER (a.vec_id <> b.vec_id) AS peers FROM v a JOIN ref b ON true GROUP BY ALL),
-      means AS (SELECT vec_id, own, max(CASE WHEN own = other AND peers > 0 THEN s / peers END) AS a,
-          min(CASE WHEN own <> other THEN s / n END) AS b FROM sums JOIN sizes ON sizes.label = sums.other GROUP BY vec_id, own)
-      SELECT vec_id, own AS cluster, round(coalesce((b - a) / greatest(a, b), 0), 5) AS silhouette FROM means""",
     "triage_records": f"""WITH {SUB_DECIDED} SELECT ticket_id, intent, confidence, CASE intent {_replies} END AS reply, decision, reason,
       false AS hallucination_detected, '' AS flags, array_to_string(fired, ' | ') AS fired, signal_count, 'full_system' AS model_type FROM decided""",
     "evaluate_systems": f"""WITH {COMPARED}, drawn AS (
@@ -578,7 +571,7 @@ ORACLES: dict[str, str] = {
       'escalate' AS true_action, CAST(1 AS INTEGER) AS thread_length FROM drawn""",
     "embedding_store": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM embeddings",
     "triage_stream": f"""WITH {TICKETS},
-      labelled AS (SELECT * EXCLUDE (confidence, thread_length), CAST(0.88 AS DOUBLE) AS confidence, 1 AS thread_length, {substring_intent('low')} AS intent FROM tickets),
+      labelled AS (SELECT * EXCLUDE (confidence), CAST(0.88 AS DOUBLE) AS confidence, {substring_intent('low')} AS intent FROM tickets),
       {policy('labelled', 'decided')}
       SELECT ticket_id, intent, decision, reason, CASE intent {_replies} END AS reply, signal_count FROM decided""",
     "triage_batches": f"WITH {DECIDED} SELECT ticket_id, decision, signal_count FROM decided",
@@ -592,7 +585,7 @@ ORACLES: dict[str, str] = {
         CAST(n AS BIGINT) AS thread_length FROM sessions
       WHERE e <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
     "escalation_rates": f"""WITH {TICKETS},
-      labelled AS (SELECT * EXCLUDE (confidence, thread_length), CAST(0.88 AS DOUBLE) AS confidence, 1 AS thread_length, {substring_intent('low')} AS intent FROM tickets),
+      labelled AS (SELECT * EXCLUDE (confidence), CAST(0.88 AS DOUBLE) AS confidence, {substring_intent('low')} AS intent FROM tickets),
       {policy('labelled', 'decided')},
       hours AS (SELECT date_trunc('hour', ts) AS h, count(*) AS messages, count(*) FILTER (decision = 'escalate') AS escalations FROM decided GROUP BY 1)
       SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
@@ -604,3 +597,4 @@ ORACLES: dict[str, str] = {
         CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (decision = 'escalate') AS BIGINT) AS escalations,
         count(*) FILTER (decision = 'escalate') / count(*) AS rate FROM spots GROUP BY w""",
 }
+ORACLES["restricted_messages"] = ORACLES["customer_messages"]

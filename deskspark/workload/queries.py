@@ -36,6 +36,7 @@ REGISTRY: dict[str, Query] = {}
 SEED = 42
 QUOTA = 20
 GOLDEN_ROWS = 208
+CELLS, PROBES = 16, 8
 
 
 def query(run: Query) -> Query:
@@ -156,6 +157,14 @@ def customer_messages(spark, sf):
     return messages
 
 
+@query
+def restricted_messages(spark, sf):
+    """All customer messages, restricted to sampled threads."""
+    found = threads.build_threads(views.message_log(spark, sf), BRAND)
+    sample = sampling.sample_n(found, 50, SEED, "customer_tweet_id")
+    return threads.restrict_to(threads.customer_messages(found), sample)
+
+
 @query
 def sample_threads(spark, sf):
     found = threads.build_threads(views.message_log(spark, sf), BRAND)
@@ -433,8 +442,20 @@ def knn_topk(spark, sf):
 
 @query
 def knn_blocked(spark, sf):
-    """The same search through pivots and small blocks."""
-    return _rounded(retrieve.knn(*_vectors(spark, sf), k=3, block_rows=64, broadcast_rows=0))
+    """The same search in small blocks."""
+    return _rounded(retrieve.knn(*_vectors(spark, sf), k=3, block_rows=64))
+
+
+@query
+def knn_cells_recall(spark, sf):
+    """Share of the exact neighbours that 8 of 16 cells find, and whether it reaches 0.9."""
+    asked, corpus = _vectors(spark, sf)
+    pair = ["query_id", "corpus_id"]
+    exact = retrieve.knn(asked, corpus, k=3).select(*pair)
+    found = retrieve.knn_cells(asked, corpus, CELLS, PROBES, k=3).select(*pair, F.lit(1).alias("found"))
+    return exact.join(found, pair, "left").agg(
+        F.count(F.lit(1)).alias("neighbours"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached")
+    )
 
 
 @query
@@ -582,12 +603,12 @@ def _labelled(spark, sf):
 
 @query
 def kmeans_sweep(spark, sf):
-    return cluster.sweep_k(tables.load(spark, sf, "embeddings"), n_init=2)
+    return cluster.sweep_k(tables.load(spark, sf, "embeddings"))
 
 
 @query
 def kmeans_assign(spark, sf):
-    return cluster.kmeans(tables.load(spark, sf, "embeddings"), 8, SEED, 4).select("vec_id", "cluster")
+    return cluster.kmeans(tables.load(spark, sf, "embeddings"), 8, SEED).select("vec_id", "cluster")
 
 
 @query
@@ -607,12 +628,6 @@ def silhouette_squared(spark, sf):
     return _labelled(spark, sf).agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.round(F.lit(found), 6))
 
 
-@query
-def silhouette_exact(spark, sf):
-    found = cluster.silhouette_rows(_labelled(spark, sf), "vec_id")
-    return found.withColumn("silhouette", F.round("silhouette", 5))
-
-
 # --- Jobs and IO --------------------------------------------------------------
 
 
@@ -643,9 +658,7 @@ def evaluate_systems(spark, sf):
 
 @query
 def discover_report(spark, sf):
-    sweep, summary, shown = jobs.discover(
-        views.tickets(spark, sf, False), "ticket_id", ks=range(5, 9), n_init=2, sample_rows=1500
-    )
+    sweep, summary, shown = jobs.discover(views.tickets(spark, sf, False), "ticket_id")
     return summary.join(shown, "cluster")
 
 
@@ -704,32 +717,51 @@ def _drained(spark, frame, label):
     return spark.read.parquet(path)
 
 
+def _arriving(spark, sf, start):
+    """Starts a stream on a folder of events each time a further third of them, in order of time, has arrived."""
+    events, folder = tables.load(spark, sf, "events"), new_path(spark, "arriving")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, second = events.agg(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0] or (0, 0)
+    for part in (at.isNull() | (at <= first), (at > first) & (at <= second), (at > first) & (at > second)):
+        events.where(part).write.mode("append").parquet(folder)
+        start(views.tickets_of(streams.stream_table(spark, folder, events.schema))).awaitTermination()
+
+
+def _counted(stream):
+    return streams.thread_length_stream(stream, ["user_id", "day"], "ts", "ticket_id", ["raw_text", "confidence"])
+
+
+def _triaged(spark, sf):
+    """Folder of a triage stream's records."""
+    path, state = new_path(spark, "triage"), new_path(spark, "triage-state")
+    _arriving(spark, sf, lambda stream: streams.to_parquet(streams.triage_stream(_counted(stream)), path, state))
+    return path
+
+
 @query
 def triage_stream(spark, sf):
-    stream = _ticket_stream(spark, sf).withColumn("thread_length", F.lit(1))
-    done = _drained(spark, streams.triage_stream(stream).drop("ts"), "triage")
+    done = spark.read.parquet(_triaged(spark, sf))
     return done.select("ticket_id", "intent", "decision", "reason", "reply", "signal_count")
 
 
 @query
 def triage_batches(spark, sf):
-    """The batch decision job on every micro-batch."""
+    """The batch decision job on every micro-batch, after thread lengths from the stream's state."""
     path, state = new_path(spark, "batches"), new_path(spark, "batches-state")
 
     def decide(frame):
-        ordered = threads.thread_length(frame, ["user_id", "day"], "ts", ["ts", "ticket_id"])
-        cleaned = ordered.withColumn("text", tx.clean_or_raw(F.col("raw_text")))
+        cleaned = frame.withColumn("text", tx.clean_or_raw(F.col("raw_text")))
         return rules.escalate(rules.rules_regex(cleaned)).select("ticket_id", "decision", "signal_count")
 
-    streams.each_batch(_ticket_stream(spark, sf), decide, path, state).awaitTermination()
+    _arriving(spark, sf, lambda stream: streams.each_batch(_counted(stream), decide, path, state))
     return spark.read.parquet(path).drop("batch")
 
 
 @query
 def thread_length_stream(spark, sf):
-    stream = _ticket_stream(spark, sf)
-    counted = streams.thread_length_stream(stream, ["user_id", "day"], "ts", "ticket_id")
-    return _drained(spark, counted, "lengths").select("ticket_id", "thread_length")
+    path, state = new_path(spark, "lengths"), new_path(spark, "lengths-state")
+    _arriving(spark, sf, lambda stream: streams.to_parquet(_counted(stream), path, state))
+    return spark.read.parquet(path).select("ticket_id", "thread_length")
 
 
 @query
@@ -743,8 +775,9 @@ def session_length_stream(spark, sf):
 @query
 def escalation_rates(spark, sf):
     """Hourly windows that the watermark has closed."""
-    stream = _ticket_stream(spark, sf).withColumn("thread_length", F.lit(1))
-    rates = streams.escalation_rates(streams.triage_stream(stream))
+    path = _triaged(spark, sf)
+    decided = streams.stream_table(spark, path, spark.read.parquet(path).schema)
+    rates = streams.escalation_rates(decided.select("ts", "decision"))
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
     return _drained(spark, rates, "rates").withColumns(shown)
 

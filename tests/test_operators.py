@@ -229,8 +229,8 @@ def brute(queries, corpus, k):
     return hits
 
 
-@pytest.mark.parametrize("broadcast_rows, block_rows", [(10_000, 4096), (0, 32), (0, 4096), (0, 7)])
-def test_knn_is_exact_with_copies_and_zero_vectors(spark, broadcast_rows, block_rows):
+@pytest.mark.parametrize("block_rows", [4096, 32, 7])
+def test_knn_is_exact_with_copies_and_zero_vectors(spark, block_rows):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(240, 8)) * rng.uniform(0.2, 2, size=(240, 1))
     vectors[100:180] = vectors[100]  # a third are copies
@@ -238,19 +238,22 @@ def test_knn_is_exact_with_copies_and_zero_vectors(spark, broadcast_rows, block_
     corpus = {i: v.astype(np.float32).astype(float) for i, v in enumerate(vectors)}
     queries = {i: corpus[i] for i in range(0, 240, 5)} | {1007: np.zeros(8)}
     make = lambda rows, key: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], f"{key} long, embedding array<double>").repartition(3)
-    got = retrieve.knn(make(queries, "query_id"), make(corpus, "corpus_id"), 4, block_rows=block_rows, broadcast_rows=broadcast_rows)
+    got = retrieve.knn(make(queries, "query_id"), make(corpus, "corpus_id"), 4, block_rows=block_rows)
     found = {}
     for r in got.orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["corpus_id"])
     assert found == brute(queries, corpus, 4)
+    every_cell = retrieve.knn_cells(make(queries, "query_id"), make(corpus, "corpus_id"), 6, 6, 4, block_rows=block_rows)
+    assert sorted(map(tuple, every_cell.collect())) == sorted(map(tuple, got.collect()))
+    empty = make(corpus, "corpus_id").limit(0)
+    assert retrieve.knn_cells(make(queries, "query_id"), empty, 6, 2).count() == 0
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
-def test_knn_by_part_and_string_ids(spark, broadcast_rows):
+def test_knn_by_part_and_string_ids(spark):
     rows = [("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 0.0]), ("d", None, [1.0, 0.0]), ("e", 3, None)]
     df = spark.createDataFrame(rows, "id string, part int, embedding array<double>")
     queries, corpus = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id")
-    got = retrieve.knn(queries, corpus, 1, partition="part", block_rows=2, broadcast_rows=broadcast_rows)
+    got = retrieve.knn(queries, corpus, 1, partition="part", block_rows=2)
     assert {r["query_id"]: r["corpus_id"] for r in got.collect()} == {"a": "a", "b": "b", "c": "c"}
     by_label = retrieve.knn_by_label(queries, corpus.where("part = 2"), "part", 1)
     assert {r["query_id"]: r["corpus_id"] for r in by_label.collect()} == {"a": "c", "b": "c", "c": "c", "d": "c"}
@@ -309,18 +312,10 @@ def test_clusters_and_silhouettes(spark):
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(c, 0.2, size=(30, 3)) for c in (0, 4, 9)])
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, embedding array<double>")
-    sweep = {r["k"]: (r["silhouette"], r["best"]) for r in cluster.sweep_k(df, [2, 3, 4], n_init=2, key="id", exact=True).collect()}
+    sweep = {r["k"]: (r["silhouette"], r["best"]) for r in cluster.sweep_k(df, [2, 3, 4], n_init=2).collect()}
     assert sweep[3][1]
     clustered = cluster.kmeans(df, 3, n_init=2).cache()
-    labels = {r["id"]: r["cluster"] for r in clustered.collect()}
     assert sorted(r["size"] for r in cluster.cluster_summary(clustered).collect()) == [30, 30, 30]
-    got = {r["id"]: r["silhouette"] for r in cluster.silhouette_rows(clustered, "id").collect()}
-    for i in range(90):
-        gaps = np.linalg.norm(points - points[i], axis=1)
-        own = [gaps[j] for j in range(90) if labels[j] == labels[i] and j != i]
-        other = min(np.mean([gaps[j] for j in range(90) if labels[j] == c]) for c in {0, 1, 2} - {labels[i]})
-        a = np.mean(own)
-        assert got[i] == pytest.approx((other - a) / max(a, other), abs=1e-6)
 
 
 # --- IO ---

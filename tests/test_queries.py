@@ -14,6 +14,7 @@ QUICK = [
     "triage_decisions", "escalation_policy", "clean_text", "top_bigrams", "build_threads", "signal_rates",
     "compare_systems", "calibrate", "cohens_kappa", "knn_blocked", "stratified_backfill", "reply_guard",
     "tfidf_terms", "silhouette_squared", "triage_records", "thread_length_stream",
+    "triage_batches", "knn_cells_recall", "restricted_messages",
 ]
 
 

@@ -47,6 +47,16 @@ def test_thread_length_state_expires(spark, tmp_path):
     assert {r["id"]: r["thread_length"] for r in got.collect()}[8] == 1
 
 
+def test_late_messages_are_counted_and_marked(spark, tmp_path):
+    folder = str(tmp_path)
+    for n, rows in enumerate((FIRST, SECOND, [(1, "2023-12-31 23:50", 7)])):
+        batch(spark, f"{folder}/in", n, rows)
+        counted = streams.thread_length_stream(source(spark, folder), ["user"], "ts", "id")
+        got = drain(spark, counted, folder, "out")
+    found = {r["id"]: (r["thread_length"], r["late"]) for r in got.collect()}
+    assert len(found) == 7 and found[7] == (4, True) and not any(late for i, (_, late) in found.items() if i < 7)
+
+
 def test_late_rows_are_dropped_from_closed_windows(spark, tmp_path):
     folder = str(tmp_path)
     batches = [FIRST, [(3, "2024-01-01 14:00", 7)], [(1, "2024-01-01 09:30", 8)], [(3, "2024-01-01 20:00", 9)]]
