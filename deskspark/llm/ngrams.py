@@ -9,6 +9,8 @@ import pyarrow as pa
 
 # Bytes of text worked on at a time, so that intermediate arrays stay in cache.
 CHUNK = 1 << 20
+# Rows taken out of a batch at a time.
+ROWS = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,12 +29,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) of about CHUNK bytes each; null is empty."""
     held, size, first = [], 0, 0
-    for i, text in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        held.append(text or b"")
-        size += len(held[-1])
-        if size >= CHUNK:
-            yield first, held
-            held, size, first = [], 0, i + 1
+    for low in range(0, len(column), ROWS):
+        for i, text in enumerate(column.slice(low, ROWS).cast(pa.large_binary()).to_pylist(), low):
+            held.append(text or b"")
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield first, held
+                held, size, first = [], 0, i + 1
     if held:
         yield first, held
 

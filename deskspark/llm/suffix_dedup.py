@@ -27,9 +27,13 @@ from deskspark.sources.scratch import freeze
 # (two in length - K + 2 positions).
 K = 24
 # A long text is read in pieces that overlap by one string; positions fit in POSITION_BITS.
-PIECE = 1 << 22
+PIECE = 1 << 20
 POSITION_BITS = 28
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+# Bytes of packed anchors handed on at a time, of text whose anchors make one block of hashes, about, and rows taken out of a batch at a time.
+OUT = 1 << 22
+BLOCK_BYTES = 1 << 24
+ROWS = 256
 # Bytes of contexts suffix-sorted at a time.
 BATCH = 1 << 21
 
@@ -213,8 +217,13 @@ def _anchor_rows(rule: PassageRule, bits: int):
     hash has to hear. So a hash is sent to its block once by a task at most.
     """
 
-    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+    def batch_of(out: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "known", "records"])
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(held)
+        held.clear()
         every = every[np.argsort(every["hash"], kind="stable")]
         new = np.concatenate(([True], every["hash"][1:] != every["hash"][:-1]))
         heads = np.flatnonzero(new)
@@ -222,16 +231,27 @@ def _anchor_rows(rule: PassageRule, bits: int):
         known = many[np.cumsum(new) - 1]
         told = every[heads[many]].copy()
         told["pos"] = -1
-        out = []
-        for part, flag in ((every[~known], False), (told, False), (every[known], True)):
-            spread = ngrams.mixed(np.ascontiguousarray(part["doc"]).view(np.uint64)) if flag else part["hash"]
+        parts = [(every[known], True), (told, False), (every[~known], False)]
+        del every, told, known, many, new, heads
+        out, size = [], 0
+        while parts:  # one copy at a time
+            part, flag = parts.pop()
+            if flag:
+                spread = ngrams.mixed(np.ascontiguousarray(part["doc"]).view(np.uint64))
+                order = np.argsort(spread, kind="stable")
+                part, spread = part[order], spread[order]
+            else:  # in the order of hashes, hence of blocks
+                spread = part["hash"]
             block = (spread >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            part, block = part[order], block[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(part) else []
-            out += [(int(block[a]), flag, _packed(part[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))]
-        return pa.RecordBatch.from_arrays(columns, ["block", "known", "records"])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                out.append((int(block[a]), flag, _packed(part[a:b])))
+                size += len(out[-1][2])
+                if size >= OUT:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -250,11 +270,11 @@ def _anchor_rows(rule: PassageRule, bits: int):
                     made["pos"] = pos + np.array([at for _, at, _ in part], np.int64)[owner]
                     held.append(made)
                     n += len(made)
-            if n >= FLUSH:
-                yield rows(held)
-                held, n = [], 0
+                if n >= FLUSH:
+                    yield from rows(held)
+                    held, n = [], 0
         if n:
-            yield rows(held)
+            yield from rows(held)
 
     return run
 
@@ -287,6 +307,12 @@ def _repeated_spots(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 # --- contexts ---------------------------------------------------------------
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _contexts(rule: PassageRule):
     """Task code: (doc_id, text, spots) in; one (anchor, context, doc_id, start) per distinct spot out.
 
@@ -294,8 +320,8 @@ def _contexts(rule: PassageRule):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, spots in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in _few(batches):
+            for doc, text, spots in zip(*(c.to_pylist() for c in part.columns)):
                 data = text.encode()
                 at = np.unique(np.concatenate([np.frombuffer(s, "<i4") for s in spots])).tolist()
                 starts = [max(0, p - rule.reach) for p in at]
@@ -438,7 +464,8 @@ def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFr
     columns ``doc_id, text``; spans of one document may overlap."""
     named = docs.where(F.col("doc_id").isNotNull())
     copies = freeze(_copies(named, rule))
-    bits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1
+    size = named.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    bits = max(1, size // BLOCK_BYTES).bit_length()
     told = named.mapInArrow(_anchor_rows(rule, bits), "block bigint, known boolean, records binary")
     spots = freeze(
         told.groupBy("block")
@@ -516,7 +543,7 @@ def remove_repeats(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             kept, removed, runs = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data, out, at, merged = text.encode(), [], 0, []
