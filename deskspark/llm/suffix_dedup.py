@@ -29,7 +29,7 @@ K = 24
 # A long text is read in pieces that overlap by one string; positions fit in POSITION_BITS.
 PIECE = 1 << 20
 POSITION_BITS = 28
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 # Bytes of packed anchors handed on at a time, of text whose anchors make one block of hashes, about, and rows taken out of a batch at a time.
 OUT = 1 << 22
 BLOCK_BYTES = 1 << 24
