@@ -94,21 +94,18 @@ def spearman(long: DataFrame, few_values: bool = False) -> DataFrame:
     ranked = cells.join(_average_ranks(cells, "a", few_values), ["dimension", "a"]).join(
         _average_ranks(cells, "b", few_values), ["dimension", "b"]
     )
-    n = F.col("n")
-    sums = ranked.groupBy("dimension").agg(
+    # The mean of average ranks is known, so they are centred before they are multiplied.
+    middles = cells.groupBy("dimension").agg(((F.sum("n") + 1) / 2).alias("_middle"))
+    n, rank_a, rank_b = F.col("n"), F.col("rank_a") - F.col("_middle"), F.col("rank_b") - F.col("_middle")
+    flat = (F.min("rank_a") == F.max("rank_a")) | (F.min("rank_b") == F.max("rank_b"))
+    sums = ranked.join(middles, "dimension").groupBy("dimension").agg(
         F.sum("n").alias("n"),
-        F.sum(n * F.col("rank_a")).alias("_a"),
-        F.sum(n * F.col("rank_b")).alias("_b"),
-        F.sum(n * F.col("rank_a") * F.col("rank_a")).alias("_aa"),
-        F.sum(n * F.col("rank_b") * F.col("rank_b")).alias("_bb"),
-        F.sum(n * F.col("rank_a") * F.col("rank_b")).alias("_ab"),
+        flat.alias("_flat"),
+        F.sum(n * rank_a * rank_a).alias("_aa"),
+        F.sum(n * rank_b * rank_b).alias("_bb"),
+        F.sum(n * rank_a * rank_b).alias("_ab"),
     )
-    count = F.col("n").cast("double")
-    cov = F.col("_ab") - F.col("_a") * F.col("_b") / count
-    var_a = F.col("_aa") - F.col("_a") * F.col("_a") / count
-    var_b = F.col("_bb") - F.col("_b") * F.col("_b") / count
-    flat = (var_a <= 1e-9 * F.col("_aa")) | (var_b <= 1e-9 * F.col("_bb"))
-    rho = F.when(~flat, F.try_divide(cov, F.sqrt(var_a) * F.sqrt(var_b)))
+    rho = F.when(~F.col("_flat"), F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb")))
     return sums.select("dimension", "n", rho.alias("rho"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +14,6 @@ from deskspark.operators.features import MAX_TERMS, fit_tfidf
 from deskspark.sources.scratch import freeze
 
 MAX_ITERATIONS = 1000
-ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -42,8 +40,6 @@ def train_intent(
     labels, total = sorted(sizes), sum(sizes.values())
     codes = F.create_map(*[F.lit(x) for code, name in enumerate(labels) for x in (name, float(code))])
     weights = F.create_map(*[F.lit(x) for name in labels for x in (name, total / len(labels) / sizes[name])])
-    # Every iteration is a job over these rows; small data is kept in few tasks.
-    tasks = math.ceil(folded.count() / ROWS_PER_TASK)
     train = (
         features(folded)
         .select(
@@ -51,7 +47,6 @@ def train_intent(
             F.element_at(codes, F.col(label)).alias("_label"),
             (F.col("_copies") * F.element_at(weights, F.col(label))).alias("_weight"),
         )
-        .coalesce(max(1, tasks))
         .persist()
     )
     regression = LogisticRegression(

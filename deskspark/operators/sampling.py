@@ -88,7 +88,8 @@ def stratified_backfill(
 ) -> DataFrame:
     """Up to ``quota`` rows per stratum, then random rows of the rest up to ``total``.
 
-    Rows with a NULL stratum only enter through the backfill. ``by='centroid'``
+    Quotas go first: where they add up to more than ``total``, all of them are
+    drawn and there is no backfill. Rows with a NULL stratum only enter through the backfill. ``by='centroid'``
     draws the rows nearest to the mean vector of their stratum. ``origin`` tells
     the two draws apart; no row appears twice.
     """
@@ -100,11 +101,10 @@ def stratified_backfill(
         nearness = [F.round("distance", 9), F.col(key)]
     else:
         nearness = [hash_order(seed, key), F.col(key)]
-    quota_rows = top_n_per_group(candidates, [stratum], nearness, quota, "_rank").select(
-        key, F.lit("quota").alias("origin")
+    quota_rows = freeze(
+        top_n_per_group(candidates, [stratum], nearness, quota, "_rank").select(key, F.lit("quota").alias("origin"))
     )
     rest = narrow.select(key).join(quota_rows, key, "left_anti")
-    backfill = sample_n(rest, total, seed, key).select(key, F.lit("backfill").alias("origin"))
-    first_quota = F.when(F.col("origin") == "quota", 0).otherwise(1)
-    drawn = quota_rows.unionByName(backfill).orderBy(first_quota, hash_order(seed, key), key).limit(total)
-    return df.join(drawn, key).select(*df.columns, "origin")
+    left = max(total - quota_rows.count(), 0)
+    backfill = sample_n(rest, left, seed, key).select(key, F.lit("backfill").alias("origin"))
+    return df.join(quota_rows.unionByName(backfill), key).select(*df.columns, "origin")

@@ -114,13 +114,18 @@ def write_metrics(df: DataFrame, path: str) -> None:
 def materialize_embeddings(
     df: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], key: str
 ) -> DataFrame:
-    """Embedding table keyed by id: rows already stored are reused, new ids are encoded and appended."""
+    """Embedding table keyed by id: rows already stored are reused, new ids are encoded once and appended.
+
+    Any failure to read the table but its absence is an error.
+    """
     spark = df.sparkSession
+    missing = df.dropDuplicates([key])
     try:
         stored = spark.read.parquet(path)
-    except AnalysisException:
-        encode(df).write.mode("append").parquet(path)
-        return spark.read.parquet(path)
-    missing = df.join(stored.select(key), key, "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        missing = missing.join(stored.select(key), key, "left_anti")
     encode(missing).write.mode("append").parquet(path)
     return spark.read.parquet(path)

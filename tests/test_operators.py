@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,6 +115,23 @@ def test_backfill_has_quota_and_no_duplicates(spark):
 # --- Profile ---
 
 
+def test_quotas_win_over_the_total(spark):
+    df = spark.range(90).selectExpr("id", "cast(id % 3 AS string) AS s")
+    rows = sampling.stratified_backfill(df, "s", 20, 30, 1, "id").collect()
+    assert sorted(Counter((r["s"], r["origin"]) for r in rows).items()) == [((str(i), "quota"), 20) for i in range(3)]
+
+
+def test_embeddings_of_repeated_ids_are_stored_once(spark, tmp_path):
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "id bigint")
+    stored = tables.materialize_embeddings(twice, str(tmp_path / "vectors"), lambda frame: frame, "id")
+    assert sorted(r["id"] for r in stored.collect()) == [1, 2]
+
+
+def test_one_odd_value_among_many_is_not_constant(spark):
+    pairs = spark.createDataFrame([("d", 1.0, 1.0)] * 999 + [("d", 2.0, 2.0)], "dimension string, a double, b double")
+    assert agreement.spearman(pairs).first()["rho"] == pytest.approx(1.0)
+
+
 def test_bigrams_form_after_stop_words(spark):
     df = spark.createDataFrame([("The Late, to parcel late parcel",), ("late café parcel",), (None,)], "text string")
     got = [(r["bigram"], r["n"]) for r in profile.top_bigrams(df, n=2).collect()]
