@@ -31,7 +31,7 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 SOFTWARE = "deskspark"
 NO_URL = "urn:x-no-url"
-# Records of one WARC file at most.
+# Records of one ARC or WARC file at most, version blocks included.
 FILE_RECORDS = 4096
 
 RECORD = (
@@ -73,19 +73,25 @@ def _arc_rows(origin: str):
         return (" ".join([*fields, str(len(body))]) + "\n").encode() + body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One version per batch; a version block says which one follows.
-        for i, batch in enumerate(batches):
-            version = 1 + i % 2
-            rows = [block(version)]
+        # One version per file; its block is the first of the FILE_RECORDS rows after which the writer
+        # starts the next file, wherever the batches end.
+        written = 0
+        for batch in batches:
+            rows = []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                version = 1 + written // FILE_RECORDS % 2
+                if written % FILE_RECORDS == 0:
+                    rows.append(block(version))
+                    written += 1
                 rows.append(record(version, page_id, url, html))
+                written += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     return run
 
 
 def write_arc(pages: DataFrame, path: str, origin: str = SOFTWARE) -> None:
-    """ARC files, gzipped, one per partition: what a legacy crawl would hold of ``page_id, url, html``."""
+    """ARC files, gzipped, one or more per partition: what a legacy crawl would hold of ``page_id, url, html``."""
     rows = pages.select("page_id", "url", "html").mapInArrow(_arc_rows(origin), "value binary")
     _write_text(rows, path, "\n")
 

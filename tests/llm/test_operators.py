@@ -200,6 +200,22 @@ def test_archives(spark):
     assert arc_warc.archive(table.limit(0)).count() == 0
 
 
+def test_every_arc_file_starts_with_a_version_block(spark, tmp_path):
+    n, batch = 2 * arc_warc.FILE_RECORDS + 10, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    table = spark.range(0, n, 1, 1).selectExpr("id AS page_id", "'http://h/' || id AS url", "'p' || id AS html")
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 1000)
+    try:
+        arc_warc.write_arc(table, str(tmp_path / "arc"))
+        got = sorted(r.page_id for r in arc_warc.archive(table).select("page_id").collect())
+    finally:
+        spark.conf.set(batch, before)
+    assert got == list(range(n))
+    files = [list(arc_warc.parse_arc(arc_warc._unzipped(f.read_bytes()))) for f in (tmp_path / "arc").glob("part-*")]
+    assert all([r["kind"] for r in f].index("filedesc") == 0 and len(f) <= arc_warc.FILE_RECORDS for f in files)
+    assert sorted(f[0]["version"] for f in files) == [1, 1, 2]
+
+
 def test_arc_versions_and_cut_records():
     block = arc_warc.ARC_1.format(origin="o").encode()
     one = f"filedesc://a 0.0.0.0 20010101000000 text/plain {len(block)}\n".encode() + block + b"\n"
