@@ -1,38 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are whole numbers a with a common sum, the period P. Block i of a source
-is released at floor(i * P / a) and due at ceil((i + 1) * P / a); earliest
-deadline first over the released blocks meets every deadline, so that at any
-time a source is less than one block off its target. Releases and deadlines
-repeat every P slots, hence one period is scheduled and holds for any length.
+Weights are exact fractions w of their sum. Block i of a source is released at
+floor(i / w) and due at ceil((i + 1) / w); earliest deadline first over the
+released blocks meets every deadline, so that at any time a source is less than
+one block off its target, however long the table. One task walks the blocks,
+holding one per source.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.llm.spread import before_each, shuffled, slice_of
+from deskspark.sources.scratch import freeze
 
-# Slots of a period: the resolution of weights and the bound on sources and on the
-# slot table, which is broadcast.
+# Slots that the scheduling task sends at a time.
 PERIOD = 4096
 BLOCK_ROWS = 16
 
 
 def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Weights as whole numbers that sum to ``period``, by largest remainders, each at least 1."""
+    """Weights as whole numbers that sum to ``period``, by largest remainders."""
     if len(weights) > period:
         raise ValueError(f"{len(weights)} sources do not fit in a period of {period} slots")
     if any(w <= 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
     total = sum(weights.values())
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
+    exact = {s: period * w / total for s, w in weights.items()}
+    shares = {s: int(x) for s, x in exact.items()}
     rest = period - sum(shares.values())
     by_remainder = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is not None, s or ""))
     for s in by_remainder[:rest]:
@@ -40,23 +41,64 @@ def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> d
     return shares
 
 
+def earliest_deadlines(
+    blocks: Sequence[int], weights: Sequence[int]
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block, by slot. A source that has run out of
+    blocks leaves its slots to the others; a slot in which no block is released stays empty."""
+    total = sum(weights)
+    # The next block of a source has a later deadline, so one of each is enough.
+    waiting, ready, slot = [(0, k, 0) for k, n in enumerate(blocks) if n], [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[k]), k, i, release))
+        deadline, k, i, release = heapq.heappop(ready)
+        yield k, i, release, deadline, slot
+        slot += 1
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, ((i + 1) * total // weights[k], k, i + 1))
+
+
 def one_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
     """(source, block, release, deadline, slot) of every block of one period."""
-    period = sum(shares.values())
-    blocks = sorted(
-        (i * period // a, -(-(i + 1) * period // a), k, i)
-        for k, a in enumerate(shares.values())
-        for i in range(a)
-    )
-    names, ready, out, at = list(shares), [], [], 0
-    for slot in range(period):
-        while at < len(blocks) and blocks[at][0] <= slot:
-            release, deadline, k, i = blocks[at]
-            heapq.heappush(ready, (deadline, k, i, release))
-            at += 1
-        deadline, k, i, release = heapq.heappop(ready)
-        out.append((names[k], i, release, deadline, slot))
-    return out
+    names, a = list(shares), list(shares.values())
+    return [(names[k], *rest) for k, *rest in earliest_deadlines(a, a)]
+
+
+PLAN = "_s string, _i bigint, _release bigint, _deadline bigint, _slot bigint, _start bigint"
+
+
+def _planned(block_rows: int, period: int):
+    """Task code: (source, weight, rows) of all sources in, PLAN rows out: ``_start`` is the position of
+    the first row of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = [r for batch in batches for r in batch.to_pylist()]
+        sources.sort(key=lambda r: (r["source"] is not None, r["source"] or ""))
+        if any(r["weight"] is None for r in sources):
+            raise ValueError("a source has no target weight")
+        # Floats are whole multiples of a power of two, hence no weight is rounded.
+        exact = [Fraction(r["weight"]) for r in sources]
+        if any(w <= 0 for w in exact):
+            raise ValueError("target weights must be positive")
+        unit = max((w.denominator for w in exact), default=1)
+        weights, rows = [int(w * unit) for w in exact], [r["rows"] for r in sources]
+        names = PLAN.replace(" string", "").replace(" bigint", "").split(", ")
+        schema = pa.schema([(n, pa.int64() if n != "_s" else pa.string()) for n in names])
+        held, start = [], 0
+        for k, i, *times in earliest_deadlines([-(-n // block_rows) for n in rows], weights):
+            held.append(dict(zip(names, (sources[k]["source"], i, *times, start))))
+            start += min(block_rows, rows[k] - i * block_rows)
+            if len(held) == period:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return run
 
 
 def tempered_weights(docs: DataFrame, power: float, source_col: str = "source") -> dict[str | None, float]:
@@ -79,16 +121,20 @@ def schedule(
 
     Every row is placed once. ``slot`` counts blocks; ``position`` is the
     resulting 0-based place of the row. Targets hold for as long as every source
-    has blocks left; after that the others go on in proportion, their idle slots
-    closing up. Rows of a source are shuffled by seed; a null source is a source
+    has blocks left; after that the others go on in proportion, idle slots
+    closing up. ``period`` is how many slots are sent at a time and changes no row. Rows of a source are shuffled by seed; a null source is a source
     of its own; a source without a weight raises an error.
     """
-    spark = docs.sparkSession
-    shares = whole_shares(weights, period) if weights else {}
-    plan = spark.createDataFrame(
-        [(s, shares[s], *rest) for s, *rest in one_period(shares)] if shares else [],
-        "_s string, _share int, _i int, _release int, _deadline int, _slot int",
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    targets = docs.sparkSession.createDataFrame(
+        [(s, float(w)) for s, w in weights.items()], "source string, weight double"
+    )
+    counts = docs.groupBy(F.col(source_col).cast("string").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    sources = counts.join(targets, F.col("_s").eqNullSafe(F.col("source")), "full").select(
+        F.coalesce("_s", "source").alias("source"), "weight", F.coalesce("_n", F.lit(0)).alias("rows")
     )
+    plan = freeze(sources.repartition(1).mapInArrow(_planned(block_rows, period), PLAN))
     rows = docs.select(
         F.struct(*docs.columns).alias("_row"),
         F.col(source_col).cast("string").alias("_source"),
@@ -101,25 +147,12 @@ def schedule(
         [F.col("_order"), F.xxhash64("_row")],
         {"_rank": F.lit(1)},
     )
-    share = F.broadcast(plan.select(F.col("_s").alias("_s0"), F.col("_share").alias("_a")).distinct())
-    blocked = ranked.join(share, F.col("_source").eqNullSafe(F.col("_s0")), "left").withColumns(
-        {"_a": F.coalesce(F.col("_a"), F.raise_error(F.lit("a source has no target weight")).cast("int"))}
-    )
-    blocked = blocked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
-    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") % F.col("_a") == F.col("_i"))
-    turn = F.expr(f"(_block div _a) * {period}")
-    placed = blocked.join(F.broadcast(plan.drop("_share")), same).select(
-        "_row",
-        "_source",
-        "_rank",
-        "_block",
-        (turn + F.col("_release")).alias("_release"),
-        (turn + F.col("_deadline")).alias("_deadline"),
-        (turn + F.col("_slot")).alias("_slot"),
-    )
-    # A slot holds one block, so a slice, one period, is at most period * block_rows rows.
-    done = before_each(
-        placed, [], F.expr(f"_slot div {period}"), [F.col("_slot"), F.col("_rank")], {"_position": F.lit(1)}
+    # A block is at most block_rows rows, whatever the share of its source.
+    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_i"))
+    done = (
+        ranked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
+        .join(plan, same)
+        .withColumn("_position", F.expr(f"_start + _rank % {block_rows}"))
     )
     mix = F.struct(
         F.col("_source").alias("source"),

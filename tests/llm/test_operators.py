@@ -251,6 +251,25 @@ def test_pfair_mix(docs, empty):
     assert pfair_mix.mix(empty, {}).count() == 0
 
 
+def test_pfair_mix_keeps_to_the_real_weights(spark):
+    third = {f"s{i}": (0.5 if i == 0 else 1 / 38) ** 0.5 for i in range(20)}
+    total = sum(third.values())
+    sizes = {s: int(2000 * w / total) for s, w in third.items()}
+    rows = [(f"{s}:{i}", s) for s, n in sizes.items() for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id string, source string")
+    placed = [r["_mix"] for r in pfair_mix.schedule(table, third, block_rows=1, period=64).collect()]
+    assert sorted(r["position"] for r in placed) == list(range(len(rows)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in placed)
+    seen = Counter()
+    for r in sorted(placed, key=lambda r: r["slot"]):
+        seen[r["source"]] += 1
+        if min(sizes[s] - seen[s] for s in sizes) <= 0:
+            break
+        t = r["slot"] + 1
+        assert all(abs(seen[s] - t * w / total) < 1 for s, w in third.items())
+    assert t > 1500
+
+
 def test_quality_rules(docs, empty):
     rows = rows_of(divergence_rules.assess(docs))
     by = {r.doc_id: r.text or "" for r in docs.collect()}
