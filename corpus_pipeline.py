@@ -1,6 +1,7 @@
 """Training-data pipeline: ``documents`` through five stages, each written as Parquet and read again.
 
-Stages keep the columns of ``documents``; the last adds token ids.
+Stages keep the columns of ``documents``; the mix adds ``mix_position``, the place of a row in the mixed
+order, and the last adds token ids.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pfair_mix.mix(docs, pfair_mix.tempered_weights(docs, MIX_POWER))
+    return pfair_mix.mix(docs, pfair_mix.tempered_weights(docs, MIX_POWER), position_col="mix_position")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

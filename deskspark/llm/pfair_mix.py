@@ -166,9 +166,13 @@ def schedule(
     return done.select("_row.*", mix.alias("_mix"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float], **options) -> DataFrame:
-    """The documents in mixed order, range-partitioned and sorted by position."""
+def mix(
+    docs: DataFrame, weights: Mapping[str | None, float], position_col: str | None = None, **options
+) -> DataFrame:
+    """The documents in mixed order, range-partitioned and sorted by position, which ``position_col`` names
+    a column for: files are not always read in their order."""
     placed = schedule(docs, weights, **options)
     at = F.col("_mix.position")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, at).sortWithinPartitions(at).drop("_mix")
+    ordered = placed.repartitionByRange(n, at).sortWithinPartitions(at)
+    return (ordered.withColumn(position_col, at) if position_col else ordered).drop("_mix")

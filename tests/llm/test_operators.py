@@ -322,3 +322,16 @@ def test_pipeline_stages_follow_each_other(spark):
     for r in out:
         assert r.text == rows[r.doc_id].text
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and 4 * r.n_tokens == len(r.ids)
+
+
+def test_pipeline_rows_hold_the_mixed_order(spark):
+    if TOKENIZER is None:
+        pytest.skip("no tokenizer file")
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "source", "mix_position").collect()
+    left = spark.createDataFrame([(r.doc_id, r.source) for r in out], "doc_id bigint, source string")
+    weights = pfair_mix.tempered_weights(left, corpus_pipeline.MIX_POWER)
+    want = {r["doc_id"]: r["_mix"]["position"] for r in rows_of(pfair_mix.schedule(left, weights))}
+    assert {r.doc_id: r.mix_position for r in out} == want
+    assert sorted(want.values()) == list(range(len(out)))
