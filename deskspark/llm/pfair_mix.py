@@ -27,8 +27,6 @@ BLOCK_ROWS = 16
 
 def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
     """Weights as whole numbers that sum to ``period``, by largest remainders."""
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources do not fit in a period of {period} slots")
     if any(w <= 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
     total = sum(weights.values())
@@ -101,16 +99,15 @@ def _planned(block_rows: int, period: int):
     return run
 
 
-def tempered_weights(docs: DataFrame, power: float, source_col: str = "source") -> dict[str | None, float]:
-    """Target weights as row counts to a power below 1, at most PERIOD sources."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.orderBy("source").limit(PERIOD + 1).collect()
-    return {r["source"]: r["n"] ** power for r in rows}
+def tempered_weights(docs: DataFrame, power: float, source_col: str = "source") -> DataFrame:
+    """Target weights, ``source, weight``, as row counts to a power below 1, for any number of sources."""
+    counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source", F.pow("n", F.lit(power)).alias("weight"))
 
 
 def schedule(
     docs: DataFrame,
-    weights: Mapping[str | None, float],
+    weights: Mapping[str | None, float] | DataFrame,
     block_rows: int = BLOCK_ROWS,
     period: int = PERIOD,
     seed: int = 7,
@@ -122,16 +119,20 @@ def schedule(
     Every row is placed once. ``slot`` counts blocks; ``position`` is the
     resulting 0-based place of the row. Targets hold for as long as every source
     has blocks left; after that the others go on in proportion, idle slots
-    closing up. ``period`` is how many slots are sent at a time and changes no row. Rows of a source are shuffled by seed; a null source is a source
-    of its own; a source without a weight raises an error.
+    closing up. ``period`` is how many slots are sent at a time and changes no row.
+    Rows of a source are shuffled by seed; a null source is a source of its own;
+    a source without a weight raises an error. Weights may be a table of
+    ``source, weight``, for any number of sources.
     """
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    targets = docs.sparkSession.createDataFrame(
-        [(s, float(w)) for s, w in weights.items()], "source string, weight double"
-    )
+    targets = weights
+    if isinstance(weights, Mapping):
+        if any(w <= 0 for w in weights.values()):
+            raise ValueError("target weights must be positive")
+        targets = docs.sparkSession.createDataFrame(
+            [(s, float(w)) for s, w in weights.items()], "source string, weight double"
+        )
     counts = docs.groupBy(F.col(source_col).cast("string").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    sources = counts.join(targets, F.col("_s").eqNullSafe(F.col("source")), "full").select(
+    sources = counts.join(targets, F.col("_s").eqNullSafe(targets["source"]), "full").select(
         F.coalesce("_s", "source").alias("source"), "weight", F.coalesce("_n", F.lit(0)).alias("rows")
     )
     plan = freeze(sources.repartition(1).mapInArrow(_planned(block_rows, period), PLAN))
@@ -167,7 +168,7 @@ def schedule(
 
 
 def mix(
-    docs: DataFrame, weights: Mapping[str | None, float], position_col: str | None = None, **options
+    docs: DataFrame, weights: Mapping[str | None, float] | DataFrame, position_col: str | None = None, **options
 ) -> DataFrame:
     """The documents in mixed order, range-partitioned and sorted by position, which ``position_col`` names
     a column for: files are not always read in their order."""

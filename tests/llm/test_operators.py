@@ -270,6 +270,15 @@ def test_pfair_mix_keeps_to_the_real_weights(spark):
     assert t > 1500
 
 
+def test_pfair_mix_takes_any_number_of_sources(spark):
+    n = 5000
+    table = spark.range(2 * n).selectExpr("id AS doc_id", f"nullif(concat('s', id % {n}), 's7') AS source")
+    placed = pfair_mix.schedule(table, pfair_mix.tempered_weights(table, 0.5)).select("_mix.*").collect()
+    assert len({r.source for r in placed}) == n
+    assert sorted(r.position for r in placed) == list(range(2 * n))
+    assert all(r.release <= r.slot < r.deadline for r in placed)
+
+
 def test_quality_rules(docs, empty):
     rows = rows_of(divergence_rules.assess(docs))
     by = {r.doc_id: r.text or "" for r in docs.collect()}
