@@ -48,13 +48,13 @@ def _safe(url: str | None) -> str:
 def _arc_rows(origin: str):
     """Task code: (page_id, url, html) in, ARC records without their final line break out."""
 
-    def record(version: int, page_id: int, url: str | None, html: str | None) -> bytes:
+    def record(version: int, page_id: int | None, url: str | None, html: str | None) -> bytes:
         payload = (html or "").encode()
         head = CRLF.join(
             [
                 "HTTP/1.1 200 OK",
                 "Content-Type: text/html; charset=utf-8",
-                f"X-Page-Id: {page_id}",
+                *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
                 f"Content-Length: {len(payload)}",
                 CRLF,
             ]
@@ -232,17 +232,19 @@ def _warc_rows():
             head += [("WARC-Filename", r["archive"]), ("Content-Type", "application/warc-fields")]
         else:
             first = r["keep_id"] is None or r["keep_id"] == r["page_id"]
+            no_id = r["page_id"] is None
             block = r["http"].encode() + (r["payload"] if first else b"")
             head = [
                 ("WARC-Type", "response" if first else "revisit"),
-                ("WARC-Record-ID", record_id("page", r["page_id"])),
+                ("WARC-Record-ID", record_id(r["archive"], r["offset"]) if no_id else record_id("page", r["page_id"])),
                 ("WARC-Target-URI", r["url"]),
                 ("WARC-IP-Address", r["ip"]),
                 ("Content-Type", "application/http; msgtype=response" if r["http"] else r["mime"]),
                 ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"),
-                ("X-Page-Id", str(r["page_id"])),
                 ("X-Payload-Length", str(r["payload_bytes"])),
             ]
+            if not no_id:
+                head.append(("X-Page-Id", str(r["page_id"])))
             if not first:
                 head += [
                     ("WARC-Profile", PROFILE),
@@ -263,12 +265,14 @@ def _warc_rows():
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """WARC files from ARC files. Of records with equal payloads the one of the largest page id becomes
-    the response and the others revisits of it."""
-    records = read_arc(spark, arc_path)
+    the response and the others revisits of it; where none has an id, all are responses."""
+    # Records without an id are told apart, and spread, by where they are.
+    place = F.coalesce("page_id", F.xxhash64("archive", "offset")).alias("_place")
+    records = read_arc(spark, arc_path).select("*", place)
     hashed = F.xxhash64("payload_key")
     # A narrow pass: payloads stay in the tasks.
     narrow = _files(spark, arc_path).mapInArrow(_records(payloads=False), RECORD)
-    keys = freeze(narrow.where("kind = 'record'").select("payload_key", "page_id"))
+    keys = freeze(narrow.where("kind = 'record'").select("payload_key", "page_id", place))
     groups = freeze(
         keys.groupBy("payload_key")
         .agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
@@ -281,15 +285,19 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
             groups,
             "payload_key",
             "n",
-            "page_id",
+            "_place",
             "inner",
         )
-        .where("page_id <> keep_id")
-        .select(F.col("page_id").alias("_page"), F.col("payload_key").alias("_key"), "keep_id")
+        .where("keep_id IS NOT NULL AND NOT page_id <=> keep_id")
+        .select(F.col("page_id").alias("_page"), F.col("_place").alias("_at"), F.col("payload_key").alias("_key"), "keep_id")
         .distinct()
     )
-    same = (F.col("page_id") == F.col("_page")) & (F.col("payload_key") == F.col("_key"))
-    joined = records.join(named, same, "left").drop("_page", "_key")
+    same = (
+        (F.col("_place") == F.col("_at"))
+        & F.col("page_id").eqNullSafe(F.col("_page"))
+        & (F.col("payload_key") == F.col("_key"))
+    )
+    joined = records.join(named, same, "left").drop("_page", "_at", "_key", "_place")
     rows = joined.mapInArrow(_warc_rows(), "value binary")
     _write_text(rows, warc_path, CRLF + CRLF)
 
@@ -330,9 +338,9 @@ def _pages():
         full = head["warc-type"] == "response"
         if full and f"sha1:{_sha1(payload)}" != head["warc-payload-digest"]:
             raise ValueError(f"payload digest of {head['warc-record-id']} does not match")
-        refers = head.get("x-refers-to-page-id")
+        page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
         return {
-            "page_id": int(head["x-page-id"]),
+            "page_id": int(page) if page else None,
             "payload_bytes": len(payload) if full else int(head["x-payload-length"]),
             "payload_digest": head["warc-payload-digest"].partition(":")[2],
             "record_type": head["warc-type"],
@@ -370,8 +378,9 @@ def archive(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload; a null url is written as ``urn:x-no-url``.
     Rows that repeat a page_id are records of their own: with equal payloads
-    both are responses of that page. An empty table gives an empty result;
-    other columns are not looked at.
+    both are responses of that page. A null page_id stays null: its record is a
+    revisit where its payload also comes with an id, else a response. An empty
+    table gives an empty result; other columns are not looked at.
     """
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")

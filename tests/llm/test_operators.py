@@ -200,6 +200,21 @@ def test_archives(spark):
     assert arc_warc.archive(table.limit(0)).count() == 0
 
 
+def test_archives_keep_pages_without_an_id(spark):
+    rows = [(None, "u0", "a"), (1, "u1", "a"), (2, "u2", "a"), (None, "u3", "b"), (None, "u4", "b"), (None, None, None)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = arc_warc.archive(table).collect()
+    assert {(r.url, r.page_id, r.record_type, r.refers_to, bytes(r.payload), r.payload_bytes) for r in got} == {
+        ("u0", None, "revisit", 2, b"", 1),
+        ("u1", 1, "revisit", 2, b"", 1),
+        ("u2", 2, "response", None, b"a", 1),
+        ("u3", None, "response", None, b"b", 1),
+        ("u4", None, "response", None, b"b", 1),
+        (arc_warc.NO_URL, None, "response", None, b"", 0),
+    }
+    assert len(got) == len({r.record_id for r in got}) == len(rows)
+
+
 def test_every_arc_file_starts_with_a_version_block(spark, tmp_path):
     n, batch = 2 * arc_warc.FILE_RECORDS + 10, "spark.sql.execution.arrow.maxRecordsPerBatch"
     table = spark.range(0, n, 1, 1).selectExpr("id AS page_id", "'http://h/' || id AS url", "'p' || id AS html")
