@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from deskspark.llm.chat_windows import CLOSE, ESCAPES, OPEN, TOKEN, WindowBudget
+from deskspark.llm.conversation_repair import (
+    ACCEPTED,
+    BLANKS,
+    DELETE,
+    INSERT,
+    NEXT,
+    NOTHING,
+    REROLE,
+    ROLES,
+    TRUNCATED,
+)
 from deskspark.llm.divergence_rules import CLASSES, COMMON_WORDS, DivergenceRules
+from deskspark.llm.line_dedup import NULL_ID, LineRule
 
 
 def _quoted(text: str) -> str:
@@ -192,10 +204,114 @@ def _op10() -> str:
     """
 
 
+def _op11() -> str:
+    rule = LineRule()
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, {NULL_ID}) AS doc,
+            string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    lines AS (
+        SELECT id, doc, place, lines[place] AS line, translate(trim(lines[place], {blanks}), '{upper}', '{lower}') AS key
+        FROM (SELECT id, doc, lines, unnest(range(1, len(lines) + 1)) AS place FROM docs)),
+    shared AS (
+        SELECT key, max(doc) AS keep FROM lines WHERE length(key) >= {rule.min_chars}
+        GROUP BY key HAVING count(DISTINCT doc) >= {rule.min_docs}),
+    left_ AS (
+        SELECT id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS kept
+        FROM lines LEFT JOIN shared USING (key) WHERE keep IS NULL OR keep = doc GROUP BY id)
+    SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped,
+        sha256(coalesce(kept, '')) AS kept_sha256
+    FROM docs LEFT JOIN left_ USING (id)
+    """
+
+
+def _op12() -> str:
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    entry = "i"
+    for _ in range(8):
+        entry = f"list_transform({entry}, lambda c: {step})"
+    # Every way through one row: up to two insertions, then an edit; and up to two insertions at the end.
+    ways, ends = [], []
+    for state in range(len(NEXT)):
+        at, before, cost = state, "", 0
+        for _ in range(3):
+            named = NEXT[at]
+            ways.append(f"({state}, '*', '{before}D', {at}, {cost + DELETE}, 0)")
+            ways += [f"({state}, '{k}', '{before}K', {v}, {cost}, 1)" for k, v in named.items()]
+            after = next(v for k, v in named.items() if k in ROLES)
+            ways.append(f"({state}, '+', '{before}R', {after}, {cost + REROLE}, 1)")
+            if at in ACCEPTED:
+                ends.append(f"({state}, '{before}', {cost})")
+            at, before, cost = after, before + "I", cost + INSERT
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return f"""
+    WITH RECURSIVE bits AS (SELECT {entry.replace('(i,', '(list_transform(range(256), lambda x: x::BIGINT),')} AS entries),
+    crc AS (
+        SELECT key, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(key)), '..'), lambda x: ('0x' || x)::BIGINT),
+            lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind
+        FROM (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), bits),
+    hurt AS (
+        SELECT conv_id, turn, kind, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+        FROM conversations JOIN crc ON key = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')),
+    rows_ AS (
+        SELECT conv_id, turn, role, text, trim(text, {blanks}) AS ink,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+        FROM (SELECT conv_id, turn, role, text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hurt)),
+    faults AS (
+        SELECT *, role[1] AS initial, CASE WHEN ink = '' THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+            WHEN ink[-1] NOT IN ('.', '!', '?') THEN 't' ELSE 's' END AS fault FROM rows_),
+    counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+            count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+            count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM faults) GROUP BY conv_id),
+    ways(before, initial, edits, after, cost, stays) AS (VALUES {', '.join(ways)}),
+    ends(state, edits, cost) AS (VALUES {', '.join(ends)}),
+    paths AS (
+        SELECT conv_id, 0 AS place, {NOTHING} AS state, {{'cost': 0::BIGINT, 'edits': ''}} AS best FROM counts
+        UNION ALL
+        SELECT f.conv_id, f.place, w.after, min({{'cost': p.best.cost + w.cost
+            + CASE WHEN w.stays = 1 AND f.fault = 't' THEN {TRUNCATED} ELSE 0 END, 'edits': p.best.edits || w.edits}})
+        FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.place = p.place + 1
+            JOIN ways w ON w.before = p.state AND (w.stays = 0 OR f.fault IN ('t', 's')) AND w.initial IN ('*', '+', f.initial)
+        GROUP BY f.conv_id, f.place, w.after),
+    found AS (
+        SELECT c.conv_id, min({{'cost': p.best.cost + e.cost, 'edits': p.best.edits || e.edits}}) AS best
+        FROM counts c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.place = c.n JOIN ends e USING (state)
+        GROUP BY c.conv_id),
+    letters AS (
+        SELECT conv_id, best.edits AS audit, unnest(range(1, length(best.edits) + 1)) AS spot FROM found),
+    applied AS (
+        SELECT conv_id, spot, audit[spot] AS edit,
+            length(regexp_replace(audit[1:spot], 'I', '', 'g')) AS place FROM letters),
+    roles AS (
+        SELECT a.*, f.role, f.text, sum(CASE WHEN edit = 'D' OR edit = 'K' AND f.initial = 's' THEN 0 ELSE 1 END)
+                OVER (PARTITION BY a.conv_id ORDER BY spot) AS said
+        FROM applied a LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM a.conv_id AND f.place = a.place),
+    lines AS (
+        SELECT conv_id, spot, CASE WHEN edit = 'K' THEN role WHEN said % 2 = 1 THEN 'user' ELSE 'assistant' END
+            || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line FROM roles WHERE edit <> 'D'),
+    whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY spot) AS lines FROM lines GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+        coalesce(best.edits, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
 ORACLES: dict[str, str] = {
     "op2_quotient_dedup": _op2(),
     "op3_chat_windows": _op3(),
     "op6_arc_to_warc": _op6(),
     "op9_interleaved_shards": _op9(),
     "op10_divergence_rules": _op10(),
+    "op11_bloom_lines": _op11(),
+    "op12_ida_repair": _op12(),
 }

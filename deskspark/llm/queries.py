@@ -12,17 +12,21 @@ from deskspark.llm import (
     arc_warc,
     bpe_stream,
     chat_windows,
+    conversation_repair,
     divergence_rules,
     importance,
     interleave_shards,
+    line_dedup,
     minhash_tensor,
     oracles,
     pfair_mix,
     quotient_dedup,
     suffix_dedup,
+    token_alignment,
 )
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 SHARDS = 40
 MIX_POWER = 0.5
@@ -121,3 +125,21 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.assess(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op11_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+    return repaired.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
