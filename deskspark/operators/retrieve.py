@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,20 +162,6 @@ def knn(
     return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
 
 
-def _nearest_cells(centres: np.ndarray, probes: int):
-    """Pandas UDF: the ``probes`` cells whose centres are nearest, nearest first."""
-    squares = (centres * centres).sum(axis=1)
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        gaps = squares - 2 * (np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T)
-        return pd.Series(list(np.argsort(gaps, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    return nearest
-
-
 def knn_cells(
     queries: DataFrame,
     corpus: DataFrame,
@@ -200,17 +185,14 @@ def knn_cells(
     key = F.col(corpus_id)
     held = corpus.where(F.col(vector).isNotNull())
     fitted = held.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key).limit(fit_rows)
-    features = cluster.with_vectors(fitted.select(vector), vector).select("features").persist()
-    if features.isEmpty():
+    centres = cluster.fit_centres(fitted, cells, seed, 1, vector)
+    if centres is None:
         return knn(queries, corpus, k, query_id, corpus_id, vector)
-    model = cluster.fit_kmeans(features, cells, seed, 1)
-    features.unpersist()
-    centres = np.stack(model.clusterCenters())
     base = _base(held, corpus_id, vector, F.lit("")).withColumn(
-        "_part", F.get(_nearest_cells(centres, 1)("_vec"), F.lit(0))
+        "_part", F.get(cluster.nearest(centres)("_vec"), F.lit(0))
     )
     asked = _asked(queries, query_id, vector, F.lit("")).withColumn(
-        "_part", F.explode(_nearest_cells(centres, probes)("_vec"))
+        "_part", F.explode(cluster.nearest(centres, probes)("_vec"))
     )
     return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from deskspark import lexicon as lx
 from deskspark.functions.text import clean_or_raw, normalize_reply
 from deskspark.operators import agreement, cluster, features, metrics, retrieve, rules, sampling, threads
+from deskspark.operators.grouped import top_n_per_group
 from deskspark.operators.guard import guard_reply
+from deskspark.sources.scratch import freeze
 
 
 def prepare(
@@ -173,10 +175,22 @@ def discover(
     encoder: features.Encoder | None = None,
     examples: int = 5,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(k sweep, cluster summary, cluster examples) of a message column."""
+    """(k sweep, cluster summary, cluster examples) of a message column.
+
+    Equal texts are embedded and fitted once, with their number as weight; the sweep's silhouettes are on
+    squared distance, in linear time. The first rows of a cluster are among the first of their texts, so only
+    those meet the clusters.
+    """
     rows = df.where(F.col(text).isNotNull())
-    embedded = features.embed(rows, text, encoder)
-    sweep = cluster.sweep_k(embedded, ks, seed, n_init)
-    clustered = cluster.kmeans(embedded, k, seed, n_init).drop("embedding")
-    shown = cluster.cluster_examples(clustered.select("cluster", key, text), [F.col(key)], examples)
-    return sweep, cluster.cluster_summary(clustered), shown
+    texts = freeze(rows.groupBy(text).agg(F.count(F.lit(1)).alias("_copies")))
+    fitted = None if encoder else features.fit_tfidf(
+        texts, text, hashed=features.EMBEDDING_DIMS, output="_features", weight="_copies"
+    )
+    embedded = freeze(features.embed(texts, text, encoder, fitted))
+    models = cluster.fit_many(cluster.points(embedded, weight="_copies"), sorted({*ks, k}), seed, n_init)
+    swept = {x: models[x] for x in ks if x in models}
+    sweep = cluster.sweep_k(embedded, ks, seed, n_init, metric="squared", weight="_copies", models=swept)
+    assigned = freeze(cluster.kmeans(embedded, k, model=models.get(k)).select(text, "_copies", "cluster"))
+    first = top_n_per_group(rows.select(text, key), [text], [F.col(key)], examples).drop("rank")
+    shown = cluster.cluster_examples(first.join(assigned, text).select("cluster", key, text), [F.col(key)], examples)
+    return sweep, cluster.cluster_summary(assigned, weight="_copies"), shown

@@ -559,6 +559,30 @@ ORACLES: dict[str, str] = {
       means AS (SELECT vec_id, max(CASE WHEN own = other THEN CASE WHEN n > 1 THEN s / (n - 1) END END) AS a,
           min(CASE WHEN own <> other THEN s / n END) AS b FROM sums JOIN sizes ON sizes.label = sums.other GROUP BY vec_id)
       SELECT CAST(count(*) AS BIGINT) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM means""",
+    "kmeans_steps": f"""WITH v AS (SELECT vec_id, {_vector} AS x FROM embeddings),
+      seeds AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, x AS c FROM v ORDER BY vec_id LIMIT 12),
+      ks AS (SELECT CAST(unnest(range(5, 13)) AS INTEGER) AS k),
+      own AS (SELECT k, cluster, vec_id, x, list_distance(x, c) ** 2 AS gap FROM ks JOIN seeds ON cluster < k JOIN v ON true
+        QUALIFY row_number() OVER (PARTITION BY k, vec_id ORDER BY gap, cluster) = 1),
+      sums AS (SELECT k, cluster, CAST(count(*) AS BIGINT) AS size, round(sum(gap), 6) AS cost FROM own GROUP BY k, cluster),
+      moved AS (SELECT k, cluster, list(m ORDER BY pos) AS c FROM (
+        SELECT k, cluster, pos, avg(e) AS m FROM (SELECT k, cluster, unnest(x) AS e, unnest(range(len(x))) AS pos FROM own)
+        GROUP BY k, cluster, pos) GROUP BY k, cluster),
+      stay AS (SELECT k, cluster, c FROM moved UNION ALL
+        SELECT k, cluster, c FROM ks JOIN seeds ON cluster < k WHERE (k, cluster) NOT IN (SELECT (k, cluster) FROM moved)),
+      after AS (SELECT k, round(sum(gap), 6) AS cost_after FROM (
+        SELECT k, vec_id, min(list_distance(x, c) ** 2) AS gap FROM stay JOIN v ON true GROUP BY k, vec_id) GROUP BY k)
+      SELECT k, cluster, size, cost, cost_after FROM sums JOIN after USING (k)""",
+    "silhouette_exact": f"""WITH v AS (SELECT vec_id, label, {_vector} AS x FROM embeddings),
+      named AS (SELECT vec_id, x, unnest(['cluster', 'halves', 'parity']) AS labelling, unnest([label, label // 5, label % 2]) AS own FROM v),
+      sizes AS (SELECT labelling, own AS other, count(*) AS n FROM named GROUP BY ALL),
+      gaps AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS gap FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+      sums AS (SELECT p.labelling, p.vec_id, p.own, q.own AS other, sum(gap) AS s
+        FROM gaps JOIN named p ON p.vec_id = a JOIN named q ON q.vec_id = b AND q.labelling = p.labelling GROUP BY ALL),
+      means AS (SELECT labelling, vec_id, max(CASE WHEN own = other THEN s / nullif(n - 1, 0) END) AS inside,
+          min(CASE WHEN own <> other THEN s / n END) AS outside FROM sums JOIN sizes USING (labelling, other) GROUP BY ALL)
+      SELECT labelling, round(avg(coalesce((outside - inside) / greatest(outside, inside), 0)), 6) AS silhouette
+      FROM means GROUP BY labelling""",
     "triage_records": f"""WITH {SUB_DECIDED} SELECT ticket_id, intent, confidence, CASE intent {_replies} END AS reply, decision, reason,
       false AS hallucination_detected, '' AS flags, array_to_string(fired, ' | ') AS fired, signal_count, 'full_system' AS model_type FROM decided""",
     "evaluate_systems": f"""WITH {COMPARED}, drawn AS (

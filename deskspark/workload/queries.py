@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -611,6 +612,35 @@ def kmeans_assign(spark, sf):
     return cluster.kmeans(tables.load(spark, sf, "embeddings"), 8, SEED).select("vec_id", "cluster")
 
 
+FIRST_K, LAST_K = 5, 12
+
+
+@query
+def kmeans_steps(spark, sf):
+    """Models of 5 to 12 clusters from the first vectors as centres: sizes and costs, and the cost one step later."""
+    base = tables.load(spark, sf, "embeddings")
+    first = [r["embedding"] for r in base.orderBy("vec_id").limit(LAST_K).select("embedding").collect()]
+    begin = {k: np.array(first[:k], dtype=np.float64) for k in range(FIRST_K, LAST_K + 1)}
+    held = cluster.points(base)
+    after = [(k, float(m.cost)) for k, m in cluster.advance(held, begin, max_iterations=1).items()]
+    sums = cluster.cluster_sums(held, begin).select(
+        F.col("model").alias("k"), "cluster", F.col("size").cast("bigint").alias("size"), F.round("cost", 6).alias("cost")
+    )
+    return sums.join(spark.createDataFrame(after, "k int, cost_after double"), "k").withColumn(
+        "cost_after", F.round("cost_after", 6)
+    )
+
+
+@query
+def silhouette_exact(spark, sf):
+    """Plain Euclidean silhouettes of the labels and of two coarser labellings, over all pairs of rows."""
+    base = _labelled(spark, sf).withColumns({"halves": F.expr("cluster div 5"), "parity": F.expr("cluster % 2")})
+    names = ["cluster", "halves", "parity"]
+    found = cluster.silhouette_exact(base, names)
+    table = spark.createDataFrame([(c, found[c]) for c in names], "labelling string, silhouette double")
+    return table.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query
 def cluster_summary(spark, sf):
     return cluster.cluster_summary(_labelled(spark, sf))

@@ -330,12 +330,79 @@ def test_clusters_and_silhouettes(spark):
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(c, 0.2, size=(30, 3)) for c in (0, 4, 9)])
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, embedding array<double>")
-    sweep = {r["k"]: (r["silhouette"], r["best"]) for r in cluster.sweep_k(df, [2, 3, 4], n_init=2).collect()}
-    assert sweep[3][1]
+    for metric in ("euclidean", "squared"):
+        sweep = {r["k"]: (r["silhouette"], r["best"]) for r in cluster.sweep_k(df, [2, 3, 4], n_init=2, metric=metric).collect()}
+        assert sweep[3][1]
     clustered = cluster.kmeans(df, 3, n_init=2).cache()
     assert sorted(r["size"] for r in cluster.cluster_summary(clustered).collect()) == [30, 30, 30]
 
 
+def lloyd(points, weights, centres, rounds):
+    for _ in range(rounds):
+        gaps = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = gaps.argmin(axis=1)
+        centres = np.array([
+            np.average(points[own == c], axis=0, weights=weights[own == c]) if (own == c).any() else centres[c]
+            for c in range(len(centres))
+        ])
+    gaps = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+    return centres, float((weights * gaps.min(axis=1)).sum())
+
+
+def test_models_advance_together_like_alone(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(300, 3))
+    weights = rng.integers(1, 4, 300)
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in p], int(w)) for i, (p, w) in enumerate(zip(points, weights))],
+        "id long, embedding array<double>, w int",
+    ).repartition(5)
+    starts = {k: points[:k] for k in (2, 3, 5)}
+    found = cluster.advance(cluster.points(df, weight="w"), starts, 4, tolerance=0.0)
+    for k, start in starts.items():
+        centres, cost = lloyd(points, weights, start, 4)
+        assert np.allclose(found[k].centres, centres) and found[k].cost == pytest.approx(cost)
+        assert found[k].sizes.sum() == weights.sum()
+    best = cluster.fit_many(cluster.points(df, weight="w"), [2, 5], 1, 3)
+    assert best[5].cost < best[2].cost
+    again = cluster.fit_many(cluster.points(df.repartition(2), weight="w"), [2, 5], 1, 3)
+    assert all(np.allclose(best[k].centres, again[k].centres) for k in (2, 5))
+
+
+def test_fewer_points_than_clusters(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(20)], "id long, embedding array<double>")
+    assert cluster.kmeans(df, 5, n_init=2).select("cluster").distinct().count() == 2
+    empty = df.limit(0)
+    assert cluster.kmeans(empty, 5, n_init=2).count() == 0 and cluster.sweep_k(empty, [2], n_init=1).count() == 0
+
+
+def plain_silhouette(points, labels):
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    scores = []
+    for i, own in enumerate(labels):
+        means = {c: gaps[i, labels == c].sum() / ((labels == c).sum() - (c == own)) for c in set(labels) if (labels == c).sum() > (c == own)}
+        other = min(m for c, m in means.items() if c != own)
+        scores.append((other - means[own]) / max(other, means[own]) if own in means and max(other, means[own]) > 0 else 0.0)
+    return float(np.mean(scores))
+
+
+@pytest.mark.parametrize("tile_rows", [1000, 17])
+def test_exact_silhouettes_of_several_labellings(spark, tile_rows):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(150, 4))
+    points[30:80] = points[30]  # a third are copies
+    a, b = rng.integers(0, 3, 150), rng.integers(5, 9, 150)
+    b[3] = 11  # a cluster of its own
+    rows = [(i, [float(x) for x in p], int(x), int(y), 1) for i, (p, x, y) in enumerate(zip(points, a, b))]
+    rows += [(900, None, 1, 5, 1), (901, [0.0] * 4, None, 5, 1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, a int, b int, one int").repartition(4)
+    got = cluster.silhouette_exact(df, ["a", "b", "one"], tile_rows=tile_rows)
+    assert got["a"] == pytest.approx(plain_silhouette(points, a), abs=1e-6)
+    assert got["b"] == pytest.approx(plain_silhouette(points, b), abs=1e-6)
+    assert got["one"] is None
+    assert cluster.silhouette_exact(df.limit(0), ["a"]) == {"a": None}
+
+
 # --- IO ---
 
 
@@ -347,7 +414,7 @@ def test_csv_with_line_breaks_and_extra_columns(spark, tmp_path):
     )
     rows = tables.read_messages(spark, str(path)).orderBy("tweet_id").collect()
     assert rows[0]["text"] == 'hello, "you"\nsecond line' and rows[0]["in_response_to_tweet_id"] is None
-    assert (rows[1]["tweet_id"], rows[1]["in_response_to_tweet_id"]) == (2, 1)
+    assert (rows[1]["tweet_id"], rows[1]["in_response_to_tweet_id"]) == (2, "1.0")
 
 
 def test_golden_column_names(spark, tmp_path):
