@@ -13,6 +13,9 @@ from deskspark.sources.scratch import freeze
 # (spark.sql.optimizer.windowGroupLimitThreshold); beyond it groups are salted.
 GROUP_LIMIT_THRESHOLD = 1000
 SALTS = 64
+# A key is hot when it holds more than 1/HOT_SHARE of the weighed rows, so fewer than
+# HOT_SHARE keys are hot whatever the size of the table.
+HOT_SHARE = 1000
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -134,3 +137,18 @@ def running_count(
         *[ranked[c] for c in df.columns],
         (before["_before"] + ranked["_inside"]).cast("bigint").alias(name),
     )
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, how: str = "left") -> DataFrame:
+    """Join one row per key to ``rows``, however many rows share a key.
+
+    ``groups`` is a stored table, unique by ``key``, whose ``size`` counts the rows of its key. Keys with
+    more than 1/HOT_SHARE of all counted rows are fewer than HOT_SHARE, which bounds the
+    broadcast; their rows are dealt over SALTS by ``spread``, which differs between rows of one key.
+    """
+    hot = F.col(size) * HOT_SHARE > groups.agg(F.sum(size)).scalar()
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = groups.withColumn("_salt", F.explode(salts))
+    left = rows.join(F.broadcast(groups.where(hot).select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return left.withColumn("_salt", salt).drop("_hot").join(right, [key, "_salt"], how).drop("_salt")

@@ -119,6 +119,21 @@ def binary_prf(
     return pairs.groupBy(*by).agg(*[c.alias(n) for n, c in counts.items()]).withColumns(_binary_scores())
 
 
+def binary_rollup(
+    pairs: DataFrame, truth: str, pred: str, levels: Sequence[str], positive: str | int = ESCALATE
+) -> DataFrame:
+    """:func:`binary_prf` for every prefix of ``levels`` down to the total, in one pass.
+
+    ``level`` tells the rows apart: 0 for all levels, then 1, 3, 7 as the last, the last two, ... are summed
+    over (a NULL there stands for all). Rows are counted once per cell of all levels; the subtotals are sums of those.
+    """
+    t = F.coalesce(F.col(truth) == F.lit(positive), F.lit(False))
+    p = F.coalesce(F.col(pred) == F.lit(positive), F.lit(False))
+    cells = pairs.groupBy(*levels).agg(*[c.alias(n) for n, c in _binary(t, p, F.lit(1)).items()])
+    sums = [F.sum(n).cast("bigint").alias(n) for n in ("tp", "fp", "fn", "tn")]
+    return cells.rollup(*levels).agg(F.grouping_id().alias("level"), *sums).withColumns(_binary_scores())
+
+
 def rating_means(df: DataFrame, dims: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean rating per dimension and the mean of those means."""
     means = df.groupBy(*by).agg(*[F.avg(d).alias(f"{d}_mean") for d in dims])

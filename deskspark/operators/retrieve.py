@@ -3,16 +3,20 @@
 Corpus blocks and query chunks of bounded size meet in groups that emit k rows
 per query and block. ``knn`` lets every chunk meet every block of its partition
 value and is exact, at a cost of queries times corpus rows. ``knn_cells`` cuts
-the corpus into k-means cells and searches the nearest ones only.
+the corpus into k-means cells and searches the nearest ones only. ``knn_codes``
+scans product-quantised codes of a few bytes per row and reads full vectors for a
+short list only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -20,6 +24,7 @@ from pyspark.sql.types import DataType
 from deskspark.lexicon import NO_CONTEXT
 from deskspark.operators import cluster
 from deskspark.operators.grouped import top_n_per_group
+from deskspark.sources.scratch import freeze
 
 BLOCK_ROWS = 4096
 # Tasks over which the rows of one partition value are dealt when they look up its layout.
@@ -70,14 +75,14 @@ def _ddl(queries: DataFrame, corpus: DataFrame) -> str:
     return f"_qid {query}, _cid {found}, similarity double"
 
 
-def _search_block(k: int, schema: pa.Schema):
-    """Cogroup body: a bounded query chunk against a bounded corpus block."""
+def _search_block(k: int, schema: pa.Schema, decoded=_matrix):
+    """Cogroup body: a bounded query chunk against a bounded corpus block, whose vectors ``decoded`` gives."""
 
     def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or corpus.num_rows == 0:
             return schema.empty_table()
         corpus = corpus.sort_by([("_cid", "descending")])
-        block = _matrix(corpus.column("_vec"), corpus.num_rows)
+        block = decoded(corpus.column("_vec"), corpus.num_rows)
         wanted = _matrix(queries.column("_vec"), queries.num_rows)
         found = [
             pa.table(
@@ -106,7 +111,7 @@ def _base(corpus: DataFrame, corpus_id: str, vector: str, part) -> DataFrame:
     )
 
 
-def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int, decoded=_matrix) -> DataFrame:
     """Hits of every query in every block of its partition value.
 
     A value with n rows has ceil(n / block_rows) slices on either side, so both
@@ -132,7 +137,7 @@ def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int) ->
     left = placed(asked, "_qid", "_chunk", "_chunks", "_block", "_blocks")
     right = placed(base, "_cid", "_block", "_blocks", "_chunk", "_chunks")
     group = ["_part", "_chunk", "_block"]
-    search = _search_block(k, _hit_schema(asked, base))
+    search = _search_block(k, _hit_schema(asked, base), decoded)
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, _ddl(asked, base))
 
 
@@ -162,6 +167,18 @@ def knn(
     return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
 
 
+def search_cells(
+    asked: DataFrame, base: DataFrame, k: int, query_id: str, corpus_id: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The k best of rows (_cid, _vec, _part) for queries (_qid, _vec, _part) that share their cell."""
+    return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
+
+
+def fitting_rows(held: DataFrame, key: str, seed: int, rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``rows`` rows in seeded order, which cells and codebooks are fitted on."""
+    return held.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(rows)
+
+
 def knn_cells(
     queries: DataFrame,
     corpus: DataFrame,
@@ -182,10 +199,8 @@ def knn_cells(
     probes lose some neighbours: measure the recall on your vectors. A cell of any size is
     cut into blocks. Only the centres reach the driver.
     """
-    key = F.col(corpus_id)
     held = corpus.where(F.col(vector).isNotNull())
-    fitted = held.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), key).limit(fit_rows)
-    centres = cluster.fit_centres(fitted, cells, seed, 1, vector)
+    centres = cluster.fit_centres(fitting_rows(held, corpus_id, seed, fit_rows), cells, seed, 1, vector)
     if centres is None:
         return knn(queries, corpus, k, query_id, corpus_id, vector)
     base = _base(held, corpus_id, vector, F.lit("")).withColumn(
@@ -197,6 +212,138 @@ def knn_cells(
     return _ranked(_search_parts(asked, base, k, block_rows), k, query_id, corpus_id)
 
 
+@dataclass(frozen=True)
+class Codes:
+    """Product quantiser: a cell's centre, then per subspace the nearest of at most 256 sub-vectors of what is left."""
+
+    centres: np.ndarray
+    books: list[np.ndarray]
+
+    def _padded(self, rows: np.ndarray) -> np.ndarray:
+        width = sum(b.shape[1] for b in self.books)
+        return np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+
+    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, bytes: the cell and a code per subspace) of each row."""
+        cells = (((self.centres**2).sum(axis=1)) - 2 * rows @ self.centres.T).argmin(axis=1)
+        left = self._padded(rows - self.centres[cells])
+        out, at = [cells.astype("<i4").view(np.uint8).reshape(-1, 4)], 0
+        for book in self.books:
+            part = left[:, at : at + book.shape[1]]
+            at += book.shape[1]
+            out.append(((book**2).sum(axis=1) - 2 * part @ book.T).argmin(axis=1).astype(np.uint8)[:, None])
+        return cells, np.concatenate(out, axis=1)
+
+    def decode(self, column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        """Vectors that codes stand for; their product with a query is the sum of its table of distances."""
+        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(rows, 4 + len(self.books))
+        cells = data[:, :4].copy().view("<i4")[:, 0]
+        left = np.concatenate([book[data[:, 4 + i]] for i, book in enumerate(self.books)], axis=1)
+        return self.centres[cells] + left[:, : self.centres.shape[1]]
+
+    def column(self, vector: Column) -> Column:
+        """Pandas UDF: (cell, code) of a vector."""
+        codes = self
+
+        @F.pandas_udf("cell int, code binary")
+        def encoded(vectors: pd.Series) -> pd.DataFrame:
+            if len(vectors) == 0:
+                return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "code": pd.Series([], dtype=object)})
+            cells, data = codes.encode(np.stack(vectors.to_numpy()).astype(np.float64))
+            return pd.DataFrame({"cell": cells.astype(np.int32), "code": [x.tobytes() for x in data]})
+
+        return encoded(vector)
+
+
+def _codebook(seed: int, codes: int, rounds: int):
+    """Task code: sub-vectors of one subspace in, the means of ``codes`` groups of them out."""
+
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = np.unique(_matrix(table.column("_part"), table.num_rows), axis=0)
+        book = rows[np.random.default_rng([seed, key[0].as_py()]).permutation(len(rows))[:codes]]
+        for _ in range(rounds):
+            own = ((book**2).sum(axis=1) - 2 * rows @ book.T).argmin(axis=1)
+            sums = np.zeros_like(book)
+            np.add.at(sums, own, rows)
+            size = np.bincount(own, minlength=len(book))
+            book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], book)
+        return pa.table({"_sub": pa.array([key[0].as_py()], pa.int32()), "_book": [book.tolist()]})
+
+    return fit
+
+
+def fit_codes(
+    corpus: DataFrame, cells: int, corpus_id: str = "corpus_id", vector: str = "embedding", subspaces: int = 16,
+    codes: int = 256, seed: int = 42, fit_rows: int = FIT_ROWS, rounds: int = 12,
+) -> Codes | None:
+    """Fit a product quantiser on at most ``fit_rows`` rows, one task per subspace; None without vectors.
+
+    What reaches the driver: the cells' centres and ``codes`` sub-vectors per subspace.
+    """
+    held = corpus.where(F.col(vector).isNotNull()).withColumn(vector, F.col(vector).cast("array<double>"))
+    sample = freeze(fitting_rows(held.select(corpus_id, vector), corpus_id, seed, fit_rows))
+    centres = cluster.fit_centres(sample, cells, seed, 1, vector)
+    if centres is None:
+        return None
+    width = -(-centres.shape[1] // subspaces)
+
+    @F.pandas_udf("array<array<double>>")
+    def parts(vectors: pd.Series) -> pd.Series:
+        if len(vectors) == 0:
+            return pd.Series([], dtype=object)
+        rows = np.stack(vectors.to_numpy())
+        left = rows - centres[((centres**2).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)]
+        left = np.pad(left, ((0, 0), (0, width * subspaces - left.shape[1])))
+        return pd.Series([[list(p) for p in row] for row in left.reshape(len(rows), subspaces, width)])
+
+    spread = sample.select(F.posexplode(parts(F.col(vector))).alias("_sub", "_part"))
+    books = spread.groupBy("_sub").applyInArrow(_codebook(seed, codes, rounds), "_sub int, _book array<array<double>>")
+    found = {r["_sub"]: np.array(r["_book"]) for r in books.collect()}
+    return Codes(centres, [found[i] for i in range(subspaces)])
+
+
+def knn_codes(
+    queries: DataFrame,
+    corpus: DataFrame,
+    cells: int,
+    probes: int,
+    short_list: int,
+    k: int = 3,
+    query_id: str = "query_id",
+    corpus_id: str = "corpus_id",
+    vector: str = "embedding",
+    codes: Codes | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Like :func:`knn` over two large sides: codes are scanned, full vectors are read for short lists only.
+
+    Every corpus row is coded in some bytes and lies in its nearest cell. A query scans the codes of
+    its ``probes`` nearest cells, and the ``short_list`` best by code are ranked by their full vectors: the
+    pairs shuffled with vectors are queries times ``short_list``. ``probes = cells`` and a short list of the
+    whole corpus are exact; otherwise measure the recall on your vectors.
+    """
+    codes = codes or fit_codes(corpus, cells, corpus_id, vector)
+    if codes is None:
+        return knn(queries, corpus, k, query_id, corpus_id, vector)
+    base = corpus.where(F.col(vector).isNotNull()).select(
+        F.col(corpus_id).alias("_cid"), codes.column(F.col(vector).cast("array<double>")).alias("_c")
+    )
+    base = freeze(base.select("_cid", F.col("_c.code").alias("_vec"), F.col("_c.cell").alias("_part")))
+    asked = _asked(queries, query_id, vector, F.lit(""))
+    near = asked.withColumn("_part", F.explode(cluster.nearest(codes.centres, probes)("_vec")))
+    listed = top_n_per_group(
+        _search_parts(near, base, short_list, block_rows, codes.decode),
+        ["_qid"], [F.desc("similarity"), F.desc("_cid")], short_list,
+    ).select("_qid", "_cid")
+    full = _base(corpus, corpus_id, vector, F.lit("")).select("_cid", F.col("_vec").alias("_own"))
+    product = F.aggregate(F.zip_with("_vec", "_own", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    hits = (
+        listed.join(full, "_cid")
+        .join(asked.select("_qid", "_vec"), "_qid")
+        .select("_qid", "_cid", (F.round(product, DIGITS) + F.lit(0.0)).alias("similarity"))
+    )
+    return _ranked(hits, k, query_id, corpus_id)
+
 
 def knn_by_label(
     queries: DataFrame,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions.text import as_id, clean_text, mentions
 from deskspark.operators.grouped import first_per_key, running_count
+from deskspark.sources.scratch import freeze
 
 MIN_LENGTH = 5
 
@@ -105,3 +106,69 @@ def thread_length(
 ) -> DataFrame:
     """Turn count of the thread up to and including each row."""
     return running_count(df, list(thread), ts, list(order), name, slice_width)
+
+
+def reply_depth(messages: DataFrame, key: str = "tweet_id", reply_to: str = "in_response_to_tweet_id") -> DataFrame:
+    """``key, root_id, depth, cyclic, thread_size`` of every message along its reply pointers.
+
+    Pointers are doubled: each round a message looks up the state of the ancestor it has reached, so a chain of
+    n replies takes about log2(n) joins. A message without a pointer, or whose parent is not in
+    the table, is a root of depth 0. Messages on a cycle of pointers, or below one, have no root: a round in
+    which no message finds one leaves only those. ``thread_size`` counts the messages of a root. Ids are
+    expected to be unique; a bad pointer counts as a lost parent. A popular ancestor is a hot key of
+    the join's larger side only, which Spark splits (adaptive skew join).
+    """
+    rows = messages.select(as_id(F.col(key)).alias("id"), as_id(F.col(reply_to).cast("string")).alias("parent"))
+    known = rows.select(F.col("id").alias("_known"))
+    placed = rows.join(known, F.col("parent") == F.col("_known"), "left")
+    found = F.col("_known").isNotNull()
+    state = freeze(
+        placed.select(
+            "id",
+            F.when(found, F.col("parent")).alias("reached"),
+            found.cast("bigint").alias("depth"),
+            (~found).alias("done"),
+        )
+    )
+    parts, left = [state.where("done").select("id", F.col("id").alias("root_id"), "depth")], state.where("NOT done")
+    waiting = left.count()
+    settled = state
+    while waiting:
+        seen = settled.select(
+            F.col("id").alias("_id"), F.col("reached").alias("_reached"), F.col("depth").alias("_depth"), F.col("done").alias("_done")
+        )
+        settled = freeze(
+            left.join(seen, F.col("reached") == F.col("_id")).select(
+                "id",
+                F.when(F.col("_done"), F.coalesce("_reached", F.col("_id"))).otherwise(F.col("_reached")).alias("reached"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
+                F.col("_done").alias("done"),
+            )
+        )
+        parts.append(settled.where("done").select("id", F.col("reached").alias("root_id"), "depth"))
+        left = settled.where("NOT done")
+        now = left.count()
+        if now == waiting:
+            break
+        waiting = now
+        # Ancestors that are done already are looked up as well; their state does not change any more.
+        settled = freeze(_states(parts).unionByName(left))
+    rooted = parts[0]
+    for part in parts[1:]:
+        rooted = rooted.unionByName(part)
+    placed = rooted.withColumn("cyclic", F.lit(False))
+    if waiting:
+        lost = left.select("id", F.lit(None).cast("bigint").alias("root_id"), F.lit(None).cast("bigint").alias("depth"))
+        placed = placed.unionByName(lost.withColumn("cyclic", F.lit(True)))
+    sizes = rooted.groupBy("root_id").agg(F.count(F.lit(1)).alias("thread_size"))
+    return placed.join(sizes, "root_id", "left").select(
+        F.col("id").alias(key), "root_id", "depth", "cyclic", "thread_size"
+    )
+
+
+def _states(parts: list[DataFrame]) -> DataFrame:
+    whole = None
+    for part in parts:
+        rows = part.select("id", F.col("root_id").alias("reached"), "depth", F.lit(True).alias("done"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deskspark import lexicon as lx
 from deskspark.functions.text import clean_or_raw, normalize_reply
 from deskspark.operators import agreement, cluster, features, metrics, retrieve, rules, sampling, threads
-from deskspark.operators.grouped import top_n_per_group
+from deskspark.operators.grouped import attach, top_n_per_group
 from deskspark.operators.guard import guard_reply
 from deskspark.sources.scratch import freeze
 
@@ -24,22 +24,43 @@ def prepare(
     return sample, threads.customer_messages(sample)
 
 
+Search = Callable[[DataFrame], DataFrame]
+
+
 def retrieve_context(
     texts: DataFrame, corpus: DataFrame, text_key: str, brand: str, k: int = 3, vector: str = "embedding",
-    cells: int | None = None, probes: int | None = None,
+    cells: int | None = None, probes: int | None = None, intent: str | None = None,
+    defaults: Sequence[Mapping] = (), search: Search | None = None,
 ) -> DataFrame:
     """(text_key, retrieved_context) of the texts with hits in an embedded thread corpus.
 
-    With ``cells`` and ``probes`` the search is by k-means cells, else exact.
+    With ``cells`` and ``probes`` the search is by k-means cells, with ``intent`` (a column of both sides) among
+    rows of that intent, with ``search`` by a function that gives (text_key, thread_id, similarity, rank), such as
+    a stored index; else exact. Texts without a hit get the ``defaults``.
     """
-    if cells:
+    if search:
+        hits = search(texts)
+    elif intent:
+        hits = retrieve.knn_by_label(texts, corpus, intent, k, text_key, "thread_id", vector)
+    elif cells:
         hits = retrieve.knn_cells(texts, corpus, cells, probes or cells, k, text_key, "thread_id", vector)
     else:
         hits = retrieve.knn(texts, corpus, k, text_key, "thread_id", vector)
     shown = hits.join(corpus.select("thread_id", "customer_msg", "brand_reply"), "thread_id")
+    if defaults:
+        shown = retrieve.with_fallback(shown, texts, defaults, text_key, k)
     return retrieve.format_context(shown, brand, text_key)
 
 
+def embed_corpus(
+    corpus: DataFrame, encoder: features.Encoder | None = None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]:
+    """(threads with ``text`` and ``embedding``, the fitted text features or None with an encoder)."""
+    base = corpus.select("thread_id", "customer_msg", "brand_reply", F.col("customer_msg").alias("text"))
+    fitted = None if encoder else features.fit_tfidf(base, hashed=features.EMBEDDING_DIMS, output="_features")
+    return features.embed(base, encoder=encoder, fitted=fitted), fitted
+
+
 def triage(
     messages: DataFrame,
     corpus: DataFrame,
@@ -52,36 +73,55 @@ def triage(
     text: str = "raw_text",
     cells: int | None = None,
     probes: int | None = None,
+    by_intent: bool = False,
+    defaults: Sequence[Mapping] = (),
+    search: Search | None = None,
+    fitted: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One triage record per message: intent, reply, guard result, decision and reason.
 
     Messages need ``text`` and ``thread_length``; the corpus needs thread_id,
     customer_msg and brand_reply. Equal texts are embedded and searched once,
-    whatever their share of the messages, and the result is joined back.
+    whatever their share of the messages, and the result is joined back with hot texts dealt out.
+    ``by_intent`` searches among threads whose message gets the same intent, and all threads
+    where there are none; ``defaults`` are shown to messages without a hit. ``search`` (see
+    :func:`retrieve_context`) with the ``fitted`` features of :func:`embed_corpus` searches a stored index
+    instead of embedding the corpus.
     """
     kept = [c for c in messages.columns if c not in ("intent", "confidence", "text")]
     cleaned = messages.select(*kept, clean_or_raw(F.col(text)).alias("text"))
-    labelled = classify(cleaned).withColumn("_text_key", F.md5("text"))
-
-    texts = cleaned.select(F.md5("text").alias("_text_key"), "text").distinct()
-    base = corpus.select("thread_id", "customer_msg", "brand_reply", F.col("customer_msg").alias("text"))
-    fitted = None if encoder else features.fit_tfidf(
-        base, hashed=features.EMBEDDING_DIMS, output="_features"
-    )
+    labelled = classify(cleaned)
+    if by_intent:
+        labelled = labelled.withColumn("_text_key", F.md5(F.concat_ws("\n", "intent", "text")))
+    else:
+        labelled = labelled.withColumn("_text_key", F.md5("text"))
+    grouping = ["_text_key", "text", *(["intent"] if by_intent else [])]
+    texts = freeze(labelled.groupBy(*grouping).agg(F.count(F.lit(1)).alias("_copies")))
+    if search:
+        base = corpus
+    else:
+        base, fitted = embed_corpus(corpus, encoder)
+        if by_intent:
+            kinds = classify(base.drop("embedding")).select("thread_id", "intent")
+            base = base.join(kinds, "thread_id")
+        base = base.drop("text")
+    asked = features.embed(texts.drop("_copies"), encoder=encoder, fitted=fitted).drop("text")
     contexts = retrieve_context(
-        features.embed(texts, encoder=encoder, fitted=fitted).select("_text_key", "embedding"),
-        features.embed(base, encoder=encoder, fitted=fitted).drop("text"),
-        "_text_key", policy.brand, k, cells=cells, probes=probes,
+        asked, base, "_text_key", policy.brand, k, cells=cells, probes=probes,
+        intent="intent" if by_intent else None, defaults=defaults, search=search,
     )
+    sized = freeze(contexts.join(texts.select("_text_key", "_copies"), "_text_key"))
     drafted = rules.canned_reply(labelled, templates).withColumn(
         "reply", normalize_reply(F.col("reply"), signoffs)
     )
-    grounded = drafted.join(contexts, "_text_key", "left").withColumn(
+    # Messages of one text differ in some other column; wholly equal ones stay together.
+    differs = F.xxhash64(*[F.col(c) for c in kept])
+    grounded = attach(drafted, sized, "_text_key", "_copies", differs).withColumn(
         "retrieved_context", F.coalesce("retrieved_context", F.lit(lx.NO_CONTEXT))
     )
     guarded = guard_reply(grounded, context="retrieved_context").withColumn("reply", F.col("sanitized_reply"))
     decided = rules.escalate(guarded, policy)
-    return decided.withColumn("model_type", F.lit("full_system")).drop("_text_key", "sanitized_reply")
+    return decided.withColumn("model_type", F.lit("full_system")).drop("_text_key", "_copies", "sanitized_reply")
 
 
 def system_columns(
@@ -125,13 +165,26 @@ def evaluate(
     rated_rows: int = 15,
     policy: lx.EscalationPolicy = lx.EscalationPolicy(),
     base: str = "simple_baseline",
+    systems: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
     """One metrics row per system on golden rows (text, true_intent, true_action, thread_length).
 
-    ``ratings`` (model, key, the three dimensions) are averaged over a systematic
-    sample of golden rows.
+    ``systems`` maps names to functions that turn golden rows without their truth into (key, intent, decision);
+    without it the constant, simple and full systems are scored. A row that a system gives no answer for
+    counts as a wrong one. ``base`` names the system that deltas refer to. ``ratings`` (model, key, the three
+    dimensions) are averaged over a systematic sample of golden rows.
     """
-    rows = metrics.compare(predictions(golden, key, policy), base)
+    if systems:
+        truth = golden.where("true_intent IS NOT NULL AND true_action IS NOT NULL")
+        asked = truth.drop("true_intent", "true_action")
+        wanted = truth.select(key, "true_intent", "true_action")
+        answers = {
+            name: wanted.join(system(asked).select(key, "intent", "decision"), key, "left")
+            for name, system in systems.items()
+        }
+        rows = metrics.compare(metrics.stack_predictions(answers), base)
+    else:
+        rows = metrics.compare(predictions(golden, key, policy), base)
     if ratings is None:
         return rows
     dims = lx.RATING_DIMENSIONS

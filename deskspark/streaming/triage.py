@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -130,6 +131,81 @@ def thread_length_stream(
     )
 
 
+class _FinalLengths(StatefulProcessor):
+    """Holds a thread's messages until the watermark has passed them, then numbers them for good."""
+
+    def __init__(self, columns: Sequence[str], ts: str, message_id: str, expire_ms: int, row_schema: str):
+        self.columns, self.ts, self.message_id = list(columns), ts, message_id
+        self.expire_ms, self.row_schema = expire_ms, row_schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.counted = handle.getValueState("counted", "seen bigint, newest bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            micros = frame[self.ts].astype("datetime64[us]").astype("int64")
+            held = frame[self.columns].assign(**{self.ts: micros})
+            self.waiting.appendList([tuple(r) for r in held.astype(object).itertuples(index=False)])
+            for at in sorted({int(m) // 1000 + 1 for m in micros}):
+                self.handle.registerTimer(at)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, before, later = expiredTimerInfo.getExpiryTimeInMs() * 1000, [], []
+        at, name = self.columns.index(self.ts), self.columns.index(self.message_id)
+        for row in self.waiting.get():
+            (before if row[at] < due else later).append(tuple(row))
+        seen, newest = self.counted.get() if self.counted.exists() else (0, None)
+        out = []
+        for row in sorted(before, key=lambda r: (r[at], r[name])):
+            silent = newest is not None and row[at] - newest > self.expire_ms * 1000
+            seen, newest = (1 if silent else seen + 1), row[at]
+            out.append((*row, seen))
+        if out:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            self.counted.update((seen, newest))
+            self.handle.registerTimer(newest // 1000 + self.expire_ms + 2)
+            frame = pd.DataFrame(out, columns=[*self.columns, "thread_length"])
+            yield frame.assign(**{self.ts: pd.to_datetime(frame[self.ts], unit="us")})
+        else:
+            if newest is not None and not later and due > newest + self.expire_ms * 1000:
+                self.counted.clear()
+            yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def final_thread_length_stream(
+    stream: DataFrame, thread: list[str], ts: str, message_id: str, keep: Sequence[str] = (), late: str = "1 hour",
+    expire_ms: int = 24 * 3600 * 1000,
+) -> DataFrame:
+    """Thread length per message once the watermark on ``ts``, ``late`` behind the newest message, has passed it.
+
+    Only event time counts: the same messages give the same lengths however they are split into
+    micro-batches and whenever they are replayed, as long as none comes later than ``late``; such messages are
+    dropped, as by every watermark. Messages of a thread wait in list state; timers at their times number them in
+    the order of (ts, id). A thread that is silent for longer than ``expire_ms`` starts anew, and a timer then
+    clears its state. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    names = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    columns = [*thread, ts, message_id, *[c for c in keep if c not in (*thread, ts, message_id)]]
+    ddl = ", ".join(f"{c} {names[c]}" for c in columns) + ", thread_length bigint"
+    stored = ", ".join(f"{c} {'bigint' if c == ts else names[c]}" for c in columns)
+    processor = _FinalLengths(columns, ts, message_id, expire_ms, stored)
+    return (
+        stream.select(*columns)
+        .withWatermark(ts, late)
+        .groupBy(*thread)
+        .transformWithStateInPandas(processor, ddl, "Append", "EventTime")
+    )
+
+
 def escalation_rates(
     decisions: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None, late: str = "1 hour"
 ) -> DataFrame:

@@ -6,6 +6,8 @@ same fixed tables, the logic is written separately in SQL.
 
 from __future__ import annotations
 
+import string
+
 from deskspark import lexicon as lx
 from deskspark.workload.views import DEFAULT_EXAMPLES, GOLD_INTENTS, PHRASES
 
@@ -54,11 +56,11 @@ tickets AS (
 LOG = """
 turns AS (SELECT * FROM conversations WHERE role <> 'system'),
 log AS (
-  SELECT conv_id * 100 + turn AS tweet_id,
+  SELECT (conv_id << 20) | turn AS tweet_id,
          CASE WHEN role = 'assistant' THEN 'brand' ELSE 'c' || CAST(conv_id AS VARCHAR) END AS author_id,
          strftime(TIMESTAMP '2024-01-01' + to_seconds(conv_id * 100 + turn), '%Y-%m-%d %H:%M:%S') AS created_at,
          text,
-         lag(conv_id * 100 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to
+         lag((conv_id << 20) | turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to
   FROM turns)"""
 
 THREADS = (
@@ -330,6 +332,28 @@ _defaults = " UNION ALL ".join(
     f"{quoted(d['brand_reply'])} AS brand_reply, {quoted(d['thread_id'])} AS thread_id, {i} AS rank"
     for i, d in enumerate(DEFAULT_EXAMPLES, 1)
 )
+OWN_COMPARED = (
+    SUB_DECIDED
+    + ",\nsource AS (SELECT * EXCLUDE (confidence), CAST(0.85 AS DOUBLE) AS confidence FROM tickets),"
+    + policy("source", "taught", intent="true_intent")
+    + COMPARED[len(SUB_DECIDED) :]
+    .replace(
+        "'trivial_baseline' AS model, 'order_status_delivery' AS intent, 'escalate' AS decision FROM tickets",
+        "'trained' AS model, true_intent AS intent, decision FROM taught",
+    )
+    .replace("'full_system'", "'triage'")
+)
+
+
+def rendered(template: str) -> str:
+    """SQL text: a prompt template with its fields filled from columns."""
+    parts = [
+        p for text, field, _, _ in string.Formatter().parse(template)
+        for p in ([quoted(text)] if text else []) + ([field] if field else [])
+    ]
+    return " || ".join(parts)
+
+
 _replies = " ".join(f"WHEN '{i}' THEN {quoted(t)}" for i, t in lx.REPLY_TEMPLATES.items())
 _stops = listed(lx.BIGRAM_STOP_WORDS)
 _pivot = ", ".join(
@@ -540,7 +564,7 @@ ORACLES: dict[str, str] = {
         CAST(CASE WHEN k % 13 = 0 THEN 5 ELSE least(5, greatest(1, ticket_id % 7)) END AS INTEGER) AS tone,
         CAST(CASE WHEN k % 5 = 0 THEN 4 ELSE least(5, greatest(1, user_id % 6)) END AS INTEGER) AS actionability FROM raw_tickets)
       SELECT *, round((groundedness + tone + actionability) / 3.0, 2) AS overall_mean FROM r""",
-    "tfidf_terms": rf"""WITH messages AS (SELECT conv_id * 100 + turn AS message_id, text FROM conversations),
+    "tfidf_terms": rf"""WITH messages AS (SELECT (conv_id << 20) | turn AS message_id, text FROM conversations),
       words AS (SELECT message_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+'),
           lambda w: length(w) > 1 AND NOT list_contains({_stops}, w)) AS w FROM messages),
       terms AS (SELECT message_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
@@ -583,6 +607,27 @@ ORACLES: dict[str, str] = {
           min(CASE WHEN own <> other THEN s / n END) AS outside FROM sums JOIN sizes USING (labelling, other) GROUP BY ALL)
       SELECT labelling, round(avg(coalesce((outside - inside) / greatest(outside, inside), 0)), 6) AS silhouette
       FROM means GROUP BY labelling""",
+    "thread_depths": f"""WITH RECURSIVE {LOG},
+      placed AS (SELECT tweet_id, tweet_id AS root_id, CAST(0 AS BIGINT) AS depth FROM log
+          WHERE reply_to IS NULL OR reply_to NOT IN (SELECT tweet_id FROM log)
+        UNION ALL SELECT log.tweet_id, placed.root_id, placed.depth + 1 FROM log JOIN placed ON log.reply_to = placed.tweet_id)
+      SELECT tweet_id, root_id, depth, false AS cyclic, count(*) OVER (PARTITION BY root_id) AS thread_size FROM placed""",
+    "knn_codes_whole": f"WITH {neighbours(0, 'true')} SELECT query_id, corpus_id, round(similarity, 5) AS similarity, rank FROM hits",
+    "knn_codes_recall": """SELECT CAST(3 * count(*) AS BIGINT) AS neighbours, true AS recall_reached,
+      24 <= 0.1 * count(*) AS few_vectors_read FROM embeddings""",
+    "index_search": f"WITH {neighbours(0, 'true')} SELECT query_id, corpus_id, round(similarity, 5) AS similarity, rank FROM hits",
+    "triage_stream_retrieval": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM events",
+    "triage_by_intent": f"""WITH {SUB_DECIDED} SELECT ticket_id, intent, decision, reason, signal_count FROM decided""",
+    "thread_length_final": f"""WITH {TICKETS} SELECT ticket_id, thread_length FROM raw_tickets
+      WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+    "evaluate_own": f"""WITH {OWN_COMPARED} SELECT * FROM deltas""",
+    "binary_rollup": f"""WITH {PREDICTIONS}, counts AS (SELECT model, true_intent, grouping_id(model, true_intent) AS level,
+        CAST(count(*) FILTER (true_action = 'escalate' AND decision = 'escalate') AS BIGINT) AS tp,
+        CAST(count(*) FILTER (true_action <> 'escalate' AND decision = 'escalate') AS BIGINT) AS fp,
+        CAST(count(*) FILTER (true_action = 'escalate' AND decision <> 'escalate') AS BIGINT) AS fn,
+        CAST(count(*) FILTER (true_action <> 'escalate' AND decision <> 'escalate') AS BIGINT) AS tn
+        FROM predictions GROUP BY ROLLUP (model, true_intent))
+      SELECT *, {BINARY_SCORES} FROM counts""",
     "triage_records": f"""WITH {SUB_DECIDED} SELECT ticket_id, intent, confidence, CASE intent {_replies} END AS reply, decision, reason,
       false AS hallucination_detected, '' AS flags, array_to_string(fired, ' | ') AS fired, signal_count, 'full_system' AS model_type FROM decided""",
     "evaluate_systems": f"""WITH {COMPARED}, drawn AS (
@@ -622,3 +667,9 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (decision = 'escalate') / count(*) AS rate FROM spots GROUP BY w""",
 }
 ORACLES["restricted_messages"] = ORACLES["customer_messages"]
+ORACLES["reply_prompts"] = f"""WITH contexts AS ({ORACLES['format_context']}), named AS (
+    SELECT query_id, retrieved_context, 'message ' || CAST(query_id AS VARCHAR) AS text,
+      {listed(lx.INTENTS)}[label % {len(lx.INTENTS)} + 1] AS intent
+    FROM contexts JOIN (SELECT vec_id AS query_id, label + 1 AS label FROM embeddings) USING (query_id)),
+  filled AS (SELECT *, CASE intent {_replies} ELSE {quoted(lx.DEFAULT_REPLY)} END AS reply FROM named)
+  SELECT query_id, {rendered(lx.REPLY_PROMPT)} AS reply_prompt, {rendered(lx.RATING_PROMPT)} AS rating_prompt FROM filled"""

@@ -26,7 +26,8 @@ from deskspark.operators import (
 )
 from deskspark.plans import jobs
 from deskspark.sources import tables
-from deskspark.sources.scratch import new_path
+from deskspark.sources.index import SearchIndex
+from deskspark.sources.scratch import freeze, new_path, rocksdb_state
 from deskspark.streaming import triage as streams
 from deskspark.workload import views
 from deskspark.workload.views import BRAND
@@ -183,6 +184,12 @@ def thread_length(spark, sf):
     return views.raw_tickets(spark, sf).select("ticket_id", "user_id", "thread_length")
 
 
+@query
+def thread_depths(spark, sf):
+    """Root, depth and size of the thread of every message, along reply pointers."""
+    return threads.reply_depth(views.message_log(spark, sf))
+
+
 # --- Rules --------------------------------------------------------------------
 
 
@@ -319,6 +326,11 @@ def binary_prf(spark, sf):
     return metrics.binary_prf(_predictions(spark, sf), "true_action", "decision", by=["model"])
 
 
+@query
+def binary_rollup(spark, sf):
+    return metrics.binary_rollup(_predictions(spark, sf), "true_action", "decision", ["model", "true_intent"])
+
+
 @query
 def binary_prf_labels(spark, sf):
     """Long documents as a guess for quality = 1."""
@@ -459,6 +471,59 @@ def knn_cells_recall(spark, sf):
     )
 
 
+@query
+def knn_codes_whole(spark, sf):
+    """Product-quantised search whose short lists hold everything: exact."""
+    asked, corpus = _vectors(spark, sf)
+    rows = corpus.count()
+    return _rounded(retrieve.knn_codes(asked, corpus, CELLS, CELLS, rows, k=3))
+
+
+SHORT_LIST = 24
+
+
+def _code_figures(spark, sf):
+    """(neighbours, found among them, share of the corpus whose vectors a query reads)."""
+    asked, corpus = _vectors(spark, sf)
+    pair = ["query_id", "corpus_id"]
+    exact = retrieve.knn(asked, corpus, k=3).select(*pair)
+    found = retrieve.knn_codes(asked, corpus, CELLS, CELLS, SHORT_LIST, k=3).select(*pair, F.lit(1).alias("found"))
+    counts = exact.join(found, pair, "left").agg(F.count(F.lit(1)).alias("neighbours"), F.count("found").alias("found"))
+    return counts.withColumn("read_share", F.lit(float(SHORT_LIST)) / corpus.count())
+
+
+@query
+def knn_codes_recall(spark, sf):
+    """Whether a short list of 24 by 20-byte codes finds 0.9 of the neighbours, reading a tenth of the vectors at most."""
+    return _code_figures(spark, sf).select(
+        "neighbours",
+        (F.col("found") >= 0.9 * F.col("neighbours")).alias("recall_reached"),
+        (F.col("read_share") <= 0.1).alias("few_vectors_read"),
+    )
+
+
+@query
+def knn_codes_figures(spark, sf):
+    """The measured recall and share of vectors read of the same search."""
+    return _code_figures(spark, sf).select(
+        "neighbours", (F.col("found") / F.col("neighbours")).alias("recall"), "read_share"
+    )
+
+
+@query
+def index_search(spark, sf):
+    """A stored index, grown by two appends and compacted, searched in all its cells."""
+    asked, corpus = _vectors(spark, sf)
+    path = new_path(spark, "index")
+    third = F.pmod("corpus_id", F.lit(3))
+    index = SearchIndex.create(corpus.where(third == 0), path, CELLS, "corpus_id", seed=SEED)
+    index.append(corpus.where(third == 1), "second")
+    index.compact("both")
+    index.append(corpus.where(third == 2), "third")
+    index.append(corpus.where(third == 2), "third")
+    return _rounded(SearchIndex.open(spark, path).search(asked, k=3))
+
+
 @query
 def knn_by_label(spark, sf):
     """Queries carry the next label, so those of the last one fall back to the whole corpus."""
@@ -491,6 +556,22 @@ def format_context(spark, sf):
     return retrieve.format_context(shown, "Desk", queries=asked)
 
 
+@query
+def reply_prompts(spark, sf):
+    """Reply and rating prompts over retrieved examples."""
+    shown, asked = _examples(spark, sf)
+    contexts = retrieve.format_context(shown, "Desk", queries=asked)
+    named = contexts.join(asked.select("query_id", "label"), "query_id").select(
+        "query_id",
+        "retrieved_context",
+        F.concat(F.lit("message "), F.col("query_id")).alias("text"),
+        F.get(F.array(*map(F.lit, lx.INTENTS)), (F.col("label") % len(lx.INTENTS)).cast("int")).alias("intent"),
+    )
+    filled = rs.render_prompts(rules.canned_reply(named), lx.REPLY_PROMPT, prompt="reply_prompt")
+    rated = rs.render_prompts(filled, lx.RATING_PROMPT, prompt="rating_prompt")
+    return rated.select("query_id", "reply_prompt", "rating_prompt")
+
+
 # --- Sampling -----------------------------------------------------------------
 
 
@@ -578,7 +659,7 @@ def normalize_ratings(spark, sf):
 @query
 def tfidf_terms(spark, sf):
     base = tables.load(spark, sf, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), "text"
+        views.message_id().alias("message_id"), "text"
     )
     found = features.tfidf_terms(base, "message_id", stop_words=lx.BIGRAM_STOP_WORDS)
     return found.withColumn("weight", F.round("weight", 6))
@@ -678,6 +759,36 @@ def triage_records(spark, sf):
     return triage_full(spark, sf).drop("retrieved_context")
 
 
+@query
+def triage_by_intent(spark, sf):
+    """Triage that searches threads of the message's own intent and falls back on default examples."""
+    corpus = threads.build_threads(views.message_log(spark, sf), BRAND)
+    done = jobs.triage(views.raw_tickets(spark, sf), corpus, by_intent=True, defaults=views.DEFAULT_EXAMPLES)
+    return done.select("ticket_id", "intent", "decision", "reason", "signal_count")
+
+
+@query
+def evaluate_own(spark, sf):
+    """A trained model and the triage job scored as one's own systems against the simple one."""
+    golden = views.tickets(spark, sf)
+    corpus = threads.build_threads(views.message_log(spark, sf), BRAND)
+    model = classify.train_intent(golden.select("text", "true_intent"))
+
+    def trained(rows):
+        guessed = classify.predict_intent(model, rows.drop("confidence")).withColumn("confidence", F.lit(0.85))
+        return rules.escalate(guessed)
+
+    return jobs.evaluate(
+        golden,
+        "ticket_id",
+        systems={
+            "simple_baseline": lambda rows: rules.escalate_simple(rules.rules_regex(rows)),
+            "triage": lambda rows: jobs.triage(rows, corpus),
+            "trained": trained,
+        },
+    )
+
+
 @query
 def evaluate_systems(spark, sf):
     golden = views.tickets(spark, sf)
@@ -794,6 +905,45 @@ def thread_length_stream(spark, sf):
     return spark.read.parquet(path).select("ticket_id", "thread_length")
 
 
+@query
+def thread_length_final(spark, sf):
+    """Final lengths of the messages that the watermark has passed."""
+    path, state = new_path(spark, "final"), new_path(spark, "final-state")
+
+    def start(stream):
+        with rocksdb_state(spark):
+            final = streams.final_thread_length_stream(stream, ["user_id", "day"], "ts", "ticket_id")
+            return streams.to_parquet(final, path, state)
+
+    _arriving(spark, sf, start)
+    return spark.read.parquet(path).select("ticket_id", "thread_length")
+
+
+@query
+def triage_stream_retrieval(spark, sf):
+    """Arriving messages triaged with retrieval from a stored index, against the batch job: rows, and rows that differ."""
+    corpus = threads.build_threads(views.message_log(spark, sf), BRAND)
+    embedded, fitted = jobs.embed_corpus(corpus)
+    path, state, at = new_path(spark, "answered"), new_path(spark, "answered-state"), new_path(spark, "threads")
+    index = SearchIndex.create(freeze(embedded), at, CELLS, "thread_id", seed=SEED)
+    stored = index.rows()
+
+    def decide(frame):
+        done = jobs.triage(
+            frame.drop("text"), stored, search=lambda texts: index.search(texts, query_id="_text_key"), fitted=fitted
+        )
+        return done.select("ticket_id", "decision", "reply", "retrieved_context")
+
+    _arriving(spark, sf, lambda stream: streams.each_batch(_counted(stream), decide, path, state))
+    batch = jobs.triage(views.raw_tickets(spark, sf), corpus)
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in ("decision", "reply", "retrieved_context")]
+    arrived = spark.read.parquet(path).select(
+        "ticket_id", *[F.col(c).alias(f"_{c}") for c in ("decision", "reply", "retrieved_context")]
+    )
+    both = batch.join(arrived, "ticket_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~(same[0] & same[1] & same[2])).alias("differing"))
+
+
 @query
 def session_length_stream(spark, sf):
     """Sessions that the watermark has closed."""

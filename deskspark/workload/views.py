@@ -6,7 +6,7 @@ SQL common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.functions.sql import literal, literals, lookup
@@ -103,6 +103,11 @@ def tickets(spark: SparkSession, sf: str, sequenced: bool = True) -> DataFrame:
     return raw_tickets(spark, sf, sequenced).withColumn("text", clean_or_raw(F.col("raw_text")))
 
 
+def message_id() -> Column:
+    """Unique for conversations of up to 2**20 turns."""
+    return F.shiftleft("conv_id", 20).bitwiseOR(F.col("turn"))
+
+
 def message_log(spark: SparkSession, sf: str) -> DataFrame:
     """Flat reply-pointer log over conversations, system turns dropped.
 
@@ -111,15 +116,14 @@ def message_log(spark: SparkSession, sf: str) -> DataFrame:
     """
     turns = load(spark, sf, "conversations").where(F.col("role") != "system")
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-    tweet_id = F.col("conv_id") * 100 + F.col("turn")
+    tweet_id = message_id()
+    spoken = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100 + F.col("turn"))
     return turns.join(first, "conv_id").select(
         tweet_id.alias("tweet_id"),
         F.when(F.col("role") == "assistant", BRAND)
         .otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
         .alias("author_id"),
-        F.date_format(
-            F.timestamp_seconds(F.lit(1704067200) + tweet_id), "yyyy-MM-dd HH:mm:ss"
-        ).alias("created_at"),
+        F.date_format(spoken, "yyyy-MM-dd HH:mm:ss").alias("created_at"),
         "text",
         F.when(F.col("turn") > F.col("first_turn"), (tweet_id - 1).cast("string")).alias(
             "in_response_to_tweet_id"
