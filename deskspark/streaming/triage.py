@@ -148,12 +148,11 @@ class _FinalLengths(StatefulProcessor):
             micros = frame[self.ts].astype("datetime64[us]").astype("int64")
             held = frame[self.columns].assign(**{self.ts: micros})
             self.waiting.appendList([tuple(r) for r in held.astype(object).itertuples(index=False)])
-            for at in sorted({int(m) // 1000 + 1 for m in micros}):
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(int(micros.min()) // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, before, later = expiredTimerInfo.getExpiryTimeInMs() * 1000, [], []
+        due, before, later = timerValues.getCurrentWatermarkInMs() * 1000, [], []
         at, name = self.columns.index(self.ts), self.columns.index(self.message_id)
         for row in self.waiting.get():
             (before if row[at] < due else later).append(tuple(row))
@@ -166,6 +165,7 @@ class _FinalLengths(StatefulProcessor):
         if out:
             if later:
                 self.waiting.put(later)
+                self.handle.registerTimer(min(row[at] for row in later) // 1000 + 1)
             else:
                 self.waiting.clear()
             self.counted.update((seen, newest))
@@ -189,8 +189,8 @@ def final_thread_length_stream(
 
     Only event time counts: the same messages give the same lengths however they are split into
     micro-batches and whenever they are replayed, as long as none comes later than ``late``; such messages are
-    dropped, as by every watermark. Messages of a thread wait in list state; timers at their times number them in
-    the order of (ts, id). A thread that is silent for longer than ``expire_ms`` starts anew, and a timer then
+    dropped, as by every watermark. Messages of a thread wait in list state; a timer at the oldest one's time numbers
+    all that the watermark has passed, in the order of (ts, id). A thread that is silent for longer than ``expire_ms`` starts anew, and a timer then
     clears its state. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     names = {f.name: f.dataType.simpleString() for f in stream.schema.fields}

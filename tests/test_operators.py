@@ -68,6 +68,37 @@ def test_running_count_on_a_hot_key(spark):
     assert got == want
 
 
+def placed(spark, rows):
+    df = spark.createDataFrame(rows, "tweet_id long, in_response_to_tweet_id string").repartition(4)
+    return {r["tweet_id"]: (r["root_id"], r["depth"], r["cyclic"], r["thread_size"]) for r in threads.reply_depth(df).collect()}
+
+
+def test_reply_depth_with_cycles_and_lost_parents(spark):
+    rows = [(1, None), (2, "1"), (3, "2.0"), (4, "1"), (5, "99"), (6, "5"), (7, "x")]
+    rows += [(10, "12"), (11, "10"), (12, "11"), (13, "12"), (14, "14")]
+    got = placed(spark, rows)
+    assert got == {
+        1: (1, 0, False, 4), 2: (1, 1, False, 4), 3: (1, 2, False, 4), 4: (1, 1, False, 4),
+        5: (5, 0, False, 2), 6: (5, 1, False, 2), 7: (7, 0, False, 1),
+        **{i: (None, None, True, None) for i in (10, 11, 12, 13, 14)},
+    }
+    assert placed(spark, rows[:1]) == {1: (1, 0, False, 1)}
+
+
+def test_reply_depth_of_a_long_chain(spark):
+    n = 10_000
+    got = placed(spark, [(i, str(i - 1) if i else None) for i in range(n)] + [(n + i, "0") for i in range(50)])
+    assert all(got[i] == (0, i, False, n + 50) for i in range(n)) and got[n + 7] == (0, 1, False, n + 50)
+
+
+def test_attach_deals_hot_keys_out(spark):
+    rows = spark.range(4000).withColumn("k", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")))
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> '1'")
+    got = grouped.attach(rows, sizes, "k", "n", F.col("id"))
+    assert got.count() == 4000 and got.where("n IS NULL").count() == 1
+    assert got.where("k = 'hot' AND n = 1334").count() == 1334
+
+
 # --- Order and samples ---
 
 
@@ -236,6 +267,18 @@ def test_missing_ratings_are_left_out_or_marked(spark):
     assert [(r["b_tone"], r["imputed"]) for r in marked] == [(3, False), (5, True)]
 
 
+def test_own_systems_are_scored(spark):
+    rows = [(i, "x", "cancellation" if i % 2 else "refund_return", "escalate" if i < 3 else "auto_handle") for i in range(8)]
+    golden = spark.createDataFrame(rows + [(9, "x", None, "escalate")], "id int, text string, true_intent string, true_action string")
+    right = lambda df: df.select("id", F.when(F.col("id") % 2 == 1, "cancellation").otherwise("refund_return").alias("intent"), F.when(F.col("id") < 3, "escalate").otherwise("auto_handle").alias("decision"))
+    scores = jobs.evaluate(golden, "id", base="half", systems={"right": right, "half": lambda df: right(df).where("id < 4")})
+    got = {r["model"]: (r["n"], r["intent_accuracy"], r["escalate_recall"], r["escalation_accuracy"]) for r in scores.collect()}
+    assert got == {"right": (8, 1.0, 1.0, 1.0), "half": (8, 0.5, 1.0, 1.0)}
+    pairs = golden.where("true_intent IS NOT NULL").withColumn("decision", F.lit("escalate"))
+    levels = {(r["true_intent"], r["level"]): (r["tp"], r["fp"]) for r in metrics.binary_rollup(pairs, "true_action", "decision", ["true_intent"]).collect()}
+    assert levels == {("cancellation", 0): (1, 3), ("refund_return", 0): (2, 2), (None, 1): (3, 5)}
+
+
 # --- Retrieval ---
 
 
@@ -267,6 +310,57 @@ def test_knn_is_exact_with_copies_and_zero_vectors(spark, block_rows):
     assert retrieve.knn_cells(make(queries, "query_id"), empty, 6, 2).count() == 0
 
 
+def test_codes_find_neighbours_and_are_exact_with_whole_lists(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(300, 10))
+    vectors[100:200] = vectors[100]  # a third are copies
+    corpus = {i: v.astype(np.float32).astype(float) for i, v in enumerate(vectors)}
+    queries = {i: corpus[i] for i in range(0, 300, 7)}
+    make = lambda rows, key: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], f"{key} long, embedding array<double>").repartition(3)
+    asked, base = make(queries, "query_id"), make(corpus, "corpus_id")
+    codes = retrieve.fit_codes(base, 4, subspaces=4)
+    want = brute(queries, corpus, 3)
+
+    def found(short, probes=4):
+        hits = {}
+        for r in retrieve.knn_codes(asked, base, 4, probes, short, 3, codes=codes, block_rows=64).orderBy("query_id", "rank").collect():
+            hits.setdefault(r["query_id"], []).append(r["corpus_id"])
+        return hits
+
+    assert found(300) == want
+    few = found(15)
+    assert sum(len(set(few[q]) & set(want[q])) for q in want) >= 0.9 * 3 * len(want)
+    assert all(len(x) <= 3 for x in found(15, 1).values())
+    assert retrieve.knn_codes(asked, base.limit(0), 4, 4, 5).count() == 0
+
+
+def test_stored_index_grows_once_per_batch(spark, tmp_path):
+    from deskspark.sources.index import SearchIndex
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], f"t{i}") for i, v in enumerate(rng.normal(size=(200, 6)))]
+    df = spark.createDataFrame(rows, "corpus_id long, embedding array<double>, note string")
+    asked = df.where("corpus_id % 9 = 0").select(F.col("corpus_id").alias("query_id"), "embedding")
+    path = str(tmp_path / "index")
+    index = SearchIndex.create(df.where("corpus_id < 80"), path, 5, "corpus_id")
+    index.append(df.where("corpus_id BETWEEN 80 AND 149"), "b")
+    index.append(df.where("corpus_id >= 150"), "c")
+    index.append(df.where("corpus_id >= 150"), "c")  # replayed
+    want = sorted(map(tuple, retrieve.knn(asked, df, 3).collect()))
+    assert sorted(map(tuple, index.search(asked).collect())) == want
+    index.compact("d")
+    again = SearchIndex.open(spark, path)
+    assert again.live() == ["d"] and again.rows().count() == 200
+    assert sorted(map(tuple, again.search(asked).collect())) == want
+    # A batch that was written but not logged is not read.
+    index._write(df.limit(5).withColumn("cell", F.lit(0)), "half")
+    assert again.rows().count() == 200
+    plan = again.cells([1, 3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    few = again.search(asked, probes=2)
+    assert few.count() == 3 * asked.count()
+
+
 def test_knn_by_part_and_string_ids(spark):
     rows = [("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", 2, [1.0, 0.0]), ("d", None, [1.0, 0.0]), ("e", 3, None)]
     df = spark.createDataFrame(rows, "id string, part int, embedding array<double>")

@@ -2,6 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from deskspark.operators import threads
+from deskspark.sources.scratch import rocksdb_state
 from deskspark.streaming import triage as streams
 
 SCHEMA = "user long, ts timestamp, id long"
@@ -57,6 +58,26 @@ def test_late_messages_are_counted_and_marked(spark, tmp_path):
     assert len(found) == 7 and found[7] == (4, True) and not any(late for i, (_, late) in found.items() if i < 7)
 
 
+EVENTS = [(i % 3, f"2024-01-01 {10 + i // 12:02d}:{5 * (i % 12):02d}", i) for i in range(40)]
+LATER = [(0, "2024-01-03 09:00", 90), (1, "2024-01-03 09:00", 91), (2, "2024-01-04 20:00", 92)]
+
+
+def test_final_lengths_do_not_depend_on_the_batches(spark, tmp_path):
+    both = spark.createDataFrame([(u, pd.Timestamp(t).to_pydatetime(), i) for u, t, i in EVENTS], SCHEMA)
+    want = {r["id"]: r["thread_length"] for r in threads.thread_length(both, ["user"], "ts", ["ts", "id"]).collect()}
+    want |= {90: 1, 91: 1}  # after a day's silence; the last message stays behind the watermark
+    swapped = [EVENTS[i ^ 1] for i in range(len(EVENTS))]  # neighbours change places, within the hour allowed
+    for name, cuts, events in (("one", [40], EVENTS), ("some", [7, 8, 30, 40], swapped)):
+        folder, start = str(tmp_path / name), 0
+        for n, cut in enumerate([*cuts, None]):
+            batch(spark, f"{folder}/in", n, events[start:cut] if cut else LATER)
+            start = cut
+            with rocksdb_state(spark):
+                final = streams.final_thread_length_stream(source(spark, folder), ["user"], "ts", "id")
+                got = drain(spark, final, folder, "out")
+        assert {r["id"]: r["thread_length"] for r in got.collect()} == want
+
+
 def test_late_rows_are_dropped_from_closed_windows(spark, tmp_path):
     folder = str(tmp_path)
     batches = [FIRST, [(3, "2024-01-01 14:00", 7)], [(1, "2024-01-01 09:30", 8)], [(3, "2024-01-01 20:00", 9)]]
