@@ -31,8 +31,8 @@ PIECE = 1 << 20
 POSITION_BITS = 28
 FLUSH = 1 << 19
 # Bytes of packed anchors handed on at a time, of text whose anchors make one block of hashes, about, and rows taken out of a batch at a time.
-OUT = 1 << 22
-BLOCK_BYTES = 1 << 24
+OUT = 1 << 20
+BLOCK_BYTES = 1 << 21
 ROWS = 256
 # Bytes of contexts suffix-sorted at a time.
 BATCH = 1 << 21
@@ -279,31 +279,55 @@ def _anchor_rows(rule: PassageRule, bits: int):
     return run
 
 
-def _repeated_spots(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _spots_of(parts: list[tuple[bool, bytes]]) -> pa.RecordBatch:
     """One block: anchors whose hash two documents have, as packed positions by document."""
-    parts = {True: [np.empty(0, RECORD)], False: [np.empty(0, RECORD)]}
-    for known, records in zip(table.column("known").to_pylist(), table.column("records")):
-        parts[known].append(_unpacked(records.as_py()))
-    asked = np.concatenate(parts[False])
+    sizes = [int(np.frombuffer(data, "<i8", 1)[0]) for _, data in parts]
+    asked, known = np.empty(sum(n for n, (k, _) in zip(sizes, parts) if not k), RECORD), []
+    at = 0
+    while parts:
+        flag, data = parts.pop()
+        n = sizes.pop()
+        if flag:
+            known.append(_unpacked(data))
+        else:
+            asked[at : at + n] = _unpacked(data)
+            at += n
     if len(asked):
-        asked = asked[np.argsort(asked["hash"], kind="stable")]
+        asked.sort(order="hash", kind="stable")
         new = np.concatenate(([True], asked["hash"][1:] != asked["hash"][:-1]))
         heads = np.flatnonzero(new)
         many = np.minimum.reduceat(asked["doc"], heads) != np.maximum.reduceat(asked["doc"], heads)
         many |= np.minimum.reduceat(asked["pos"], heads) < 0
         asked = asked[many[np.cumsum(new) - 1] & (asked["pos"] >= 0)]
-    spots = np.concatenate([asked, *parts[True]])
+    spots = np.concatenate([asked, *known])
     spots = spots[np.argsort(spots["doc"], kind="stable")]
     cuts = np.flatnonzero(np.concatenate(([True], spots["doc"][1:] != spots["doc"][:-1], [True])))
-    cuts = cuts if len(spots) else []
-    return pa.table(
-        {
-            "doc_id": pa.array([int(spots["doc"][a]) for a in cuts[:-1]], pa.int64()),
-            "spots": pa.array([spots["pos"][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        }
+    cuts = cuts.tolist() if len(spots) else []
+    positions = np.ascontiguousarray(spots["pos"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(spots["doc"][cuts[:-1]], pa.int64()),
+            pa.array([positions[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+        ],
+        ["doc_id", "spots"],
     )
 
 
+def _repeated_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: rows of blocks, sorted by block, in; the spots of one block after the other out."""
+    at, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = batch.column(0)[i].as_py()
+            if block != at and held:
+                yield _spots_of(held)
+                held = []
+            at = block
+            held.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+    if held:
+        yield _spots_of(held)
+
+
 # --- contexts ---------------------------------------------------------------
 
 
@@ -467,10 +491,11 @@ def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFr
     size = named.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     bits = max(1, size // BLOCK_BYTES).bit_length()
     told = named.mapInArrow(_anchor_rows(rule, bits), "block bigint, known boolean, records binary")
+    blocks = told.repartition("block").sortWithinPartitions("block")
+    # Written out before they are grouped by document, so that the two do not share a stage's memory.
+    found = freeze(blocks.mapInArrow(_repeated_spots, "doc_id bigint, spots binary"))
     spots = freeze(
-        told.groupBy("block")
-        .applyInArrow(_repeated_spots, "doc_id bigint, spots binary")
-        .groupBy("doc_id")
+        found.groupBy("doc_id")
         .agg(F.collect_list("spots").alias("spots"))
         .join(copies, "doc_id", "left_anti")
     )
