@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from deskspark.llm import ngrams
 from deskspark.llm.spread import attach, maybe_among
-from deskspark.sources.scratch import freeze
+from deskspark.sources.scratch import freeze, short_lived
 
 # Bytes of an anchor: long enough that chance rarely repeats one, short enough that anchors stay sparse
 # (two in length - K + 2 positions).
@@ -32,7 +32,7 @@ POSITION_BITS = 28
 FLUSH = 1 << 19
 # Bytes of packed anchors handed on at a time, of text whose anchors make one block of hashes, about, and rows taken out of a batch at a time.
 OUT = 1 << 20
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 22
 ROWS = 256
 # Bytes of contexts suffix-sorted at a time.
 BATCH = 1 << 21
@@ -153,9 +153,14 @@ def _pieces(text: bytes, rule: PassageRule) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + PIECE]
 
 
+def _hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of K-byte grams given as three numbers each."""
+    return ngrams.mixed((a * ngrams.M1 ^ b) * ngrams.M2 ^ c)
+
+
 def _gram_hashes(blob: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.as_strided(blob[:8].view("<u8"), (len(blob) - 7,), (1,))
-    return ngrams.mixed((view[:-16] * ngrams.M1 ^ view[8:-8]) * ngrams.M2 ^ view[16:])
+    return _hashed(view[:-16], view[8:-8], view[16:])
 
 
 def anchors(texts: list[bytes], rule: PassageRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,53 +284,82 @@ def _anchor_rows(rule: PassageRule, bits: int):
     return run
 
 
-def _spots_of(parts: list[tuple[bool, bytes]]) -> pa.RecordBatch:
-    """One block: anchors whose hash two documents have, as packed positions by document."""
-    sizes = [int(np.frombuffer(data, "<i8", 1)[0]) for _, data in parts]
-    asked, known = np.empty(sum(n for n, (k, _) in zip(sizes, parts) if not k), RECORD), []
-    at = 0
-    while parts:
-        flag, data = parts.pop()
-        n = sizes.pop()
-        if flag:
-            known.append(_unpacked(data))
-        else:
-            asked[at : at + n] = _unpacked(data)
-            at += n
+SPOT = np.dtype([("doc", "<i8"), ("pos", "<i4")])
+
+
+def _spots_of(parts: list[tuple[bool, bytes]]) -> np.ndarray:
+    """One block: anchors whose hash two documents have, as (document, position)."""
+    records = {True: [np.empty(0, RECORD)], False: [np.empty(0, RECORD)]}
+    for known, data in parts:
+        records[known].append(_unpacked(data))
+    asked = np.concatenate(records.pop(False))
     if len(asked):
-        asked.sort(order="hash", kind="stable")
+        asked = asked[np.argsort(asked["hash"], kind="stable")]
         new = np.concatenate(([True], asked["hash"][1:] != asked["hash"][:-1]))
         heads = np.flatnonzero(new)
         many = np.minimum.reduceat(asked["doc"], heads) != np.maximum.reduceat(asked["doc"], heads)
         many |= np.minimum.reduceat(asked["pos"], heads) < 0
         asked = asked[many[np.cumsum(new) - 1] & (asked["pos"] >= 0)]
-    spots = np.concatenate([asked, *known])
-    spots = spots[np.argsort(spots["doc"], kind="stable")]
-    cuts = np.flatnonzero(np.concatenate(([True], spots["doc"][1:] != spots["doc"][:-1], [True])))
-    cuts = cuts.tolist() if len(spots) else []
-    positions = np.ascontiguousarray(spots["pos"])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(spots["doc"][cuts[:-1]], pa.int64()),
-            pa.array([positions[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-        ],
-        ["doc_id", "spots"],
-    )
+    both = [asked, *records[True]]
+    spots = np.empty(sum(map(len, both)), SPOT)
+    for name in SPOT.names:
+        spots[name] = np.concatenate([x[name] for x in both])
+    return spots
 
 
-def _repeated_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task code: rows of blocks, sorted by block, in; the spots of one block after the other out."""
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The other columns' values of each run of rows with one value in the first column."""
     at, held = None, []
     for batch in batches:
-        for i in range(batch.num_rows):
-            block = batch.column(0)[i].as_py()
+        for block, *values in zip(*(c.to_pylist() for c in batch.columns)):
             if block != at and held:
-                yield _spots_of(held)
+                yield at, held
                 held = []
             at = block
-            held.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+            held.append(tuple(values))
     if held:
-        yield _spots_of(held)
+        yield at, held
+
+
+def _repeated_spots(bits: int):
+    """Task code: rows of blocks, sorted by block, in; (bucket of documents, packed spots) out."""
+
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        spots = np.concatenate(held)
+        bucket = (ngrams.mixed(np.ascontiguousarray(spots["doc"]).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        spots, bucket = spots[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist() if len(spots) else [0]
+        rows = [spots[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], ["bucket", "spots"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, parts in _in_blocks(batches):
+            held.append(_spots_of(parts))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield from dealt(held)
+                held, n = [], 0
+        if n:
+            yield from dealt(held)
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: rows of buckets, sorted by bucket, in; the positions of each document out."""
+    for _, parts in _in_blocks(batches):
+        spots = np.frombuffer(b"".join(x for x, in parts), SPOT)
+        spots = spots[np.argsort(spots["doc"], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate(([True], spots["doc"][1:] != spots["doc"][:-1], [True]))).tolist()
+        positions = np.ascontiguousarray(spots["pos"])
+        rows = [positions[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(spots["doc"][cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "spots"]
+        )
 
 
 # --- contexts ---------------------------------------------------------------
@@ -347,13 +381,13 @@ def _contexts(rule: PassageRule):
         for part in _few(batches):
             for doc, text, spots in zip(*(c.to_pylist() for c in part.columns)):
                 data = text.encode()
-                at = np.unique(np.concatenate([np.frombuffer(s, "<i4") for s in spots])).tolist()
+                at = np.unique(np.frombuffer(spots, "<i4")).tolist()
                 starts = [max(0, p - rule.reach) for p in at]
                 found = [bytes([p - s]) + data[s : p + rule.length] for p, s in zip(at, starts)]
-                hashes = _gram_hashes(np.frombuffer(b"".join(data[p : p + K] for p in at) + bytes(K), np.uint8))
+                grams = np.frombuffer(b"".join([data[p : p + K] for p in at]), "<u8").reshape(-1, K // 8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(hashes[: len(at) * K : K].view(np.int64), pa.int64()),
+                        pa.array(_hashed(*grams.T).view(np.int64), pa.int64()),
                         pa.array(found, pa.binary()),
                         pa.array([doc] * len(at), pa.int64()),
                         pa.array(starts, pa.int32()),
@@ -492,13 +526,11 @@ def repeated_spans(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFr
     bits = max(1, size // BLOCK_BYTES).bit_length()
     told = named.mapInArrow(_anchor_rows(rule, bits), "block bigint, known boolean, records binary")
     blocks = told.repartition("block").sortWithinPartitions("block")
-    # Written out before they are grouped by document, so that the two do not share a stage's memory.
-    found = freeze(blocks.mapInArrow(_repeated_spots, "doc_id bigint, spots binary"))
-    spots = freeze(
-        found.groupBy("doc_id")
-        .agg(F.collect_list("spots").alias("spots"))
-        .join(copies, "doc_id", "left_anti")
+    buckets = blocks.mapInArrow(_repeated_spots(bits), "bucket bigint, spots binary")
+    by_document = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _by_document, "doc_id bigint, spots binary"
     )
+    spots = freeze(by_document.join(copies, "doc_id", "left_anti"))
     texts = maybe_among(named, "doc_id", spots.select("doc_id"))
     found = freeze(
         texts.join(spots, "doc_id")
@@ -560,12 +592,14 @@ def remove_repeats(
     not remove each other's. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = freeze(
-        repeated_spans(base, rule)
-        .distinct()
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("found"))
-    )
+    with short_lived(docs.sparkSession):
+        spans = freeze(
+            repeated_spans(base, rule)
+            .distinct()
+            .groupBy("doc_id")
+            .agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("found")),
+            lasting=True,
+        )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
