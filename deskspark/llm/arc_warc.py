@@ -218,7 +218,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _warc_rows():
-    """Task code: RECORD rows with ``keep_id`` in, WARC records without their final CRLFs out."""
+    """Task code: RECORD rows with the id and place of the record that is kept in, WARC records without their
+    final CRLFs out. A record's id follows from its place, so that records of one page have ids of their own."""
 
     def record_id(*parts) -> str:
         return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
@@ -232,23 +233,22 @@ def _warc_rows():
             head += [("WARC-Filename", r["archive"]), ("Content-Type", "application/warc-fields")]
         else:
             first = r["keep_id"] is None or r["keep_id"] == r["page_id"]
-            no_id = r["page_id"] is None
             block = r["http"].encode() + (r["payload"] if first else b"")
             head = [
                 ("WARC-Type", "response" if first else "revisit"),
-                ("WARC-Record-ID", record_id(r["archive"], r["offset"]) if no_id else record_id("page", r["page_id"])),
+                ("WARC-Record-ID", record_id(r["archive"], r["offset"])),
                 ("WARC-Target-URI", r["url"]),
                 ("WARC-IP-Address", r["ip"]),
                 ("Content-Type", "application/http; msgtype=response" if r["http"] else r["mime"]),
                 ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"),
                 ("X-Payload-Length", str(r["payload_bytes"])),
             ]
-            if not no_id:
+            if r["page_id"] is not None:
                 head.append(("X-Page-Id", str(r["page_id"])))
             if not first:
                 head += [
                     ("WARC-Profile", PROFILE),
-                    ("WARC-Refers-To", record_id("page", r["keep_id"])),
+                    ("WARC-Refers-To", record_id(r["keep_archive"], r["keep_offset"])),
                     ("X-Refers-To-Page-Id", str(r["keep_id"])),
                 ]
         head += [("WARC-Date", date), ("WARC-Block-Digest", f"sha1:{_sha1(block)}"), ("Content-Length", str(len(block)))]
@@ -272,16 +272,21 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     hashed = F.xxhash64("payload_key")
     # A narrow pass: payloads stay in the tasks.
     narrow = _files(spark, arc_path).mapInArrow(_records(payloads=False), RECORD)
-    keys = freeze(narrow.where("kind = 'record'").select("payload_key", "page_id", place))
+    keys = freeze(narrow.where("kind = 'record'").select("payload_key", "page_id", place, "archive", "offset"))
+    kept = F.max(F.struct("page_id", "archive", "offset")).alias("keep")
     groups = freeze(
         keys.groupBy("payload_key")
-        .agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .agg(kept, F.count(F.lit(1)).alias("n"))
         .where("n > 1")
+        .select(
+            "payload_key", "n", F.col("keep.page_id").alias("keep_id"), F.col("keep.archive").alias("keep_archive"),
+            F.col("keep.offset").alias("keep_offset"),
+        )
     )
     # Records that cannot have an equal stay where they are; the rest meet their group by page.
     named = freeze(
         attach(
-            maybe_among(keys.withColumn("_hash", hashed), "_hash", groups.select(F.xxhash64("payload_key").alias("h"))),
+            maybe_among(keys.drop("archive", "offset").withColumn("_hash", hashed), "_hash", groups.select(F.xxhash64("payload_key").alias("h"))),
             groups,
             "payload_key",
             "n",
@@ -289,7 +294,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
             "inner",
         )
         .where("keep_id IS NOT NULL AND NOT page_id <=> keep_id")
-        .select(F.col("page_id").alias("_page"), F.col("_place").alias("_at"), F.col("payload_key").alias("_key"), "keep_id")
+        .select(
+            F.col("page_id").alias("_page"), F.col("_place").alias("_at"), F.col("payload_key").alias("_key"),
+            "keep_id", "keep_archive", "keep_offset",
+        )
         .distinct()
     )
     same = (
@@ -377,8 +385,8 @@ def archive(pages: DataFrame) -> DataFrame:
     """Pages through ARC files and the converter into WARC files, and what is read back from those.
 
     A null html is an empty payload; a null url is written as ``urn:x-no-url``.
-    Rows that repeat a page_id are records of their own: with equal payloads
-    both are responses of that page. A null page_id stays null: its record is a
+    Rows that repeat a page_id are records of their own, each with its own record id: with equal payloads
+    both are responses of that page, and revisits refer to one of them. A null page_id stays null: its record is a
     revisit where its payload also comes with an id, else a response. An empty
     table gives an empty result; other columns are not looked at.
     """

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,21 +199,27 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _mapped(df: DataFrame, path: str, source: str, target: str, kind: pa.DataType, name: str) -> DataFrame:
-    """Adds ``target``, made from ``source`` by the method ``name`` of the transducer."""
-    at = df.columns.index(source)
+def _mapped(df: DataFrame, path: str, source: Column, target: str, kind: pa.DataType, name: str) -> DataFrame:
+    """Adds ``target``, made from ``source`` by the method ``name`` of the transducer.
+
+    The row goes along as a struct beside the two, so that its columns may have any names. A column
+    that has the name of the new one, in any case, gives way to it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = getattr(transducer(path), name)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                made = pa.array([make(x.as_py()) for x in part.column(at)], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, target])
+                made = pa.array([make(x.as_py()) for x in part.column(1)], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), made], ["row", "made"])
 
+    kept = [c for c in df.columns if c.lower() != target.lower()]
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("_")]).alias("row"), source.alias("source"))
     made = T.BinaryType() if kind == pa.binary() else T.StringType()
-    schema = T.StructType([*df.schema.fields, T.StructField(target, made)])
-    return df.mapInArrow(run, schema)
+    schema = T.StructType([own.schema["row"], T.StructField("made", made)])
+    fields = [F.col("row").getField(c).alias(c) for c in kept]
+    return own.mapInArrow(run, schema).select(*fields, F.col("made").alias(target))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -221,16 +227,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     A null text counts as empty and has no ids. Strings of special tokens in a
     text become those tokens. ``path`` names the tokenizer file on every worker.
-    Rows are independent: repeated rows and other columns pass unchanged.
+    Rows are independent: repeated rows and other columns pass unchanged, but a column that is
+    called ``ids_col`` already is replaced.
     """
-    if ids_col in docs.columns:
-        raise ValueError(f"the table has a column {ids_col} already")
-    own = docs.withColumn("_bpe_text", F.coalesce(F.col(text_col), F.lit("")))
-    return _mapped(own, path, "_bpe_text", ids_col, pa.binary(), "encode").drop("_bpe_text")
+    return _mapped(docs, path, F.coalesce(F.col(text_col), F.lit("")), ids_col, pa.binary(), "encode")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Adds ``text_col``: the text of packed ids; null ids count as none."""
-    own = encoded.withColumn("_bpe_ids", F.coalesce(F.col(ids_col), F.lit(b"")))
-    return _mapped(own, path, "_bpe_ids", text_col, pa.string(), "decode").drop("_bpe_ids")
-
+    """Adds ``text_col``: the text of packed ids; null ids count as none. Replaces a column of that name."""
+    return _mapped(encoded, path, F.coalesce(F.col(ids_col), F.lit(b"")), text_col, pa.string(), "decode")

@@ -25,20 +25,6 @@ PERIOD = 4096
 BLOCK_ROWS = 16
 
 
-def whole_shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Weights as whole numbers that sum to ``period``, by largest remainders."""
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    shares = {s: int(x) for s, x in exact.items()}
-    rest = period - sum(shares.values())
-    by_remainder = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is not None, s or ""))
-    for s in by_remainder[:rest]:
-        shares[s] += 1
-    return shares
-
-
 def earliest_deadlines(
     blocks: Sequence[int], weights: Sequence[int]
 ) -> Iterator[tuple[int, int, int, int, int]]:
@@ -60,12 +46,6 @@ def earliest_deadlines(
             heapq.heappush(waiting, ((i + 1) * total // weights[k], k, i + 1))
 
 
-def one_period(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of every block of one period."""
-    names, a = list(shares), list(shares.values())
-    return [(names[k], *rest) for k, *rest in earliest_deadlines(a, a)]
-
-
 PLAN = "_s string, _i bigint, _release bigint, _deadline bigint, _slot bigint, _start bigint"
 
 
@@ -113,8 +93,10 @@ def schedule(
     seed: int = 7,
     id_col: str = "doc_id",
     source_col: str = "source",
+    mix_col: str = "_mix",
 ) -> DataFrame:
-    """``docs`` with the struct ``_mix``: source_rank, block, release, deadline, slot, position.
+    """``docs`` with the struct ``mix_col``: source_rank, block, release, deadline, slot, position. A column
+    of that name gives way to it.
 
     Every row is placed once. ``slot`` counts blocks; ``position`` is the
     resulting 0-based place of the row. Targets hold for as long as every source
@@ -136,8 +118,9 @@ def schedule(
         F.coalesce("_s", "source").alias("source"), "weight", F.coalesce("_n", F.lit(0)).alias("rows")
     )
     plan = freeze(sources.repartition(1).mapInArrow(_planned(block_rows, period), PLAN))
+    own = [c for c in docs.columns if c.lower() != mix_col.lower()]
     rows = docs.select(
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
         F.col(source_col).cast("string").alias("_source"),
         shuffled(F.col(id_col), seed).alias("_order"),
     )
@@ -164,16 +147,19 @@ def schedule(
         F.col("_slot").alias("slot"),
         F.col("_position").alias("position"),
     )
-    return done.select("_row.*", mix.alias("_mix"))
+    return done.select("_row.*", mix.alias(mix_col))
 
 
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | DataFrame, position_col: str | None = None, **options
 ) -> DataFrame:
     """The documents in mixed order, range-partitioned and sorted by position, which ``position_col`` names
-    a column for: files are not always read in their order."""
-    placed = schedule(docs, weights, **options)
-    at = F.col("_mix.position")
+    a column for: files are not always read in their order. A column of that name gives way to it."""
+    taken, made = {c.lower() for c in docs.columns}, "_mix"
+    while made in taken:
+        made += "_"
+    placed = schedule(docs, weights, mix_col=made, **options)
+    at = F.col(f"{made}.position")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(n, at).sortWithinPartitions(at)
-    return (ordered.withColumn(position_col, at) if position_col else ordered).drop("_mix")
+    return (ordered.withColumn(position_col, at) if position_col else ordered).drop(made)

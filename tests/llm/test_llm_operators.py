@@ -160,6 +160,15 @@ def test_bpe(spark, docs, empty):
     assert bpe_stream.encode(empty, TOKENIZER).count() == 0
 
 
+@pytest.mark.skipif(TOKENIZER is None, reason="no tokenizer file")
+def test_bpe_replaces_columns_of_its_names(spark):
+    table = spark.createDataFrame([("one two", 5, "x", None, 1.5)], "text string, IDS int, _bpe_text string, decoded int, `a.b` double")
+    out = bpe_stream.decode(bpe_stream.encode(table, TOKENIZER), TOKENIZER)
+    assert sorted(out.columns) == sorted(["text", "_bpe_text", "a.b", "ids", "decoded"])
+    row = out.first()
+    assert (row["decoded"], row["_bpe_text"], row["a.b"]) == ("one two", "x", 1.5) and len(row["ids"]) == 8
+
+
 def test_lookahead_follows_the_longest_chain():
     merges = [(b"b", b"c"), (b"a", b"bc"), (b"x", b"a"), (b"z", b"q")]
     assert bpe_stream.sufficient_lookahead(merges) == 3  # b|c, then a|bc, then x|a
@@ -200,6 +209,18 @@ def test_archives(spark):
     assert arc_warc.archive(table.limit(0)).count() == 0
 
 
+def test_archives_give_repeated_pages_their_own_records(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "a"), (0, "v", "a")]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = arc_warc.archive(table).collect()
+    assert len({r.record_id for r in got}) == len(got) == 4
+    assert sorted((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in got if r.page_id) == [
+        (1, "response", None, b"a"), (1, "response", None, b"a"), (1, "response", None, b"b")
+    ]
+    (other,) = [r for r in got if r.page_id == 0]
+    assert (other.record_type, other.refers_to) == ("revisit", 1)
+
+
 def test_archives_keep_pages_without_an_id(spark):
     rows = [(None, "u0", "a"), (1, "u1", "a"), (2, "u2", "a"), (None, "u3", "b"), (None, "u4", "b"), (None, None, None)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -254,18 +275,60 @@ def test_shards_match_the_mixture(docs, empty):
 
 def test_pfair_mix(docs, empty):
     weights = {"s0": 5.0, "s1": 1.0, "s2": 1.0, "s3": 2.5, None: 0.5}
-    shares = pfair_mix.whole_shares(weights, 64)
-    seen = Counter()
-    for t, (source, _, release, deadline, slot) in enumerate(pfair_mix.one_period(shares)):
-        assert release <= slot < deadline
-        seen[source] += 1
-        assert all(abs(seen[s] - a * (t + 1) / 64) < 1 for s, a in shares.items())
     placed = pfair_mix.schedule(docs, weights, block_rows=2, period=64)
     assert sorted(r["_mix"]["position"] for r in placed.collect()) == list(range(docs.count()))
     assert pfair_mix.mix(docs, weights).columns == docs.columns
     assert pfair_mix.mix(empty, {}).count() == 0
 
 
+def slot_by_slot(blocks, weights):
+    """Walks every slot; of the sources whose next block is released takes the earliest deadline."""
+    total, done, out, slot = sum(weights), [0] * len(blocks), [], 0
+    while any(d < n for d, n in zip(done, blocks)):
+        ready = [
+            (-(-(done[k] + 1) * total // weights[k]), k)
+            for k in range(len(blocks))
+            if done[k] < blocks[k] and done[k] * total // weights[k] <= slot
+        ]
+        if ready:
+            deadline, k = min(ready)
+            out.append((k, done[k], done[k] * total // weights[k], deadline, slot))
+            done[k] += 1
+        slot += 1
+    return out
+
+
+def test_pfair_mix_follows_a_second_scheduler(spark):
+    rng = random.Random(4)
+    for _ in range(30):
+        n = rng.randrange(1, 7)
+        blocks, weights = [rng.randrange(0, 40) for _ in range(n)], [rng.randrange(1, 30) for _ in range(n)]
+        assert list(pfair_mix.earliest_deadlines(blocks, weights)) == slot_by_slot(blocks, weights)
+    sizes, weights = {None: 11, "a": 95, "b": 40, "c": 3}, {None: 1.0, "a": 4.0, "b": 2.0, "c": 9.0}
+    rows = [(None if i == 0 else i, s) for s, m in sizes.items() for i in range(m)]
+    table = spark.createDataFrame(rows, "doc_id bigint, source string")
+    placed = [r["_mix"] for r in pfair_mix.schedule(table, weights, block_rows=4).collect()]
+    names = list(sizes)
+    want, start = {}, 0
+    for k, i, release, deadline, slot in slot_by_slot([-(-m // 4) for m in sizes.values()], [int(w) for w in weights.values()]):
+        want[names[k], i] = (release, deadline, slot, start)
+        start += min(4, sizes[names[k]] - 4 * i)
+    assert len(placed) == len(rows)
+    for r in placed:
+        release, deadline, slot, first = want[r["source"], r["block"]]
+        assert (r["release"], r["deadline"], r["slot"]) == (release, deadline, slot)
+        assert r["block"] == r["source_rank"] // 4 and r["position"] == first + r["source_rank"] % 4
+
+
+def test_clashing_names_give_way(spark):
+    table = spark.createDataFrame([(i, "s", i, -1, "x") for i in range(9)], "doc_id bigint, source string, _mix int, mix_position int, `a.b` string")
+    mixed = pfair_mix.mix(table, {"s": 1.0}, position_col="mix_position")
+    assert sorted(mixed.columns) == sorted(table.columns)
+    assert sorted((r["_mix"], r["doc_id"]) for r in mixed.collect()) == [(i, i) for i in range(9)]
+    assert sorted(r["mix_position"] for r in mixed.collect()) == list(range(9))
+    assert pfair_mix.schedule(table, {"s": 1.0}).select("_mix.position").count() == 9
+
+
 def test_pfair_mix_keeps_to_the_real_weights(spark):
     third = {f"s{i}": (0.5 if i == 0 else 1 / 38) ** 0.5 for i in range(20)}
     total = sum(third.values())
@@ -326,6 +389,50 @@ def test_importance_prefers_text_like_the_target(spark, empty):
     assert importance.resample(empty, targets, 5).count() == 0
 
 
+def test_importance_against_plain_counts(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    rows += [rows[5], (70, rows[6][1]), (71, None), (None, "w1 w2"), (72, "W1\tw2")]
+    table = spark.createDataFrame([(*r, 0.0, 1) for r in rows], "doc_id bigint, text string, key double, rank int").repartition(4)
+    targets, model = list(range(0, 30)), importance.ImportanceModel(buckets=128, smoothing=0.5)
+
+    def grams(text):
+        found = [w.lower() for w in WORD.findall((text or "").encode())]
+        hashes = [int(importance.ngrams.word_hashes([w])[0][0]) for w in found]
+        pairs = [int(importance.ngrams.mixed(np.array([a * int(importance.ngrams.M1) + b & (1 << 64) - 1], np.uint64))[0]) for a, b in zip(hashes, hashes[1:])]
+        return [h % 128 for h in hashes + pairs]
+
+    raw, wanted = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in targets:
+            wanted.update(grams(t))
+    def log_p(counts, b):
+        return np.log((counts[b] + 0.5) / (sum(counts.values()) + 0.5 * 128))
+    want = []
+    for i, t in rows:
+        weight = sum(log_p(wanted, b) - log_p(raw, b) for b in grams(t))
+        digits = hashlib.md5(f"{model.seed}:{'' if i is None else i}".encode()).hexdigest()[:13]
+        want.append((i, weight, len(grams(t)), weight - np.log(-np.log((int(digits, 16) + 0.5) / (1 << 52)))))
+    want.sort(key=lambda r: (-round(r[3], 9), r[0] is not None, r[0] or 0))
+    ids = spark.createDataFrame([(i,) for i in targets + targets], "id bigint")
+    got = sorted(importance.resample(table, ids, 20, model).collect(), key=lambda r: r["rank"])
+    assert [(r["doc_id"], r["n_grams"]) for r in got] == [(w[0], w[2]) for w in want]
+    assert np.allclose([r["log_weight"] for r in got], [w[1] for w in want])
+    assert np.allclose([r["key"] for r in got], [w[3] for w in want])
+    assert [r["rank"] for r in got] == list(range(len(rows))) and sum(r["kept"] for r in got) == 20
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    if TOKENIZER is None:
+        pytest.skip("no tokenizer file")
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_follow_each_other(spark):
     if TOKENIZER is None:
         pytest.skip("no tokenizer file")
