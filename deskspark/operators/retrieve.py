@@ -31,6 +31,8 @@ BLOCK_ROWS = 4096
 SALTS = 64
 # Rows that k-means cells are fitted on at most; all rows are then assigned.
 FIT_ROWS = 20_000
+# Starts of the cells' model, the one of least cost is taken: tighter cells lose fewer neighbours.
+CELL_STARTS = 8
 # Similarities are rounded before ranking so that equal vectors tie exactly.
 DIGITS = 9
 
@@ -200,7 +202,7 @@ def knn_cells(
     cut into blocks. Only the centres reach the driver.
     """
     held = corpus.where(F.col(vector).isNotNull())
-    centres = cluster.fit_centres(fitting_rows(held, corpus_id, seed, fit_rows), cells, seed, 1, vector)
+    centres = cluster.fit_centres(fitting_rows(held, corpus_id, seed, fit_rows), cells, seed, CELL_STARTS, vector)
     if centres is None:
         return knn(queries, corpus, k, query_id, corpus_id, vector)
     base = _base(held, corpus_id, vector, F.lit("")).withColumn(
