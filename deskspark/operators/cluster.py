@@ -197,7 +197,9 @@ def advance(
     return {m: Model(c, sizes[m], costs[m]) for m, c in centres.items()}
 
 
-def fit_many(held: DataFrame, ks: Sequence[int], seed: int, n_init: int = N_INIT) -> dict[int, Model]:
+def fit_many(
+    held: DataFrame, ks: Sequence[int], seed: int, n_init: int = N_INIT, max_iterations: int = MAX_ITERATIONS
+) -> dict[int, Model]:
     """Per k the model of least cost among ``n_init`` starts; the earliest wins a tie.
 
     ``held`` comes from :func:`points`; it is stored once, in narrow rows, and read by every pass. No rows: no models.
@@ -208,7 +210,7 @@ def fit_many(held: DataFrame, ks: Sequence[int], seed: int, n_init: int = N_INIT
     if not drawn:
         return {}
     names = [(k, s) for k in ks for s in range(len(drawn))]
-    fitted = advance(held, {i: drawn[s][:k] for i, (k, s) in enumerate(names)})
+    fitted = advance(held, {i: drawn[s][:k] for i, (k, s) in enumerate(names)}, max_iterations)
     # Costs are compared to nine digits, since sums over partitions differ in the last ones.
     return {
         k: fitted[min((i for i, n in enumerate(names) if n[0] == k), key=lambda i: (float(f"{fitted[i].cost:.9g}"), i))]
@@ -216,9 +218,11 @@ def fit_many(held: DataFrame, ks: Sequence[int], seed: int, n_init: int = N_INIT
     }
 
 
-def fit_centres(df: DataFrame, k: int, seed: int, n_init: int = 1, vector: str = "embedding") -> np.ndarray | None:
-    """Centres of one model, None for a table without vectors."""
-    found = fit_many(points(df, vector), [k], seed, n_init)
+def fit_centres(
+    df: DataFrame, k: int, seed: int, n_init: int = 1, vector: str = "embedding", max_iterations: int = 10
+) -> np.ndarray | None:
+    """Centres of one model for cells, where some iterations do; None for a table without vectors."""
+    found = fit_many(points(df, vector), [k], seed, n_init, max_iterations)
     return found[k].centres if found else None
 
 
