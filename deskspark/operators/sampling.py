@@ -7,15 +7,14 @@ import math
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.operators.grouped import top_n_per_group, with_position
 from deskspark.sources.scratch import freeze
 
-# Above this many rows a sample is cut at an exact global position instead of by
-# take-ordered, which ends in one task.
-TAKE_ORDERED_ROWS = 100_000
+# Hex digits of the hash that one pass of a cut resolves: at most 4,096 counts leave a task.
+CUT_DIGITS = 3
 
 
 def hash_order(seed: int, key: str | Column) -> Column:
@@ -23,12 +22,47 @@ def hash_order(seed: int, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col.cast("string")))
 
 
+def _cut(hashes: DataFrame, n: int) -> tuple[str, int, int] | None:
+    """(hash, rows below it, rows holding it) of the n-th row in hash order; None when there are fewer rows.
+
+    Counts per prefix find the slice that holds the row, and the next pass counts inside that slice
+    alone, until it holds one hash. Each pass returns one row.
+    """
+    prefix, below = "", 0
+    while True:
+        bins = (
+            hashes.where(F.col("_hash").startswith(prefix))
+            .groupBy(F.substring("_hash", 1, len(prefix) + CUT_DIGITS).alias("_prefix"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_hash").alias("_low"), F.max("_hash").alias("_high"))
+        )
+        # At most 16 ** CUT_DIGITS rows, whatever the size of the table.
+        upto = F.sum("_n").over(Window.orderBy("_prefix")) + F.lit(below)
+        found = bins.withColumn("_upto", upto).where(F.col("_upto") >= n).orderBy("_prefix").first()
+        if found is None:
+            return None
+        prefix, below = found["_prefix"], found["_upto"] - found["_n"]
+        if found["_low"] == found["_high"]:
+            return found["_low"], below, found["_n"]
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows, uniformly chosen by seed; the whole table when it has no more than n."""
-    if n <= TAKE_ORDERED_ROWS:
-        return df.orderBy(hash_order(seed, key), key).limit(n)
-    placed = with_position(df, [hash_order(seed, key), key], "_pos")
-    return placed.where(F.col("_pos") < n).drop("_pos")
+    """n rows, uniformly chosen by seed; the whole table when it has no more than n.
+
+    The hash of the n-th row is found from counts (see :func:`_cut`), so the draw itself is a filter:
+    nothing is sorted or shuffled whatever n is. NULL keys come first. Rows that share the last key are
+    cut by their content; equal rows are interchangeable.
+    """
+    if n <= 0:
+        return df.limit(0)
+    order = F.coalesce(hash_order(seed, key), F.lit(""))
+    cut = _cut(df.select(order.alias("_hash")), n)
+    if cut is None:
+        return df
+    last, below, holding = cut
+    if below + holding == n:
+        return df.where(order <= last)
+    placed = with_position(df.where(order == last), [F.xxhash64(*df.columns), F.rand(seed)], "_pos")
+    return df.where(order < last).unionByName(placed.where(F.col("_pos") < n - below).drop("_pos"))
 
 
 def limit_rows(df: DataFrame, n: int, order: str) -> DataFrame:

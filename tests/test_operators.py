@@ -119,15 +119,33 @@ def test_systematic_sample(spark, n, m):
     assert got == want
 
 
-def test_sample_n_does_not_depend_on_partitions(spark, monkeypatch):
+def test_sample_n_does_not_depend_on_partitions(spark):
     df = spark.range(500)
     small = {r["id"] for r in sampling.sample_n(df.repartition(7), 50, 42, "id").collect()}
     assert small == {r["id"] for r in sampling.sample_n(df.coalesce(1), 50, 42, "id").collect()} and len(small) == 50
-    monkeypatch.setattr(sampling, "TAKE_ORDERED_ROWS", 10)
-    assert small == {r["id"] for r in sampling.sample_n(df, 50, 42, "id").collect()}
+    ordered = df.orderBy(sampling.hash_order(42, "id"), "id")
+    for n in (0, 1, 50, 499, 500):
+        got = {r["id"] for r in sampling.sample_n(df, n, 42, "id").collect()}
+        assert got == {r["id"] for r in ordered.limit(n).collect()}
     assert sampling.sample_n(df, 900, 42, "id").count() == 500
 
 
+def test_sample_n_cuts_shared_and_null_keys(spark):
+    rows = [(None, 0)] * 3 + [("hot", i // 2) for i in range(400)] + [(f"k{i}", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, v int").repartition(5)
+    for n in (2, 3, 50, 250, 420, 503):
+        drawn = sampling.sample_n(df, n, 7, "key").collect()
+        assert len(drawn) == n
+        assert sum(r["key"] is None for r in drawn) == min(n, 3)
+    twice = [sorted(map(tuple, sampling.sample_n(d, 250, 7, "key").collect()), key=repr) for d in (df, df.coalesce(1))]
+    assert twice[0] == twice[1]
+
+
+def test_a_draw_neither_sorts_nor_shuffles(spark):
+    plan = sampling.sample_n(spark.range(5000), 700, 1, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "TakeOrdered" not in plan
+
+
 def test_top_n_salted_equals_plain(spark, monkeypatch):
     df = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"), "id")
     plain = {tuple(r) for r in grouped.top_n_per_group(df, ["g"], [F.col("id")], 40).collect()}
