@@ -666,6 +666,42 @@ ORACLES: dict[str, str] = {
         CAST(count(*) AS BIGINT) AS messages, CAST(count(*) FILTER (decision = 'escalate') AS BIGINT) AS escalations,
         count(*) FILTER (decision = 'escalate') / count(*) AS rate FROM spots GROUP BY w""",
 }
+GUESSED = r"""plain AS (
+    SELECT doc_id, lang, text, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) AS words FROM documents),
+  chars AS (SELECT doc_id, lang, unnest(list) AS c, generate_subscripts(list, 1) AS i
+    FROM (SELECT doc_id, lang, string_split(' ' || words || ' ', '') AS list FROM plain WHERE words <> '')),
+  spots AS (SELECT doc_id, lang, c, lead(c) OVER w AS c1, lead(c, 2) OVER w AS c2 FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  grams AS (SELECT doc_id, lang, g, count(*) AS n FROM (
+      SELECT doc_id, lang, unnest([nullif(c, ' '), c || c1, CASE WHEN c1 <> ' ' THEN c || c1 || c2 END]) AS g FROM spots)
+    WHERE g IS NOT NULL GROUP BY ALL),
+  profiles AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) AS place
+    FROM grams WHERE lang IS NOT NULL GROUP BY lang, g QUALIFY place <= 300),
+  tops AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) AS place FROM grams QUALIFY place <= 300),
+  gaps AS (SELECT t.doc_id, l.lang, CAST(sum(coalesce(abs(t.place - p.place), 300)) AS BIGINT) AS gap
+    FROM tops t CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = t.g GROUP BY ALL),
+  ranked AS (SELECT doc_id, list(lang ORDER BY gap, lang) AS langs, list(gap ORDER BY gap, lang) AS ds FROM gaps GROUP BY doc_id),
+  guessed AS (SELECT doc_id, text, CASE WHEN (ds[2] - ds[1]) * 100 < ds[2] * 3 THEN NULL ELSE langs[1] END AS lang_guess,
+      ds[1] AS lang_guess_distance, ds[2] AS lang_guess_runner_up
+    FROM plain LEFT JOIN ranked USING (doc_id))"""
+ORACLES["detect_language"] = f"WITH {GUESSED} SELECT * EXCLUDE (text) FROM guessed"
+ORACLES["route_unlabelled"] = f"""WITH {GUESSED} SELECT doc_id, lang_guess,
+  CASE WHEN lang_guess = 'en' THEN {substring_intent('lower(text)')} ELSE 'other_unclear' END AS intent FROM guessed"""
+FOUND_TERMS = r"""listed AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+  spots AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM listed),
+  paired AS (SELECT item_id * 100000 + i AS position, word, lead(word) OVER (PARTITION BY item_id ORDER BY i) AS after FROM spots),
+  terms AS (SELECT term, CAST(min(position) AS BIGINT) AS position FROM (
+      SELECT position, unnest([CASE WHEN length(word) >= 4 THEN word END, word || ' ' || after]) AS term FROM paired)
+    WHERE term IS NOT NULL GROUP BY term),
+  pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+') AS p FROM documents)),
+  windows AS (SELECT doc_id, piece, piece || lead(piece) OVER w || lead(piece, 2) OVER w AS pair
+    FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  hits AS (SELECT DISTINCT doc_id, position FROM (SELECT doc_id, unnest([piece, pair]) AS term FROM windows) JOIN terms USING (term)),
+  gathered AS (SELECT doc_id, list(position ORDER BY position) AS found FROM hits GROUP BY doc_id)"""
+ORACLES["find_terms"] = f"""WITH {FOUND_TERMS} SELECT doc_id, CAST(coalesce(len(found), 0) AS INTEGER) AS n_rules,
+  coalesce(array_to_string(found, ','), '') AS found_rules FROM documents LEFT JOIN gathered USING (doc_id)"""
+ORACLES["rules_table"] = f"""WITH {FOUND_TERMS} SELECT doc_id, found[1] AS first_rule, CASE WHEN found IS NULL THEN 'other_unclear'
+  ELSE {listed(lx.INTENTS)}[(found[1] // 100000) % {len(lx.INTENTS)} + 1] END AS intent FROM documents LEFT JOIN gathered USING (doc_id)"""
 ORACLES["restricted_messages"] = ORACLES["customer_messages"]
 ORACLES["reply_prompts"] = f"""WITH contexts AS ({ORACLES['format_context']}), named AS (
     SELECT query_id, retrieved_context, 'message ' || CAST(query_id AS VARCHAR) AS text,

@@ -17,11 +17,13 @@ from deskspark.operators import (
     cluster,
     features,
     guard,
+    language,
     metrics,
     profile,
     retrieve,
     rules,
     sampling,
+    termlist,
     threads,
 )
 from deskspark.plans import jobs
@@ -279,6 +281,51 @@ def route_language(spark, sf):
     return routed.select("doc_id", "lang", "intent")
 
 
+@query
+def detect_language(spark, sf):
+    docs = tables.load(spark, sf, "documents").select("doc_id", "lang", "text")
+    found = language.detect_language(docs.drop("lang"), language.learn_profiles(docs))
+    return found.select("doc_id", "lang_guess", "lang_guess_distance", "lang_guess_runner_up")
+
+
+@query
+def route_unlabelled(spark, sf):
+    docs = tables.load(spark, sf, "documents").select("doc_id", "lang", "text")
+    labelled = rules.rules_substring(docs.drop("lang"))
+    routed = language.route_unlabelled(labelled, language.learn_profiles(docs), ["en"])
+    return routed.select("doc_id", "lang_guess", "intent")
+
+
+def _watch_rules(spark, sf):
+    """A rule per word of ``benchmark``: the word (four letters or more) and the pair it begins."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    spots = tables.load(spark, sf, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.posexplode("w").alias("i", "word"))
+    pair = F.concat("word", F.lit(" "), F.get("w", F.col("i") + 1))
+    return (
+        spots.select(
+            (F.col("item_id") * 100_000 + F.col("i")).alias("position"),
+            F.explode(F.array(F.when(F.length("word") >= 4, F.col("word")), pair)).alias("term"),
+        )
+        .where("term IS NOT NULL")
+        .groupBy("term")
+        .agg(F.min("position").alias("position"))
+        .withColumn("intent", F.get(F.lit(list(lx.INTENTS)), F.expr(f"int((position div 100000) % {len(lx.INTENTS)})")))
+    )
+
+
+@query
+def find_terms(spark, sf):
+    docs = tables.load(spark, sf, "documents").select("doc_id", "text")
+    found = termlist.find_terms(docs, _watch_rules(spark, sf))
+    return found.select("doc_id", F.size("found").alias("n_rules"), F.array_join("found", ",").alias("found_rules"))
+
+
+@query
+def rules_table(spark, sf):
+    docs = tables.load(spark, sf, "documents").select("doc_id", "text")
+    return termlist.classify_terms(docs, _watch_rules(spark, sf)).select("doc_id", "first_rule", "intent")
+
+
 # --- Guard --------------------------------------------------------------------
 
 
