@@ -61,6 +61,75 @@ def parse_responses(df: DataFrame, raw: str, fields: Sequence[str]) -> DataFrame
     )
 
 
+def _answer(raw: Column) -> Column:
+    """The JSON object of an answer as a variant, NULL without one; tried in the order of :func:`parse_responses`."""
+    text = strip_thinking(raw)
+    tried = [
+        text,
+        F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1),
+        F.regexp_extract(text, r"(?s)(\{.*\})", 1),
+    ]
+    return F.coalesce(*[F.when(t.rlike(r"(?s)^\s*\{.*\}\s*$"), F.try_parse_json(t)) for t in tried])
+
+
+def parse_typed(df: DataFrame, raw: str, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Add typed, possibly nested fields, given as name -> (path, SQL type), such as ("$.ratings.tone", "int").
+
+    A value that does not convert to its type is NULL and its name is listed in ``mistyped``; names without a
+    value, or with a JSON null, are listed in ``missing``. ``error`` is set, the lists are empty and the fields
+    NULL when no JSON object can be found. Columns of these names are replaced.
+    """
+    df = df.withColumn("_answer", _answer(F.col(raw)))
+    got = {f: F.try_variant_get("_answer", path, kind) for f, (path, kind) in fields.items()}
+    given = {f: F.try_variant_get("_answer", path, "variant") for f, (path, _) in fields.items()}
+    absent = {f: v.isNull() | F.is_variant_null(v) for f, v in given.items()}
+
+    def listed(tests: Mapping[str, Column]) -> Column:
+        names = F.array(*[F.when(test, F.lit(f)) for f, test in tests.items()])
+        return F.when(F.col("_answer").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(names))
+
+    added = {
+        **got,
+        "missing": listed(absent),
+        "mistyped": listed({f: ~absent[f] & got[f].isNull() for f in fields}),
+        "error": F.when(F.col("_answer").isNull(), "json_parse_failed"),
+    }
+    return df.select(*[c for c in df.columns if c not in ("_answer", *added)], *[v.alias(f) for f, v in added.items()])
+
+
+def answer_drift(df: DataFrame, raw: str, paths: Mapping[str, str]) -> DataFrame:
+    """What answers hold: rows (field, kind, n) for fields given as name -> path.
+
+    Kinds are number, string, boolean, array, object, null, missing and, for answers without a JSON
+    object, unreadable. One pass; a few counts per task are shuffled.
+    """
+    answers = df.select(_answer(F.col(raw)).alias("_answer"))
+    shape = {f: F.schema_of_variant(F.try_variant_get("_answer", path, "variant")) for f, path in paths.items()}
+    kinds = [
+        F.struct(
+            F.lit(f).alias("field"),
+            F.when(F.col("_answer").isNull(), "unreadable")
+            .when(s.isNull(), "missing")
+            .when(s == "VOID", "null")
+            .when(s.isin("STRING", "BOOLEAN"), F.lower(s))
+            .when(s.startswith("OBJECT") | s.startswith("ARRAY"), F.lower(F.regexp_extract(s, "^[A-Z]+", 0)))
+            .otherwise("number")
+            .alias("kind"),
+        )
+        for f, s in shape.items()
+    ]
+    return answers.select(F.inline(F.array(*kinds))).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def answer_schema(df: DataFrame, raw: str) -> DataFrame:
+    """One row: the schema that holds all answers, and how many there are with and without a JSON object."""
+    return df.select(_answer(F.col(raw)).alias("_answer")).agg(
+        F.schema_of_variant_agg("_answer").alias("schema"),
+        F.count("_answer").alias("answers"),
+        F.count_if(F.col("_answer").isNull()).alias("unreadable"),
+    )
+
+
 def normalize_label(col: Column, labels: Sequence[str] = INTENTS, other: str = OTHER) -> Column:
     """Exact name, else the first name that contains or is contained in the text, else ``other``.
 

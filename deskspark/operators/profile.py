@@ -11,24 +11,88 @@ from deskspark.functions.text import ascii_words, word_count
 from deskspark.lexicon import BIGRAM_STOP_WORDS
 
 
-def top_bigrams(
-    df: DataFrame, text: str = "text", n: int | None = 20, stop_words: Sequence[str] = BIGRAM_STOP_WORDS
-) -> DataFrame:
-    """Most frequent adjacent word pairs after stop-word removal; ties by bigram.
+# Items a bigram sketch keeps, first try and second. Its map has 4/3 as many places, a power of two.
+SKETCH_ITEMS = (12_288, 196_608)
+SKETCH_GROUPS = 64
 
-    Pairs are counted before the shuffle, and the top n is a distributed
-    take-ordered; ``n=None`` returns every bigram.
-    """
+
+def _bigrams(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
     stops = list(stop_words)
     words = df.select(F.filter(ascii_words(F.col(text)), lambda w: ~w.isin(stops)).alias("w"))
     # A shifted zip keeps pair building in generated code; no filter on the word list, which would tokenise twice.
     room = F.greatest(F.size("w") - 1, F.lit(0))
     neighbours = F.arrays_zip(F.slice("w", 1, room).alias("a"), F.slice("w", 2, room).alias("b"))
-    pairs = words.select(F.inline(neighbours).alias("a", "b")).select(F.concat_ws(" ", "a", "b").alias("bigram"))
+    pairs = words.select(F.inline(neighbours).alias("a", "b"))
+    return pairs.select(F.concat_ws(" ", "a", "b").alias("bigram"))
+
+
+def _counted(pairs: DataFrame, n: int | None) -> DataFrame:
     counts = pairs.groupBy("bigram").agg(F.count(F.lit(1)).alias("n"))
     return counts if n is None else counts.orderBy(F.desc("n"), "bigram").limit(n)
 
 
+def top_bigrams(
+    df: DataFrame, text: str = "text", n: int | None = 20, stop_words: Sequence[str] = BIGRAM_STOP_WORDS
+) -> DataFrame:
+    """Most frequent adjacent word pairs after stop-word removal; ties by bigram.
+
+    Pairs are counted before the shuffle, and the top n is a distributed
+    take-ordered; ``n=None`` returns every bigram.
+    """
+    return _counted(_bigrams(df, text, stop_words), n)
+
+
+def _candidates(pairs: DataFrame, n: int, items: int) -> list[str] | None:
+    """Bigrams that may be among the n most frequent, none missing; None when the sketch cannot tell.
+
+    A kept item's estimate is its count or up to ``error`` more; an item that is not kept has at most
+    ``error`` rows. So n bigrams have at least (n-th estimate - error) rows: where that is more than
+    ``error``, only kept items at or above it can be among the first n.
+    """
+    parts = pairs.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group")).agg(
+        F.expr(f"approx_top_k_accumulate(bigram, {items})").alias("_sketch"), F.count(F.lit(1)).alias("_rows")
+    )
+    # Grouped by a constant, since sketches of no rows do not combine.
+    whole = parts.groupBy(F.lit(0).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(_sketch, {items})").alias("_sketch"), F.sum("_rows").alias("_rows")
+    )
+    # Nothing is lost while all rows fit.
+    error = F.when(F.col("_rows") <= items, 0.0).otherwise(F.lit(3.5 * 3 / 4 / items) * F.col("_rows"))
+    told = whole.select(F.expr(f"approx_top_k_estimate(_sketch, {items})").alias("_kept"), error.alias("_error"))
+    least = F.coalesce(F.get("_kept", F.lit(n - 1))["count"] - F.col("_error"), F.lit(0.0))
+    found = told.select(
+        "_error", least.alias("_least"), F.filter("_kept", lambda x: x["count"] >= least)["item"].alias("_items")
+    ).first()
+    if found is None:
+        return []
+    return found["_items"] if found["_error"] == 0 or found["_least"] > found["_error"] else None
+
+
+def frequent_bigrams(
+    df: DataFrame,
+    text: str = "text",
+    n: int = 20,
+    stop_words: Sequence[str] = BIGRAM_STOP_WORDS,
+    sketches: Sequence[int] = SKETCH_ITEMS,
+) -> DataFrame:
+    """The rows of :func:`top_bigrams` without shuffling every distinct bigram.
+
+    Each task keeps a frequent-items sketch; merged, in groups first, they name the bigrams that can
+    be among the first n, and a second scan counts those exactly. Where counts are too flat for a
+    sketch, a larger one is tried, and at last all bigrams are counted.
+    """
+    if n <= 0:
+        return top_bigrams(df, text, 0, stop_words)
+    pairs = _bigrams(df, text, stop_words)
+    for items in sketches:
+        found = _candidates(pairs, n, items) if items >= 2 * n else None
+        if found is not None:
+            chosen = df.sparkSession.createDataFrame([(b,) for b in found], "bigram string")
+            # At most ``items`` rows.
+            return _counted(pairs.join(F.broadcast(chosen), "bigram", "left_semi"), n)
+    return _counted(pairs, n)
+
+
 def length_profile(df: DataFrame, text: str = "text", by: Sequence[str] = (), ts: str | None = None) -> DataFrame:
     """Words per text: total, min, quartiles (linear), mean, max; optional time range.
 

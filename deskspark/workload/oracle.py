@@ -702,6 +702,24 @@ ORACLES["find_terms"] = f"""WITH {FOUND_TERMS} SELECT doc_id, CAST(coalesce(len(
   coalesce(array_to_string(found, ','), '') AS found_rules FROM documents LEFT JOIN gathered USING (doc_id)"""
 ORACLES["rules_table"] = f"""WITH {FOUND_TERMS} SELECT doc_id, found[1] AS first_rule, CASE WHEN found IS NULL THEN 'other_unclear'
   ELSE {listed(lx.INTENTS)}[(found[1] // 100000) % {len(lx.INTENTS)} + 1] END AS intent FROM documents LEFT JOIN gathered USING (doc_id)"""
+ORACLES["frequent_bigrams"] = ORACLES["top_bigrams"]
+NESTED = f"""{TICKETS}, bodies AS (SELECT ticket_id, ticket_id % 8 AS pick, '{{"intent": "' || true_intent || '", "confidence": '
+      || CAST(CAST(confidence AS DECIMAL(4,2)) AS VARCHAR)
+      || CASE WHEN ticket_id % 8 = 5 THEN '' ELSE ', "ratings": ' || CASE WHEN ticket_id % 8 = 4 THEN '[1, 2]' ELSE '{{"tone": '
+        || CASE ticket_id % 8 WHEN 1 THEN '"high"' WHEN 2 THEN '"4"' WHEN 3 THEN 'null' ELSE CAST(k % 5 AS VARCHAR) END
+        || ', "useful": true}}' END END || '}}' AS body FROM raw_tickets),
+  answers AS (SELECT ticket_id, CASE WHEN pick = 7 THEN NULL ELSE CAST(body AS JSON) END AS a FROM bodies)"""
+ORACLES["typed_answers"] = f"""WITH {NESTED}, got AS (SELECT ticket_id, a, a->>'$.intent' AS intent,
+    TRY_CAST(a->>'$.confidence' AS DOUBLE) AS confidence, TRY_CAST(a->>'$.ratings.tone' AS INTEGER) AS tone,
+    TRY_CAST(a->>'$.ratings.useful' AS BOOLEAN) AS useful, (a->>'$.ratings.tone') IS NOT NULL AS toned FROM answers)
+  SELECT ticket_id, intent, confidence, tone, useful, CASE WHEN a IS NULL THEN 'json_parse_failed' END AS error,
+    CASE WHEN a IS NULL THEN '' ELSE concat_ws(',', CASE WHEN NOT toned THEN 'tone' END, CASE WHEN useful IS NULL THEN 'useful' END) END AS missing,
+    CASE WHEN toned AND tone IS NULL THEN 'tone' ELSE '' END AS mistyped FROM got"""
+ORACLES["answer_drift"] = f"""WITH {NESTED}, seen AS (
+    SELECT unnest(['tone', 'ratings', 'confidence']) AS field, a IS NULL AS unreadable,
+      unnest([json_type(a, '$.ratings.tone'), json_type(a, '$.ratings'), json_type(a, '$.confidence')]) AS t FROM answers)
+  SELECT field, CASE WHEN unreadable THEN 'unreadable' WHEN t IS NULL THEN 'missing' WHEN t = 'VARCHAR' THEN 'string'
+    WHEN t IN ('NULL', 'BOOLEAN', 'OBJECT', 'ARRAY') THEN lower(t) ELSE 'number' END AS kind, count(*) AS n FROM seen GROUP BY ALL"""
 ORACLES["restricted_messages"] = ORACLES["customer_messages"]
 ORACLES["reply_prompts"] = f"""WITH contexts AS ({ORACLES['format_context']}), named AS (
     SELECT query_id, retrieved_context, 'message ' || CAST(query_id AS VARCHAR) AS text,

@@ -111,6 +111,11 @@ def top_bigrams(spark, sf):
     return profile.top_bigrams(tables.load(spark, sf, "documents"))
 
 
+@query
+def frequent_bigrams(spark, sf):
+    return profile.frequent_bigrams(tables.load(spark, sf, "documents"))
+
+
 @query
 def class_distribution(spark, sf):
     labelled = rules.rules_substring(views.tickets(spark, sf, False).drop("confidence"))
@@ -678,6 +683,27 @@ def parse_responses(spark, sf):
     return parsed.select("ticket_id", "intent", F.col("confidence").try_cast("double"), "reasoning", "error")
 
 
+NESTED = {
+    "intent": ("$.intent", "string"),
+    "confidence": ("$.confidence", "double"),
+    "tone": ("$.ratings.tone", "int"),
+    "useful": ("$.ratings.useful", "boolean"),
+}
+
+
+@query
+def typed_answers(spark, sf):
+    parsed = rs.parse_typed(views.nested_responses(spark, sf), "raw", NESTED)
+    lists = {c: F.array_join(c, ",") for c in ("missing", "mistyped")}
+    return parsed.withColumns(lists).drop("raw")
+
+
+@query
+def answer_drift(spark, sf):
+    paths = {"tone": "$.ratings.tone", "ratings": "$.ratings", "confidence": "$.confidence"}
+    return rs.answer_drift(views.nested_responses(spark, sf), "raw", paths)
+
+
 @query
 def normalize_label(spark, sf):
     parsed = rs.parse_responses(views.responses(spark, sf), "raw", FIELDS)

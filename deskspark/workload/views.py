@@ -189,6 +189,24 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     return raw_tickets(spark, sf, sequenced=False).select("ticket_id", raw.alias("raw"))
 
 
+def nested_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw answers with nested fields whose types drift, one per ticket."""
+    pick = F.pmod("ticket_id", F.lit(8))
+    tone = F.when(pick == 1, '"high"').when(pick == 2, '"4"').when(pick == 3, "null").otherwise(F.pmod("k", F.lit(5)).cast("string"))
+    ratings = F.when(pick == 4, "[1, 2]").otherwise(F.concat(F.lit('{"tone": '), tone, F.lit(', "useful": true}')))
+    body = F.concat(
+        F.lit('{"intent": "'), F.col("true_intent"), F.lit('", "confidence": '),
+        F.col("confidence").cast("decimal(4,2)").cast("string"),
+        F.when(pick == 5, "").otherwise(F.concat(F.lit(', "ratings": '), ratings)), F.lit("}"),
+    )
+    raw = (
+        F.when(pick == 6, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```")))
+        .when(pick == 7, F.substring(body, 1, 20))
+        .otherwise(body)
+    )
+    return raw_tickets(spark, sf, sequenced=False).select("ticket_id", raw.alias("raw"))
+
+
 # Shown to a query without similar messages: invented exchanges, least certain last.
 DEFAULT_EXAMPLES = [
     {"similarity": 0.40, "customer_msg": "the lamp I bought flickers", "brand_reply": "Try another bulb first. ^Help",

@@ -187,6 +187,33 @@ def test_bigrams_form_after_stop_words(spark):
     assert got == [("late parcel", 3), ("parcel late", 1)]
 
 
+@pytest.mark.parametrize("flat", [0.0, 0.6, 1.6])
+def test_sketched_bigrams_equal_the_full_count(spark, flat):
+    rng = np.random.default_rng(4)
+    weights = 1.0 / np.arange(1, 400) ** (2.0 - flat)
+    words = np.array([f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(399)])
+    drawn = rng.choice(words, (800, 30), p=weights / weights.sum())
+    df = spark.createDataFrame([(" ".join(row),) for row in drawn], "text string").repartition(7)
+    want = [tuple(r) for r in profile.top_bigrams(df, n=15).collect()]
+    for sketches in ((96,), (768, 6_144), (), (49_152,)):
+        assert [tuple(r) for r in profile.frequent_bigrams(df, n=15, sketches=sketches).collect()] == want
+
+
+def test_sketches_certify_or_refuse(spark):
+    pairs = spark.range(40_000).selectExpr("CASE WHEN id % 4 = 0 THEN 'hot' ELSE cast(id AS string) END AS bigram").repartition(5)
+    assert profile._candidates(pairs, 1, 768) == ["hot"]
+    assert profile._candidates(pairs, 2, 768) is None
+    assert len(profile._candidates(pairs.limit(500), 600, 768)) == pairs.limit(500).distinct().count()
+    assert profile._candidates(pairs.where("bigram = 'x'"), 3, 768) == []
+
+
+def test_sketched_bigrams_of_few_rows(spark):
+    df = spark.createDataFrame([("The Late, to parcel late parcel",), ("late café parcel",), (None,), ("",)], "text string")
+    assert [tuple(r) for r in profile.frequent_bigrams(df, n=2).collect()] == [("late parcel", 3), ("parcel late", 1)]
+    assert profile.frequent_bigrams(df, n=0).count() == 0
+    assert profile.frequent_bigrams(df.where("text = 'x'")).count() == 0
+
+
 def test_length_profile_quartiles(spark):
     df = spark.createDataFrame([("a " * n,) for n in (1, 2, 3, 4)], "text string")
     row = profile.length_profile(df).first()
