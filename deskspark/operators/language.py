@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from deskspark.operators.grouped import top_n_per_group
 from deskspark.operators.rules import route_language
+from deskspark.sources.scratch import freeze
 
 PROFILE_SIZE = 300
 MARGIN_PERCENT = 3
@@ -95,6 +96,7 @@ def detect_language(
     when the runner-up is less than ``margin`` percent farther. Texts without letters have NULLs, and no
     row is dropped. Ties go to the alphabetically first language. Columns of these names are replaced.
     """
+    profiles = freeze(profiles)  # learned once, read twice
     names = [r["lang"] for r in profiles.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: fold the rare ones first")

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from deskspark.functions.text import as_id
+from deskspark.operators.grouped import dedupe
 
 MESSAGE_COLUMNS = ["tweet_id", "author_id", "created_at", "text", "in_response_to_tweet_id"]
 
@@ -116,10 +117,11 @@ def materialize_embeddings(
 ) -> DataFrame:
     """Embedding table keyed by id: rows already stored are reused, new ids are encoded once and appended.
 
-    Any failure to read the table but its absence is an error.
+    Of rows that share an id, the same one is encoded whatever their order. Any failure to read the table but its
+    absence is an error.
     """
     spark = df.sparkSession
-    missing = df.dropDuplicates([key])
+    missing = dedupe(df, key, [F.xxhash64(*df.columns)])
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as problem:

@@ -720,6 +720,18 @@ ORACLES["answer_drift"] = f"""WITH {NESTED}, seen AS (
       unnest([json_type(a, '$.ratings.tone'), json_type(a, '$.ratings'), json_type(a, '$.confidence')]) AS t FROM answers)
   SELECT field, CASE WHEN unreadable THEN 'unreadable' WHEN t IS NULL THEN 'missing' WHEN t = 'VARCHAR' THEN 'string'
     WHEN t IN ('NULL', 'BOOLEAN', 'OBJECT', 'ARRAY') THEN lower(t) ELSE 'number' END AS kind, count(*) AS n FROM seen GROUP BY ALL"""
+ORACLES["roundtrip_metrics"] = ORACLES["class_scores"]
+ORACLES["deduped_log"] = f"WITH {LOG} SELECT tweet_id, author_id, text FROM log"
+# The t distribution's closed sums for whole degrees of freedom; sin and cos of the angle are rho and sqrt(1 - rho^2).
+ORACLES["calibrate_p_values"] = f"""WITH {CALIBRATED}, exact AS (SELECT dimension, corr(ra, rb) AS r FROM ranked GROUP BY dimension),
+  base AS (SELECT dimension, n, r, n - 2 AS v, (n - 2) % 2 AS odd, 1 - r * r AS cc FROM report JOIN exact USING (dimension)),
+  steps AS (SELECT *, unnest(range(1, (v - 2 - odd) // 2 + 1)) AS j FROM base WHERE cc > 0),
+  terms AS (SELECT dimension, exp(sum(ln((2 * j - 1 + odd) / (2 * j + odd) * cc)) OVER (PARTITION BY dimension ORDER BY j)) AS term FROM steps),
+  sums AS (SELECT dimension, sum(term) AS s FROM terms GROUP BY dimension)
+  SELECT dimension, n, round(r, 6) AS rho, CASE WHEN r IS NULL OR isnan(r) OR n < 3 THEN NULL WHEN cc <= 0 THEN 0.0 ELSE round(abs(1 - CASE
+    WHEN odd = 0 THEN abs(r) * (1 + coalesce(s, 0))
+    ELSE 2 / pi() * (asin(abs(r)) + CASE WHEN v > 1 THEN abs(r) * sqrt(cc) * (1 + coalesce(s, 0)) ELSE 0 END) END), 6) END AS p_value
+  FROM base LEFT JOIN sums USING (dimension)"""
 ORACLES["restricted_messages"] = ORACLES["customer_messages"]
 ORACLES["reply_prompts"] = f"""WITH contexts AS ({ORACLES['format_context']}), named AS (
     SELECT query_id, retrieved_context, 'message ' || CAST(query_id AS VARCHAR) AS text,

@@ -16,6 +16,7 @@ from deskspark.operators import (
     classify,
     cluster,
     features,
+    grouped,
     guard,
     language,
     metrics,
@@ -478,7 +479,7 @@ def calibrate(spark, sf):
 
 @query
 def calibrate_p_values(spark, sf):
-    return _calibration(spark, sf).select("dimension", "n", "rho", "p_value")
+    return _calibration(spark, sf).select("dimension", "n", *[F.round(c, 6).alias(c) for c in ("rho", "p_value")])
 
 
 @query
@@ -891,6 +892,24 @@ def roundtrip_io(spark, sf):
     ).select("customer_tweet_id", "customer_msg", "brand_reply", "removed_mentions", "text")
 
 
+@query
+def roundtrip_metrics(spark, sf):
+    """Metric rows to JSON and back."""
+    path = new_path(spark, "metrics")
+    scores = class_scores(spark, sf)
+    tables.write_metrics(scores, path)
+    return spark.read.schema(scores.schema).json(path)
+
+
+@query
+def deduped_log(spark, sf):
+    """The log delivered twice, the second time later and in other words: the first delivery stays."""
+    log = views.message_log(spark, sf)
+    again = log.withColumns({"created_at": F.concat("created_at", F.lit("~")), "text": F.lit(None).cast("string")})
+    kept = grouped.dedupe(again.unionByName(log), "tweet_id", ["created_at"])
+    return kept.select("tweet_id", "author_id", "text")
+
+
 @query
 def roundtrip_golden(spark, sf):
     """Golden rows to CSV and back, under one producer's column names."""
