@@ -1,8 +1,8 @@
 """Top-k retrieval by dot product, without materialising pairs.
 
-Corpus blocks and query chunks of bounded size meet in groups that emit k rows
-per query and block. ``knn`` lets every chunk meet every block of its partition
-value and is exact, at a cost of queries times corpus rows. ``knn_cells`` cuts
+Corpus slices and query chunks of bounded size meet in groups that emit k rows
+per query and slice; inside a group the corpus is read in blocks. ``knn`` lets every chunk meet every slice of its
+partition value and is exact, at a cost of queries times corpus rows. ``knn_cells`` cuts
 the corpus into k-means cells and searches the nearest ones only. ``knn_codes``
 scans product-quantised codes of a few bytes per row and reads full vectors for a
 short list only.
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
@@ -26,7 +26,16 @@ from deskspark.operators import cluster
 from deskspark.operators.grouped import top_n_per_group
 from deskspark.sources.scratch import freeze
 
+# Corpus rows that a task multiplies with at once.
 BLOCK_ROWS = 4096
+# Chunks that the queries of a partition value are cut into (of CHUNK_ROWS rows at least), and numbers in the vectors
+# of a chunk or slice at most. A corpus row travels once per chunk, a query once per slice: a fixed
+# number of times until CHUNKS * SLICE_VALUES numbers.
+CHUNKS = 32
+CHUNK_ROWS = 256
+SLICE_VALUES = 1 << 22
+# Scores that a task holds at once.
+SCORES = 1 << 21
 # Tasks over which the rows of one partition value are dealt when they look up its layout.
 SALTS = 64
 # Rows that k-means cells are fitted on at most; all rows are then assigned.
@@ -55,12 +64,45 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def _search(wanted: np.ndarray, block: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice of queries: its offset, and row, column and score of each hit."""
-    for start in range(0, len(wanted), 512):
-        scores = np.round(wanted[start : start + 512] @ block.T, DIGITS) + 0.0
-        rows, cols = _best(scores, k)
-        yield start, rows, cols, scores[rows, cols]
+def _leading(
+    rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int, count: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k first hits per row, and per row the score that a later hit must exceed."""
+    order = np.lexsort((cols, -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    floor = np.full(count, -np.inf)
+    floor[rows[place == k - 1]] = scores[place == k - 1]
+    return rows[place < k], cols[place < k], scores[place < k], floor
+
+
+def _search(
+    wanted: np.ndarray, corpus: np.ndarray, k: int, block_rows: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of queries: its offset, and row, column and score of each hit.
+
+    The corpus is read block by block. Only scores above the k-th so far are looked at further, since
+    equal ones prefer the earlier column.
+    """
+    step = max(1, SCORES // block_rows)
+    for start in range(0, len(wanted), step):
+        asked, held, floor = wanted[start : start + step], None, None
+        for first in range(0, len(corpus), block_rows):
+            scores = asked @ corpus[first : first + block_rows].T
+            if held is None:
+                scores = np.round(scores, DIGITS) + 0.0
+                rows, cols = _best(scores, k)
+                found = rows, cols, scores[rows, cols]
+            else:
+                # Rounding lifts a score by less than what is taken off here.
+                rows, cols = np.nonzero(scores >= (floor - 1e-8 - 1e-14 * np.abs(floor))[:, None])
+                near = np.round(scores[rows, cols], DIGITS) + 0.0
+                above = near > floor[rows]
+                if not above.any():
+                    continue
+                found = [np.concatenate(x) for x in zip(held, (rows[above], cols[above] + first, near[above]))]
+            *held, floor = _leading(*found, k, len(asked))
+        yield start, *held
 
 
 def _id_types(queries: DataFrame, corpus: DataFrame) -> list[DataType]:
@@ -77,8 +119,8 @@ def _ddl(queries: DataFrame, corpus: DataFrame) -> str:
     return f"_qid {query}, _cid {found}, similarity double"
 
 
-def _search_block(k: int, schema: pa.Schema, decoded=_matrix):
-    """Cogroup body: a bounded query chunk against a bounded corpus block, whose vectors ``decoded`` gives."""
+def _search_block(k: int, schema: pa.Schema, block_rows: int, decoded=_matrix):
+    """Cogroup body: a bounded query chunk against a bounded corpus slice, whose vectors ``decoded`` gives."""
 
     def search(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or corpus.num_rows == 0:
@@ -94,37 +136,49 @@ def _search_block(k: int, schema: pa.Schema, decoded=_matrix):
                     "similarity": pa.array(scores),
                 }
             ).cast(schema)
-            for start, rows, cols, scores in _search(wanted, block, k)
+            for start, rows, cols, scores in _search(wanted, block, k, block_rows)
         ]
         return pa.concat_tables(found)
 
     return search
 
 
+def _numbers(rows: DataFrame, vector: str) -> Column:
+    """The vectors as doubles, or as they are where floats hold them."""
+    return F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+
+
 def _asked(queries: DataFrame, query_id: str, vector: str, part) -> DataFrame:
     return queries.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
+        F.col(query_id).alias("_qid"), _numbers(queries, vector).alias("_vec"), part.alias("_part")
     )
 
 
 def _base(corpus: DataFrame, corpus_id: str, vector: str, part) -> DataFrame:
     return corpus.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(corpus_id).alias("_cid"), F.col(vector).cast("array<double>").alias("_vec"), part.alias("_part")
+        F.col(corpus_id).alias("_cid"), _numbers(corpus, vector).alias("_vec"), part.alias("_part")
     )
 
 
-def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int, decoded=_matrix) -> DataFrame:
-    """Hits of every query in every block of its partition value.
+def _search_parts(
+    asked: DataFrame, base: DataFrame, k: int, block_rows: int, decoded=_matrix, dims: Column | None = None
+) -> DataFrame:
+    """Hits of every query in every corpus slice of its partition value.
 
-    A value with n rows has ceil(n / block_rows) slices on either side, so both
-    sides of a group are bounded however the rows are spread over the values.
+    A value's queries are cut into up to CHUNKS chunks, or as many as hold SLICE_VALUES numbers each, its corpus
+    rows into slices of SLICE_VALUES numbers: both sides of a group are bounded however the rows are
+    spread over the values, and few copies of a row travel. ``dims`` is the width of a corpus vector that is not an array.
     """
+    rows = F.count(F.lit(1))
 
-    def slices(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("_part").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+    def slices(width: Column) -> Column:
+        return F.ceil(F.sum(width) / F.lit(SLICE_VALUES))
 
-    layout = slices(asked, "_chunks").join(slices(base, "_blocks"), "_part")
-    layout = layout.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    some = F.least(F.lit(CHUNKS), F.ceil(rows / F.lit(CHUNK_ROWS)))
+    chunks = asked.groupBy("_part").agg(F.greatest(some, slices(F.size("_vec"))).cast("int").alias("_chunks"))
+    width = F.size("_vec") if dims is None else dims
+    blocks = base.groupBy("_part").agg(F.greatest(F.lit(1), slices(width)).cast("int").alias("_blocks"))
+    layout = chunks.join(blocks, "_part").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def placed(rows: DataFrame, key: str, own: str, own_slices: str, other: str, other_slices: str) -> DataFrame:
         dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), key), F.lit(SALTS)).cast("int"))
@@ -139,7 +193,7 @@ def _search_parts(asked: DataFrame, base: DataFrame, k: int, block_rows: int, de
     left = placed(asked, "_qid", "_chunk", "_chunks", "_block", "_blocks")
     right = placed(base, "_cid", "_block", "_blocks", "_chunk", "_chunks")
     group = ["_part", "_chunk", "_block"]
-    search = _search_block(k, _hit_schema(asked, base), decoded)
+    search = _search_block(k, _hit_schema(asked, base), block_rows, decoded)
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(search, _ddl(asked, base))
 
 
@@ -321,30 +375,48 @@ def knn_codes(
 
     Every corpus row is coded in some bytes and lies in its nearest cell. A query scans the codes of
     its ``probes`` nearest cells, and the ``short_list`` best by code are ranked by their full vectors: the
-    pairs shuffled with vectors are queries times ``short_list``. ``probes = cells`` and a short list of the
-    whole corpus are exact; otherwise measure the recall on your vectors.
+    pairs shuffled with vectors are queries times ``short_list``. A list that has room for all rows of its cells cuts
+    none: such queries meet the cells' full vectors in groups, and no pair is shuffled. ``probes = cells`` and a short
+    list of the whole corpus are exact; otherwise measure the recall on your vectors.
     """
     codes = codes or fit_codes(corpus, cells, corpus_id, vector)
     if codes is None:
         return knn(queries, corpus, k, query_id, corpus_id, vector)
-    base = corpus.where(F.col(vector).isNotNull()).select(
-        F.col(corpus_id).alias("_cid"), codes.column(F.col(vector).cast("array<double>")).alias("_c")
+    base = _base(corpus, corpus_id, vector, F.lit("")).select(
+        "_cid", F.col("_vec").alias("_own"), codes.column(F.col("_vec").cast("array<double>")).alias("_c")
     )
-    base = freeze(base.select("_cid", F.col("_c.code").alias("_vec"), F.col("_c.cell").alias("_part")))
-    asked = _asked(queries, query_id, vector, F.lit(""))
-    near = asked.withColumn("_part", F.explode(cluster.nearest(codes.centres, probes)("_vec")))
+    base = freeze(base.select("_cid", "_own", F.col("_c.code").alias("_code"), F.col("_c.cell").alias("_part")))
+    sizes = {r["_part"]: r["count"] for r in base.groupBy("_part").count().collect()}
+    held = F.array(*[F.lit(sizes.get(i, 0)).cast("bigint") for i in range(len(codes.centres))])
+    asked = _asked(queries, query_id, vector, F.lit("")).where("_qid IS NOT NULL").drop("_part")
+    asked = asked.withColumn("_cells", cluster.nearest(codes.centres, probes)("_vec"))
+    probed = F.aggregate("_cells", F.lit(0).cast("bigint"), lambda acc, cell: acc + F.get(held, cell))
+    # Rows that share a query id share its list.
+    room = probed * F.count(F.lit(1)).over(Window.partitionBy("_qid"))
+    asked = freeze(asked.withColumn("_cut", room > short_list))
+    cells_of = ["_qid", "_vec", F.explode("_cells").alias("_part")]
     listed = top_n_per_group(
-        _search_parts(near, base, short_list, block_rows, codes.decode),
+        _search_parts(
+            asked.where("_cut").select(*cells_of), base.select("_cid", F.col("_code").alias("_vec"), "_part"),
+            short_list, block_rows, codes.decode, F.lit(codes.centres.shape[1]),
+        ),
         ["_qid"], [F.desc("similarity"), F.desc("_cid")], short_list,
     ).select("_qid", "_cid")
-    full = _base(corpus, corpus_id, vector, F.lit("")).select("_cid", F.col("_vec").alias("_own"))
-    product = F.aggregate(F.zip_with("_vec", "_own", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    hits = (
-        listed.join(full, "_cid")
-        .join(asked.select("_qid", "_vec"), "_qid")
+    product = F.aggregate(
+        F.zip_with("_vec", "_own", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x
+    )
+    ranked = (
+        listed.join(base.select("_cid", "_own"), "_cid")
+        .join(asked.where("_cut").select("_qid", "_vec"), "_qid")
         .select("_qid", "_cid", (F.round(product, DIGITS) + F.lit(0.0)).alias("similarity"))
     )
-    return _ranked(hits, k, query_id, corpus_id)
+    rows = base.where("_cid IS NOT NULL").select("_cid", F.col("_own").alias("_vec"), "_part")
+    whole = _search_parts(asked.where("NOT _cut").select(*cells_of), rows, k, block_rows)
+    # A list names an id, which stands for all its rows, as in the join above.
+    shared = rows.groupBy("_cid").agg(F.count(F.lit(1)).cast("int").alias("_rows")).where("_rows > 1")
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce("_rows", F.lit(1))))
+    whole = whole.join(shared, "_cid", "left").select("_qid", "_cid", "similarity", copies.alias("_copy")).drop("_copy")
+    return _ranked(ranked.unionByName(whole), k, query_id, corpus_id)
 
 
 def knn_by_label(

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,6 +380,35 @@ def test_codes_find_neighbours_and_are_exact_with_whole_lists(spark):
     assert retrieve.knn_codes(asked, base.limit(0), 4, 4, 5).count() == 0
 
 
+def test_search_groups_receive_few_copies_of_a_row(spark, monkeypatch):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "corpus_id long, embedding array<double>").repartition(2)
+    asked = df.withColumnRenamed("corpus_id", "query_id")
+
+    def counting(k, schema, *rest):
+        def received(queries, corpus):
+            return pa.table({"_qid": [queries.num_rows], "_cid": [corpus.num_rows], "similarity": [0.0]}).cast(schema)
+
+        return received
+
+    monkeypatch.setattr(retrieve, "_search_block", counting)
+    monkeypatch.setattr(retrieve, "_ranked", lambda hits, *rest: hits)
+    got = retrieve.knn(asked, df, 3, block_rows=64).agg(F.sum("_qid"), F.sum("_cid")).first()
+    assert got[0] <= 2 * 3000 and got[1] <= 32 * 3000
+
+
+def test_whole_short_lists_are_no_pairs(spark, monkeypatch):
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[5]], "corpus_id long, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    hits = []
+    ranked = retrieve._ranked
+    monkeypatch.setattr(retrieve, "_ranked", lambda found, *rest: hits.append(found) or ranked(found, *rest))
+    got = retrieve.knn_codes(asked, df, 4, 4, 201, 1)
+    assert hits[-1].count() <= 200 * 4 * 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieve.knn(asked, df, 1).collect()))
+
+
 def test_stored_index_grows_once_per_batch(spark, tmp_path):
     from deskspark.sources.index import SearchIndex
 
