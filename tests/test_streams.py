@@ -104,3 +104,26 @@ def test_replayed_batch_leaves_one_copy(spark, tmp_path):
     for state in ("s1", "s2"):
         streams.each_batch(source(spark, folder), lambda df: df, f"{folder}/out", f"{folder}/{state}").awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == len(FIRST)
+
+
+def test_threads_share_state_entries(spark, tmp_path):
+    folder, big = str(tmp_path), 2**60
+    rows = [(i % 700, f"2024-01-01 {10 + i // 700}:00", big + i) for i in range(1400)] + [(None, "2024-01-01 12:00", None)]
+    batch(spark, f"{folder}/in", 0, rows)
+    batch(spark, f"{folder}/in", 1, [(1, "2024-01-03 09:00", 1)])
+    lengths = lambda found: {(r["user"], r["id"]): r["thread_length"] for r in found.collect()}
+    want = {(u, i): 1 + (i is not None and i - big >= 700) for u, _, i in rows}
+    counted = streams.to_parquet(
+        streams.thread_length_stream(source(spark, folder), ["user"], "ts", "id", groups=8), f"{folder}/out", f"{folder}/state"
+    )
+    counted.awaitTermination()
+    assert lengths(spark.read.parquet(f"{folder}/out")) == want | {(1, 1): 1}
+    with rocksdb_state(spark):
+        final = streams.to_parquet(
+            streams.final_thread_length_stream(source(spark, folder), ["user"], "ts", "id", groups=8), f"{folder}/out2", f"{folder}/state2"
+        )
+        final.awaitTermination()
+    assert lengths(spark.read.parquet(f"{folder}/out2")) == want
+    for query in (counted, final):
+        # An entry per group, and a few for lists and timers.
+        assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 8 * 6
