@@ -28,9 +28,13 @@ KS = range(5, 13)
 MAX_ITERATIONS = 30
 # A model stands still when no centre moves farther.
 TOLERANCE = 1e-3
-# Rows whose distances to all centres a task holds at once, and rows of a tile.
+# Rows whose distances to all centres a task holds at once, and rows of two tiles that meet at once.
 SLICE = 2048
 TILE_ROWS = 2048
+# Tiles that a table is dealt into (of LEAST_ROWS rows at least), and numbers in the vectors of a tile at most.
+TILES = 16
+LEAST_ROWS = 256
+TILE_VALUES = 1 << 22
 # Rows of a tile whose sums travel together.
 SUM_ROWS = 64
 
@@ -318,7 +322,7 @@ def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     )
 
 
-def _met(widths: Sequence[int]):
+def _met(widths: Sequence[int], step: int):
     """Task code: two tiles in; for the rows of both, sums of distances to the other's clusters out."""
     whole = int(sum(widths))
     offsets = np.concatenate(([0], np.cumsum(widths)[:-1])).astype(np.int64)
@@ -335,12 +339,18 @@ def _met(widths: Sequence[int]):
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         i, x, x_labels, x_member = opened(left)
         j, y, y_labels, y_member = opened(right)
-        gaps = np.sqrt(_gaps(x, y))
-        if i == j:
-            np.fill_diagonal(gaps, 0.0)
-        out = [(i, gaps @ y_member, x_labels if i == j else None)]
+        x_sums, y_sums = np.zeros_like(x_member), np.zeros_like(y_member)
+        for a in range(0, len(x), step):
+            for b in range(0, len(y), step):
+                gaps = np.sqrt(_gaps(x[a : a + step], y[b : b + step]))
+                if i == j and a == b:
+                    np.fill_diagonal(gaps, 0.0)
+                x_sums[a : a + step] += gaps @ y_member[b : b + step]
+                if i != j:
+                    y_sums[b : b + step] += gaps.T @ x_member[a : a + step]
+        out = [(i, x_sums, x_labels if i == j else None)]
         if i != j:
-            out.append((j, gaps.T @ x_member, None))
+            out.append((j, y_sums, None))
         rows = [
             (block, at, sums[at : at + SUM_ROWS].tobytes(), None if labels is None else labels[at : at + SUM_ROWS].tobytes())
             for block, sums, labels in out
@@ -396,10 +406,10 @@ def silhouette_exact(
 ) -> dict[str, float | None]:
     """Mean silhouette on plain Euclidean distance over all rows, for several labellings (integer columns) at once.
 
-    Rows are dealt into tiles of about ``tile_rows``; every two tiles meet once and give, per
-    row, one sum of distances per cluster, never a pair; sums are added by row. The work is the
-    square of the rows times the dimensions, shared by all labellings; about rows^2 / tile_rows vectors
-    and as many rows of sums are shuffled, and a task holds two tiles however many rows there are.
+    Rows are dealt into up to TILES tiles, or as many as hold TILE_VALUES numbers each; every two tiles meet once,
+    ``tile_rows`` by ``tile_rows`` rows, and give, per row, one sum of distances per cluster, never a pair; sums are
+    added by row. The work is the square of the rows times the dimensions, shared by all labellings; a vector and
+    a row of sums are shuffled once per tile, and a task holds two tiles however many rows there are.
     Rows without a vector or a label are left out. Fewer than two clusters: None.
     """
     every = [F.col(vector).isNotNull(), *[F.col(c).isNotNull() for c in clusters]]
@@ -413,7 +423,7 @@ def silhouette_exact(
             F.monotonically_increasing_id().alias("_at"),
         )
     )
-    rows = held.count()
+    rows, values = held.agg(F.count(F.lit(1)), F.sum(F.size("_vec"))).first()
     if not rows:
         return dict.fromkeys(clusters)
     # Cluster numbers become 0, 1, ...; their sizes are one row per cluster.
@@ -424,7 +434,7 @@ def silhouette_exact(
         F.element_at(F.create_map(*[F.lit(x) for pair in zip(k, range(len(k))) for x in pair]), F.col(f"_label{i}"))
         for i, k in enumerate(known)
     ]
-    blocks = -(-rows // tile_rows)
+    blocks = max(min(-(-rows // min(tile_rows, LEAST_ROWS)), TILES), -(-values // TILE_VALUES))
     dealt = held.select(
         "_vec", F.array(*place).alias("_labels"), F.pmod(F.xxhash64("_at"), F.lit(blocks)).alias("block")
     )
@@ -432,7 +442,7 @@ def silhouette_exact(
     left = tiles.select("*", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("j"))
     right = tiles.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("i"), F.col("block").alias("j"))
     widths = [len(k) for k in known]
-    meet = _met(widths)
+    meet = _met(widths, tile_rows)
 
     def met(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:  # a block without rows

@@ -623,3 +623,15 @@ def test_bad_pointers_and_empty_labels(spark, tmp_path):
     assert [r["customer_tweet_id"] for r in found.collect()] == ["3"]
     golden = tables.golden_columns(spark.createDataFrame([("a", None)], "text string, primary_intent string")).first()
     assert (golden["true_intent"], golden["true_action"]) == (None, "auto_handle")
+
+
+def test_silhouette_tiles_do_not_grow_in_number(spark, monkeypatch):
+    frozen = []
+    keep = cluster.freeze
+    monkeypatch.setattr(cluster, "freeze", lambda df, *rest: frozen.append(keep(df, *rest)) or frozen[-1])
+    rng = np.random.default_rng(8)
+    points, labels = rng.normal(size=(1500, 3)), rng.integers(0, 3, size=1500)
+    df = spark.createDataFrame([([float(x) for x in p], int(c)) for p, c in zip(points, labels)], "embedding array<double>, a int")
+    got = cluster.silhouette_exact(df, ["a"], tile_rows=40)
+    assert frozen[-1].count() <= 16
+    assert got["a"] == pytest.approx(plain_silhouette(points, labels), abs=1e-6)
