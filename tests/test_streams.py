@@ -1,3 +1,5 @@
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -127,3 +129,18 @@ def test_threads_share_state_entries(spark, tmp_path):
     for query in (counted, final):
         # An entry per group, and a few for lists and timers.
         assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 8 * 6
+
+
+def test_a_batch_job_that_reads_twice_runs_the_stream_once(spark, tmp_path):
+    folder = str(tmp_path)
+    batch(spark, f"{folder}/in", 0, FIRST)
+    drawn = F.udf(lambda _: uuid.uuid4().hex, "string").asNondeterministic()
+
+    def job(frame):
+        frame.select("id", F.col("draw").alias("first")).write.parquet(f"{folder}/first")
+        return frame.select("id", "draw")
+
+    stream = source(spark, folder).withColumn("draw", drawn("id"))
+    streams.each_batch(stream, job, f"{folder}/out", f"{folder}/state").awaitTermination()
+    both = spark.read.parquet(f"{folder}/out").join(spark.read.parquet(f"{folder}/first"), "id").collect()
+    assert len(both) == len(FIRST) and all(r["draw"] == r["first"] for r in both)
