@@ -103,17 +103,16 @@ def maybe_among(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTE
     def bit(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(1 << bits))
 
+    word = "i -> cast(conv(hex(substring(_bits, 8 * i + 1, 8)), 16, -10) as bigint)"
     bitmaps = (
         keys.select(bit(keys[keys.columns[0]]).alias("_bit"))
         .groupBy(F.expr(f"_bit div {BITMAP}").alias("_map"))
         .agg(F.bitmap_construct_agg(F.col("_bit") % BITMAP).alias("_bits"))
+        # As numbers of 64 bits, which a probe reads in place.
+        .select("_map", F.expr(f"transform(sequence(0, {BITMAP // 64 - 1}), {word})").alias("_words"))
     )
     own = rows.withColumn("_bit", bit(F.col(column))).withColumn("_map", F.expr(f"_bit div {BITMAP}"))
-    byte = F.expr(f"conv(hex(substring(_bits, cast((_bit % {BITMAP}) div 8 + 1 as int), 1)), 16, 10)")
-    is_set = F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1
-    return (
-        own.join(F.broadcast(bitmaps), "_map")
-        .withColumn("_byte", byte.cast("int"))
-        .where(is_set)
-        .select(*rows.columns)
-    )
+    # The first byte of a number holds its first eight bits, each byte's lowest bit first.
+    shift = "8 * (7 - (_bit % 64) div 8) + _bit % 8"
+    is_set = F.expr(f"shiftright(get(_words, cast((_bit % {BITMAP}) div 64 as int)), cast({shift} as int)) & 1") == 1
+    return own.join(F.broadcast(bitmaps), "_map").where(is_set).select(*rows.columns)

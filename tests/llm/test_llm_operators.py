@@ -137,6 +137,16 @@ def test_suffix_dedup(docs, empty, crowd):
     assert suffix_dedup.removal_report(empty, rule).count() == 0
 
 
+def test_a_prefilter_misses_no_key(spark):
+    from deskspark.llm.spread import maybe_among
+
+    rows = spark.range(-3000, 3000).withColumnRenamed("id", "k")
+    kept = {r["k"] for r in maybe_among(rows, "k", rows.where("k % 7 = 0")).collect()}
+    wanted = {k for k in range(-3000, 3000) if k % 7 == 0}
+    assert wanted <= kept and len(kept) < len(wanted) + 5
+    assert maybe_among(rows, "k", rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("letters", [1, 2, 30])
 def test_two_stage_order(letters):
     rng = np.random.default_rng(letters)
@@ -147,6 +157,22 @@ def test_two_stage_order(letters):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("letters", [1, 2, 30])
+def test_suffixes_that_start_no_string_are_not_sorted(letters, monkeypatch):
+    rng = np.random.default_rng(letters)
+    contexts = [bytes([9]) + bytes(rng.integers(97, 97 + letters, n, dtype=np.uint8)) for n in (76, 50, 49, 76, 60) * 40]
+    docs, rule, sorted_rows = rng.integers(0, 9, len(contexts)), suffix_dedup.PassageRule(), []
+    plain = suffix_dedup._sorted_directly
+    monkeypatch.setattr(suffix_dedup, "_sorted_directly", lambda *a: sorted_rows.append(len(a[1])) or plain(*a))
+    owner, least = suffix_dedup._first_documents(contexts, docs, rule)
+    strings = [(i, c[j : j + 50]) for i, c in enumerate(contexts) for j in range(1, len(c) - 49)]
+    first = {}
+    for i, string in strings:
+        first[string] = min(first.get(string, 9), docs[i])
+    assert owner.tolist() == [i for i, _ in strings] and least.tolist() == [first[x] for _, x in strings]
+    assert sum(sorted_rows) <= len(strings) + len(contexts)
+
+
 @pytest.mark.skipif(TOKENIZER is None, reason="no tokenizer file")
 def test_bpe(spark, docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
