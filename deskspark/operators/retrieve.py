@@ -44,6 +44,12 @@ FIT_ROWS = 20_000
 CELL_STARTS = 8
 # Similarities are rounded before ranking so that equal vectors tie exactly.
 DIGITS = 9
+# Columns of a score matrix that share one maximum: a row is looked at closer only where that reaches its bound.
+FOLD = 16
+# Numbers gathered at once for the exact products of single pairs.
+GATHERED = 1 << 20
+# Products below which double precision holds the digits that similarities are rounded to, so that it does not matter how they are summed.
+SCREENED = 1e4
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -81,9 +87,84 @@ def _search(
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice of queries: its offset, and row, column and score of each hit.
 
-    The corpus is read block by block. Only scores above the k-th so far are looked at further, since
-    equal ones prefer the earlier column.
+    The corpus is read block by block. Blocks are screened by products in single precision, less what these may be
+    off by; the pairs left are multiplied in double precision and ranked, so the hits are exact.
     """
+    if not _length(wanted).max(initial=0.0) * _length(corpus).max(initial=0.0) < SCREENED:
+        yield from _search_wide(wanted, corpus, k, block_rows)
+        return
+    step, width = max(1, SCORES // block_rows), -(-block_rows // FOLD) * FOLD
+    # Rounding of the numbers and of each sum, twice what it may come to; and that of the similarities.
+    off = _length(wanted) * _length(corpus).max(initial=0.0) * (corpus.shape[1] + 8) * 2.0**-23 + 10.0**-DIGITS
+    small, light = wanted.astype(np.float32), np.zeros((-(-len(corpus) // FOLD) * FOLD, corpus.shape[1]), np.float32)
+    light[: len(corpus)] = corpus
+    for start in range(0, len(wanted), step):
+        asked, slack = wanted[start : start + step], off[start : start + step]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        floor = np.full(len(asked), -np.inf)
+        for first in range(0, len(corpus), width):
+            block = corpus[first : first + width]
+            rough = small[start : start + step] @ light[first : first + width].T
+            rough[:, len(block) :] = -np.inf
+            rows, cols = _screened(rough, len(block), k, floor - slack, slack)
+            if len(rows) * 8 > rough.size:
+                # Most pairs are near the bound, as with copies.
+                whole = asked @ block.T
+                if first == 0:
+                    whole = np.round(whole, DIGITS) + 0.0
+                    rows, cols = _best(whole, k)
+                else:
+                    rows, cols = np.nonzero(whole >= (floor + 0.4 * 10.0**-DIGITS)[:, None])
+                scores = np.round(whole[rows, cols], DIGITS) + 0.0
+            else:
+                scores = np.round(_products(asked, block, rows, cols), DIGITS) + 0.0
+            # Equal scores prefer the earlier column, so a later one must exceed the k-th so far.
+            above = scores > floor[rows]
+            if above.any():
+                found = [np.concatenate(x) for x in zip(held, (rows[above], cols[above] + first, scores[above]))]
+                *held, floor = _leading(*found, k, len(asked))
+        yield start, *held
+
+
+def _length(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
+def _screened(
+    rough: np.ndarray, width: int, k: int, least: np.ndarray, slack: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of scores that may be among the k best and reach ``least``; the columns from ``width`` on are no rows."""
+    rows, folds = len(rough), rough.shape[1] // FOLD
+    tops = rough.reshape(rows, FOLD, folds).max(axis=1)
+    if width > k and np.isneginf(least).any():
+        # The k-th of the maxima is no more than the k-th score.
+        ranked = tops if folds >= k else rough
+        kth = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, ranked.shape[1] - k]
+        least = np.maximum(least, kth - 2 * slack)
+    least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+    row, fold = np.divmod(np.flatnonzero(tops >= least[:, None]), folds)
+    if len(row) * 8 > tops.size:
+        row, col = np.nonzero(rough[:, :width] >= least[:, None])
+        return row, col
+    cols = fold[:, None] + folds * np.arange(FOLD)
+    near = (rough[row[:, None], cols] >= least[row][:, None]) & (cols < width)
+    return np.repeat(row, near.sum(axis=1)), cols[near]
+
+
+def _products(asked: np.ndarray, block: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Dot products of single pairs."""
+    step = max(1, GATHERED // max(1, block.shape[1]))
+    parts = [
+        np.einsum("ij,ij->i", asked[rows[i : i + step]], block[cols[i : i + step]]) for i in range(0, len(rows), step)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _search_wide(
+    wanted: np.ndarray, corpus: np.ndarray, k: int, block_rows: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`_search` for numbers that single precision does not hold, missing ones included."""
     step = max(1, SCORES // block_rows)
     for start in range(0, len(wanted), step):
         asked, held, floor = wanted[start : start + step], None, None

@@ -112,7 +112,11 @@ class SearchIndex:
         asked = queries.where(F.col(vector).isNotNull()).select(
             F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec")
         )
-        near = asked.withColumn("_part", F.explode(cluster.nearest(self.centres, probes or len(self.centres))("_vec")))
+        if (probes or len(self.centres)) >= len(self.centres):
+            # Every query meets every cell: one part, where a query travels once per slice, not per cell.
+            everything = self.cells(range(len(self.centres))).withColumn("_part", F.lit(0))
+            return retrieve.search_cells(asked.withColumn("_part", F.lit(0)), everything, k, query_id, self.key)
+        near = asked.withColumn("_part", F.explode(cluster.nearest(self.centres, probes)("_vec")))
         wanted = sorted(r["_part"] for r in near.select("_part").distinct().collect())
         return retrieve.search_cells(near, self.cells(wanted), k, query_id, self.key)
 

@@ -409,6 +409,43 @@ def test_whole_short_lists_are_no_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieve.knn(asked, df, 1).collect()))
 
 
+@pytest.mark.parametrize("kind", ["distinct", "copies", "zeros", "large"])
+def test_screened_search_equals_the_wide_one(kind, monkeypatch):
+    rng = np.random.default_rng(4)
+    wanted, corpus = rng.normal(size=(90, 12)), rng.normal(size=(1500, 12))
+    if kind == "copies":
+        corpus = corpus[rng.integers(0, 20, 1500)]
+    elif kind == "zeros":
+        corpus[:] = 0.0
+    elif kind == "large":
+        corpus *= 1e6
+    products = []
+    multiplied = retrieve._products
+    monkeypatch.setattr(retrieve, "_products", lambda *x: products.append(len(x[2])) or multiplied(*x))
+    for k, block_rows in ((1, 1500), (3, 256), (24, 512), (40, 33), (1500, 64)):
+        want, got = (list(f(wanted, corpus, k, block_rows)) for f in (retrieve._search_wide, retrieve._search))
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all(np.array_equal(x, y) for w, g in zip(want, got) for x, y in zip(w[1:], g[1:]))
+        if (kind, k) == ("distinct", 3):
+            assert sum(products) < 0.1 * 90 * 1500
+
+
+def test_index_searched_in_all_cells_sends_a_query_once(spark, tmp_path, monkeypatch):
+    from deskspark.sources.index import SearchIndex
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 6)))]
+    df = spark.createDataFrame(rows, "corpus_id long, embedding array<double>")
+    asked = df.where("corpus_id % 4 = 0").withColumnRenamed("corpus_id", "query_id")
+    index = SearchIndex.create(df, str(tmp_path / "index"), 5, "corpus_id")
+    sent = []
+    parts = retrieve._search_parts
+    monkeypatch.setattr(retrieve, "_search_parts", lambda queries, *rest: sent.append(queries.count()) or parts(queries, *rest))
+    got = [sorted(map(tuple, index.search(asked, probes=n).collect())) for n in (None, 5, 9)]
+    assert sent == [30, 30, 30]
+    assert got == [sorted(map(tuple, retrieve.knn(asked, df, 3).collect()))] * 3
+
+
 def test_stored_index_grows_once_per_batch(spark, tmp_path):
     from deskspark.sources.index import SearchIndex
 
