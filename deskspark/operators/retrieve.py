@@ -475,7 +475,12 @@ def knn_codes(
     # Rows that share a query id share its list.
     room = probed * F.count(F.lit(1)).over(Window.partitionBy("_qid"))
     asked = freeze(asked.withColumn("_cut", room > short_list))
-    cells_of = ["_qid", "_vec", F.explode("_cells").alias("_part")]
+    if probes < len(codes.centres):
+        cells_of = ["_qid", "_vec", F.explode("_cells").alias("_part")]
+    else:
+        # Every query meets every cell: one part, where a query travels and is listed once per slice, not per cell.
+        cells_of = ["_qid", "_vec", F.lit(0).alias("_part")]
+        base = base.withColumn("_part", F.lit(0))
     listed = top_n_per_group(
         _search_parts(
             asked.where("_cut").select(*cells_of), base.select("_cid", F.col("_code").alias("_vec"), "_part"),

@@ -397,6 +397,21 @@ def test_search_groups_receive_few_copies_of_a_row(spark, monkeypatch):
     assert got[0] <= 2 * 3000 and got[1] <= 32 * 3000
 
 
+def test_codes_of_all_cells_are_scanned_once_per_query(spark, monkeypatch):
+    rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "corpus_id long, embedding array<double>")
+    asked = df.withColumnRenamed("corpus_id", "query_id")
+    sent = []
+    parts = retrieve._search_parts
+    monkeypatch.setattr(retrieve, "_search_parts", lambda queries, *rest: sent.append(queries.count()) or parts(queries, *rest))
+    codes = retrieve.fit_codes(df, 4, subspaces=4)
+    whole, few = (retrieve.knn_codes(asked, df, 4, 4, n, 1, codes=codes) for n in (200, 60))
+    assert sent == [0, 200, 200, 0]
+    want = {tuple(r) for r in retrieve.knn(asked, df, 1).collect()}
+    assert {tuple(r) for r in whole.collect()} == want
+    assert len({tuple(r) for r in few.collect()} & want) >= 190
+
+
 def test_whole_short_lists_are_no_pairs(spark, monkeypatch):
     rows = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(200)]
     df = spark.createDataFrame([*rows, rows[5]], "corpus_id long, embedding array<double>").repartition(2)
