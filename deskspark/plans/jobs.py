@@ -55,8 +55,11 @@ def retrieve_context(
 def embed_corpus(
     corpus: DataFrame, encoder: features.Encoder | None = None
 ) -> tuple[DataFrame, Callable[[DataFrame], DataFrame] | None]:
-    """(threads with ``text`` and ``embedding``, the fitted text features or None with an encoder)."""
-    base = corpus.select("thread_id", "customer_msg", "brand_reply", F.col("customer_msg").alias("text"))
+    """(threads with ``text`` and ``embedding``, the fitted text features or None with an encoder).
+
+    The threads are stored: fitting reads them several times.
+    """
+    base = freeze(corpus.select("thread_id", "customer_msg", "brand_reply", F.col("customer_msg").alias("text")))
     fitted = None if encoder else features.fit_tfidf(base, hashed=features.EMBEDDING_DIMS, output="_features")
     return features.embed(base, encoder=encoder, fitted=fitted), fitted
 
@@ -82,7 +85,8 @@ def triage(
 
     Messages need ``text`` and ``thread_length``; the corpus needs thread_id,
     customer_msg and brand_reply. Equal texts are embedded and searched once,
-    whatever their share of the messages, and the result is joined back with hot texts dealt out.
+    whatever their share of the messages, and the result is joined back with hot texts dealt out. Labelled messages
+    and the embedded corpus are read several times and stored, so each is worked out once.
     ``by_intent`` searches among threads whose message gets the same intent, and all threads
     where there are none; ``defaults`` are shown to messages without a hit. ``search`` (see
     :func:`retrieve_context`) with the ``fitted`` features of :func:`embed_corpus` searches a stored index
@@ -90,7 +94,7 @@ def triage(
     """
     kept = [c for c in messages.columns if c not in ("intent", "confidence", "text")]
     cleaned = messages.select(*kept, clean_or_raw(F.col(text)).alias("text"))
-    labelled = classify(cleaned)
+    labelled = freeze(classify(cleaned))
     if by_intent:
         labelled = labelled.withColumn("_text_key", F.md5(F.concat_ws("\n", "intent", "text")))
     else:
@@ -104,7 +108,7 @@ def triage(
         if by_intent:
             kinds = classify(base.drop("embedding")).select("thread_id", "intent")
             base = base.join(kinds, "thread_id")
-        base = base.drop("text")
+        base = freeze(base.drop("text"))
     asked = features.embed(texts.drop("_copies"), encoder=encoder, fitted=fitted).drop("text")
     contexts = retrieve_context(
         asked, base, "_text_key", policy.brand, k, cells=cells, probes=probes,

@@ -325,6 +325,32 @@ def test_own_systems_are_scored(spark):
     assert levels == {("cancellation", 0): (1, 3), ("refund_return", 0): (2, 2), (None, 1): (3, 5)}
 
 
+def counted(spark, df, column):
+    """``df`` with ``column`` passed through a function, and the number of rows it has seen."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(passed, "string")(column)), seen
+
+
+def test_triage_works_out_messages_and_threads_once(spark):
+    texts = ["my parcel is late", "my parcel is late", "refund my lamp", None]
+    messages = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id int, raw_text string, thread_length int")
+    corpus = spark.createDataFrame(
+        [("t1", "the parcel is late again", "on its way"), ("t2", "lamp refund please", "refunded")],
+        "thread_id string, customer_msg string, brand_reply string",
+    )
+    messages, read = counted(spark, messages, "raw_text")
+    corpus, found = counted(spark, corpus, "customer_msg")
+    got = {r["id"]: r for r in jobs.triage(messages, corpus).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and [got[i]["raw_text"] for i in range(4)] == texts
+    assert "the parcel is late again" in got[1]["retrieved_context"] and got[0]["reply"] == got[1]["reply"]
+    assert (read.value, found.value) == (4, 2)
+
+
 # --- Retrieval ---
 
 
