@@ -175,11 +175,11 @@ def evaluate(
 
     ``systems`` maps names to functions that turn golden rows without their truth into (key, intent, decision);
     without it the constant, simple and full systems are scored. A row that a system gives no answer for
-    counts as a wrong one. ``base`` names the system that deltas refer to. ``ratings`` (model, key, the three
-    dimensions) are averaged over a systematic sample of golden rows.
+    counts as a wrong one. Golden rows are stored once for all systems. ``base`` names the system that deltas refer
+    to. ``ratings`` (model, key, the three dimensions) are averaged over a systematic sample of golden rows.
     """
     if systems:
-        truth = golden.where("true_intent IS NOT NULL AND true_action IS NOT NULL")
+        truth = freeze(golden.where("true_intent IS NOT NULL AND true_action IS NOT NULL"))
         asked = truth.drop("true_intent", "true_action")
         wanted = truth.select(key, "true_intent", "true_action")
         answers = {

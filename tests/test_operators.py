@@ -336,6 +336,16 @@ def counted(spark, df, column):
     return df.withColumn(column, F.udf(passed, "string")(column)), seen
 
 
+def test_golden_rows_are_worked_out_once_for_all_systems(spark):
+    rows = [(i, f"late parcel {i}", "cancellation", "escalate") for i in range(6)]
+    golden = spark.createDataFrame(rows, "id int, text string, true_intent string, true_action string")
+    golden, seen = counted(spark, golden, "text")
+    own = lambda word: lambda df: df.select("id", F.lit("cancellation").alias("intent"), F.when(F.col("text").contains(word), "escalate").alias("decision"))
+    scores = jobs.evaluate(golden, "id", base="a", systems={"a": own("late"), "b": own("parcel")}).collect()
+    assert {(r["model"], r["n"], r["intent_accuracy"], r["escalate_recall"]) for r in scores} == {("a", 6, 1.0, 1.0), ("b", 6, 1.0, 1.0)}
+    assert seen.value == 6
+
+
 def test_triage_works_out_messages_and_threads_once(spark):
     texts = ["my parcel is late", "my parcel is late", "refund my lamp", None]
     messages = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id int, raw_text string, thread_length int")
