@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskspark.llm.spread import attach
+from deskspark.llm.spread import attach, merged
 from deskspark.sources.scratch import freeze
 
 
@@ -16,7 +16,7 @@ def _stars(pairs: DataFrame) -> DataFrame:
             F.least(F.min("other"), F.first("node")).alias("least"), F.count(F.lit(1)).alias("n")
         )
     )
-    return attach(pairs, least, "node", "n", "other", "inner")
+    return attach(pairs, least, "node", "n", "other", "inner", merge=True)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     The component is the least node that can be reached. Each step sends all
     pairs of a node to its least neighbour, so that every tree becomes a star;
     the number of steps grows with the logarithm of the number of nodes. Links
-    of hot nodes are spread by :func:`attach`; nothing is collected.
+    of hot nodes are spread by :func:`attach`; nothing is collected, and only hot nodes are broadcast.
     """
     a, b = links.columns
     edges = freeze(
@@ -48,7 +48,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         edges = freeze(small.where("node <> other").distinct())
         # Stars: every node has one pair and no centre is a node itself.
         roots = edges.select(F.col("other").alias("node")).distinct()
-        chained = edges.join(roots, "node", "left_semi")
+        chained = edges.join(merged(roots), "node", "left_semi")
         if chained.isEmpty() and edges.groupBy("node").count().where("count > 1").isEmpty():
             break
     centre = edges.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from deskspark.llm import ngrams
 from deskspark.llm.components import connected_components
-from deskspark.llm.spread import attach, maybe_among
+from deskspark.llm.spread import attach, maybe_among, merged
 from deskspark.sources.scratch import freeze
 
 
@@ -180,7 +180,7 @@ def _candidate_groups(sets: DataFrame, rule: NearRule) -> DataFrame:
     shared = freeze(
         keys.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    met = attach(maybe_among(keys, "key", shared.select("key")), shared, "key", "n", "node", "inner")
+    met = attach(maybe_among(keys, "key", shared.select("key")), shared, "key", "n", "node", "inner", merge=True)
     return freeze(connected_components(met.where("node <> head").select("node", "head").distinct()))
 
 
@@ -192,7 +192,7 @@ def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, rule: NearRul
     over ``block`` members are cut further and their pieces met pairwise.
     """
     ratio = math.log(100 / rule.percent)
-    members = groups.join(sets.select("node", "n_shingles"), "node").withColumn(
+    members = groups.join(merged(sets.select("node", "n_shingles")), "node").withColumn(
         "cell", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio + 1e-9).cast("int")
     )
     places = F.array(
@@ -214,7 +214,7 @@ def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, rule: NearRul
     # The cell keys of one group are few (sizes on a log scale) but its members may be many: the group
     # is met by (component, cell) after it was spread over its pieces.
     met = placed.join(
-        cells, (F.col("component") == F.col("_component")) & (F.col("cell") == F.col("_cell"))
+        merged(cells), (F.col("component") == F.col("_component")) & (F.col("cell") == F.col("_cell"))
     ).withColumn("piece", piece)
     dealt = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
         "node",
@@ -229,7 +229,7 @@ def _verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, rule: NearRul
     wanted = dealt.select("node").distinct()
     texts = maybe_among(docs.select(F.col("doc_id").alias("node"), "text"), "node", wanted)
     key = ["component", "cell", "i", "j"]
-    rows = dealt.join(texts, "node").mapInArrow(
+    rows = dealt.join(merged(texts), "node").mapInArrow(
         _sets(rule), "node bigint, component bigint, cell int, own boolean, i int, j int, side boolean, members binary"
     )
     return (
@@ -270,13 +270,13 @@ def near_duplicates(
     joined = connected_components(links)
     names = freeze(
         sets.select("set_id", "node", "n")
-        .join(joined, "node", "left")
+        .join(merged(joined), "node", "left")
         .withColumn("component_id", F.coalesce("component", "node"))
         .where("n > 1 OR component_id <> node")
         .select("set_id", "component_id", "n")
     )
     component = F.coalesce("component_id", "doc_id")
-    return attach(signed.drop("sub"), names, "set_id", "n", "doc_id").select(
+    return attach(signed.drop("sub"), names, "set_id", "n", "doc_id", merge=True).select(
         "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")
     )
 

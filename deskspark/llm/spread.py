@@ -70,15 +70,24 @@ def before_each(
     )
 
 
+def merged(table: DataFrame) -> DataFrame:
+    """``table``, never broadcast where it is joined: for tables that grow with the input.
+
+    Spark broadcasts what seems small by the bytes of its files. Compressed ids take a few bytes a row there, but
+    about 100 as a hash table, which the driver builds and holds.
+    """
+    return table.hint("merge")
+
+
 def attach(
-    rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, how: str = "left"
+    rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, how: str = "left", merge: bool = False
 ) -> DataFrame:
     """Join one row per key to ``rows``, however many rows share a key.
 
     ``groups`` is a stored table, unique by ``key``, whose ``size`` counts the
     rows of its key. The keys with more than 1/HOT_SHARE of all counted rows are
     fewer than HOT_SHARE, which bounds the broadcast; their rows are dealt over
-    SALTS by ``spread``, a column that differs between rows of one key.
+    SALTS by ``spread``, a column that differs between rows of one key. With ``merge`` no other key is broadcast.
     """
     total = groups.agg(F.sum(size)).scalar()
     hot = F.col(size) * HOT_SHARE > total
@@ -89,6 +98,7 @@ def attach(
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(
         F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")
     )
+    right = merged(right) if merge else right
     return left.withColumn("_salt", salt).drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
 
 

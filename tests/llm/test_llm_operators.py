@@ -13,6 +13,7 @@ from deskspark.llm import (
     arc_warc,
     bpe_stream,
     chat_windows,
+    components,
     divergence_rules,
     importance,
     interleave_shards,
@@ -106,6 +107,29 @@ def linked_components(pairs, rule):
     return {i: (len(sets[i]), name[i]) for i in sets}
 
 
+def test_near_duplicates_broadcast_hot_keys_and_bitmaps_only(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(random.Random(i // 3).choices(words, k=30)) + (" end" if i % 3 else "") for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plans = []
+
+    def planned(run):
+        def noted(df, *args, **named):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+            return run(df, *args, **named)
+
+        return noted
+
+    for module in (minhash_tensor, components):
+        monkeypatch.setattr(module, "freeze", planned(module.freeze))
+    monkeypatch.setattr(type(docs), "isEmpty", planned(type(docs).isEmpty))
+    planned(lambda df: df)(minhash_tensor.near_duplicates(docs, minhash_tensor.NearRule(words=3, percent=60)))
+    joins = re.findall(r"(?:Broadcast\w+|SortMerge)Join .*", "\n".join(plans))
+    assert sum(j.startswith("SortMerge") for j in joins) >= 10
+    # Fewer than 1,000 hot keys, or the 2,048 rows of a bitmap: no table that grows with the documents.
+    assert all("_hot#" in j or "_map#" in j for j in joins if j.startswith("Broadcast"))
+
+
 @pytest.mark.parametrize("rule", [minhash_tensor.NearRule(words=3, percent=85), minhash_tensor.NearRule(block=4)])
 def test_near_duplicates(docs, empty, rule):
     want = linked_components([(r.doc_id, r.text) for r in docs.collect()], rule)
