@@ -224,20 +224,20 @@ def _search_block(k: int, schema: pa.Schema, block_rows: int, decoded=_matrix):
     return search
 
 
-def _numbers(rows: DataFrame, vector: str) -> Column:
+def numbers(rows: DataFrame, vector: str) -> Column:
     """The vectors as doubles, or as they are where floats hold them."""
     return F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
 
 
 def _asked(queries: DataFrame, query_id: str, vector: str, part) -> DataFrame:
     return queries.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(query_id).alias("_qid"), _numbers(queries, vector).alias("_vec"), part.alias("_part")
+        F.col(query_id).alias("_qid"), numbers(queries, vector).alias("_vec"), part.alias("_part")
     )
 
 
 def _base(corpus: DataFrame, corpus_id: str, vector: str, part) -> DataFrame:
     return corpus.where(F.col(vector).isNotNull() & part.isNotNull()).select(
-        F.col(corpus_id).alias("_cid"), _numbers(corpus, vector).alias("_vec"), part.alias("_part")
+        F.col(corpus_id).alias("_cid"), numbers(corpus, vector).alias("_vec"), part.alias("_part")
     )
 
 

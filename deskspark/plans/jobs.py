@@ -46,7 +46,8 @@ def retrieve_context(
         hits = retrieve.knn_cells(texts, corpus, cells, probes or cells, k, text_key, "thread_id", vector)
     else:
         hits = retrieve.knn(texts, corpus, k, text_key, "thread_id", vector)
-    shown = hits.join(corpus.select("thread_id", "customer_msg", "brand_reply"), "thread_id")
+    # Texts take many times the bytes of their compressed files, by which Spark would broadcast them.
+    shown = hits.join(corpus.select("thread_id", "customer_msg", "brand_reply").hint("merge"), "thread_id")
     if defaults:
         shown = retrieve.with_fallback(shown, texts, defaults, text_key, k)
     return retrieve.format_context(shown, brand, text_key)
@@ -114,7 +115,7 @@ def triage(
         asked, base, "_text_key", policy.brand, k, cells=cells, probes=probes,
         intent="intent" if by_intent else None, defaults=defaults, search=search,
     )
-    sized = freeze(contexts.join(texts.select("_text_key", "_copies"), "_text_key"))
+    sized = freeze(contexts.join(texts.select("_text_key", "_copies").hint("merge"), "_text_key"))
     drafted = rules.canned_reply(labelled, templates).withColumn(
         "reply", normalize_reply(F.col("reply"), signoffs)
     )

@@ -110,7 +110,7 @@ class SearchIndex:
         Only the cells that some query probes are scanned: they are a filter on the partition column.
         """
         asked = queries.where(F.col(vector).isNotNull()).select(
-            F.col(query_id).alias("_qid"), F.col(vector).cast("array<double>").alias("_vec")
+            F.col(query_id).alias("_qid"), retrieve.numbers(queries, vector).alias("_vec")
         )
         if (probes or len(self.centres)) >= len(self.centres):
             # Every query meets every cell: one part, where a query travels once per slice, not per cell.
@@ -124,5 +124,5 @@ class SearchIndex:
         """(_cid, _vec, _part) of some cells, read through a partition filter."""
         found = self.rows().where(F.col("cell").isin(list(wanted)))
         return found.select(
-            F.col(self.key).alias("_cid"), F.col(self.vector).cast("array<double>").alias("_vec"), F.col("cell").alias("_part")
+            F.col(self.key).alias("_cid"), retrieve.numbers(found, self.vector).alias("_vec"), F.col("cell").alias("_part")
         )

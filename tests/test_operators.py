@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,6 +22,7 @@ from deskspark.operators import (
 )
 from deskspark.plans import jobs
 from deskspark.sources import tables
+from deskspark.sources.scratch import freeze
 from deskspark.workload.views import DEFAULT_EXAMPLES
 
 
@@ -723,3 +725,43 @@ def test_silhouette_tiles_do_not_grow_in_number(spark, monkeypatch):
     got = cluster.silhouette_exact(df, ["a"], tile_rows=40)
     assert frozen[-1].count() <= 16
     assert got["a"] == pytest.approx(plain_silhouette(points, labels), abs=1e-6)
+
+
+def test_index_search_shuffles_floats_as_they_are(spark, tmp_path):
+    from deskspark.sources.index import SearchIndex
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(60)]
+    df = spark.createDataFrame(rows + [(60, None)], "corpus_id int, embedding array<float>")
+    index = SearchIndex.create(df, str(tmp_path / "index"), 3, "corpus_id")
+    assert dict(index.cells([0, 1, 2]).dtypes)["_vec"] == "array<float>"
+    asked = df.select(F.col("corpus_id").alias("query_id"), "embedding")
+    found = index.search(asked, k=3)
+    assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = retrieve.knn(asked, df.withColumn("embedding", F.col("embedding").cast("array<double>")), 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_attach_broadcasts_hot_keys_only(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 2 else f"k{i}") for i in range(40)] + [(40, None)], "i int, key string")
+    counts = rows.where("key IS NOT NULL").groupBy("key").count().withColumn("context", F.repeat("key", F.lit(500)))
+    got = grouped.attach(rows, freeze(counts), "key", "count", F.col("i"))
+    joins = re.findall(r"(?:Broadcast\w+|SortMerge)Join .*", got._jdf.queryExecution().sparkPlan().toString())
+    assert any(j.startswith("SortMerge") for j in joins)
+    assert all("_hot#" in j for j in joins if j.startswith("Broadcast"))
+    assert {r.i: r.context for r in got.collect()} == {
+        r.i: r.key and r.key * 500 for r in rows.collect()
+    }
+
+
+def test_differing_rows_meet_as_digests(spark):
+    from deskspark.workload.queries import _differing
+
+    ddl = "id int, a string, b string"
+    rows = spark.createDataFrame([(1, "x", "y"), (2, None, ""), (3, None, None), (4, "x", "y"), (5, "p", "q")], ddl)
+    others = spark.createDataFrame([(1, "x", "y"), (2, None, None), (4, "xy", ""), (5, "p", "q"), (5, "p", "r")], ddl)
+    found = _differing(rows, others, "id", ("a", "b"))
+    assert tuple(found.first()) == (6, 3)
+    # Texts themselves are not joined.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("sha2(")
